@@ -10,7 +10,6 @@ bounded edit distance decides. New segments are appended as files; the history i
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +19,12 @@ from mnemolith.llm import words as W
 from mnemolith.session import arrow_map, materialize, table
 
 
-def bounded_distance(a: np.ndarray, b: np.ndarray, bound: int) -> int | None:
+def bounded_distance(a: bytes, b: bytes, bound: int) -> int | None:
     """Insertions and deletions between two sorted strings of tokens, or None beyond the bound."""
-    if abs(len(a) - len(b)) > bound:
+    if abs(len(a) - len(b)) > 8 * bound:
         return None
-    distance = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+    n, m, common = N.common_tokens(a, b)
+    distance = n + m - 2 * common
     return distance if distance <= bound else None
 
 
@@ -34,10 +34,7 @@ def most_edits(n: int, m: int) -> int:
 
 
 def _distance_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keep = []
-    for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-        a, b = W.tokens(W.words(x)), W.tokens(W.words(y))
-        keep.append(bounded_distance(a, b, most_edits(len(a), len(b))) is not None)
+    keep = [bounded_distance(a, b, most_edits(len(a) // 8, len(b) // 8)) is not None for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
     return batch.filter(pa.array(keep, pa.bool_())).drop_columns(["ta", "tb"])
 
 
@@ -106,7 +103,7 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
     classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
     index = segments(classes.select("h", "n", "keys", "bits1"))
     pairs = _closer(probe(index, index, on_handle=True), classes)
-    texts = _texts(pairs := materialize(pairs), firsts, memories)
+    texts = N.class_tokens(pairs := materialize(pairs), "h", "h_old", firsts, memories)
     joined = pairs.join(texts.toDF("h", "fa", "ta"), "h").join(texts.toDF("h_old", "fb", "tb"), "h_old")
     links = arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
     links = links.join(leaders.toDF("fa", "aa"), "fa").join(leaders.toDF("fb", "ab"), "fb")
@@ -114,19 +111,11 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
     return later.unionByName(short).unionByName(cases.select(F.col("v.id").alias("id")))
 
 
-def _texts(pairs: DataFrame, firsts: DataFrame, memories: DataFrame) -> DataFrame:
-    """(h, fp, t) of the classes that pairs name."""
-    wanted = pairs.select("h").union(pairs.select("h_old")).distinct()
-    reps = firsts.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("fp")).join(wanted, "h")
-    texts = memories.select("id", "content", "arrived_at").join(reps, "id").groupBy("h", "fp", "id").agg(F.min_by("content", "arrived_at").alias("t"))
-    return materialize(texts.select("h", "fp", "t"))
-
-
 class History:
     """A segment index in a folder: ``add`` reports the cases of a batch and appends its accepted memories.
 
-    The folder holds Parquet files of index rows (segments, position, length, bits, text) partitioned by nothing but
-    the batch that wrote them; a probe reads the columns of the segments and fetches texts of candidates only.
+    The folder holds Parquet files of index rows (segments by position, with length and bits) and of strings; a probe reads the
+    segments and fetches the strings of candidates only.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -142,34 +131,30 @@ class History:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """(id) of the cases of this batch; its other memories are appended to the index."""
-        from mnemolith.session import materialize as keep
-
         sketched = N.sketches(batch)
-        firsts = keep(N.first_arrivals(sketched))
-        own = keep(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-        within = keep(repeats_of_history(batch.withColumn("batch_id", F.lit(0))))
+        firsts = materialize(N.first_arrivals(sketched))
+        own = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
         blocked = firsts.select("id").limit(0)
-        known, texts = self._old("segments"), self._old("texts")
+        known, texts = self._old("segments"), self._old("strings")
         if known is not None and texts is not None:
-            seen = self._old("texts").select("fp").distinct()
+            seen = self._old("strings").select("fp").distinct()
             copies = firsts.join(seen, "fp", "left_semi").select("id")
-            pairs = keep(probe(known, segments(own.select("h", "n", "keys", "bits1"))))
-            mine = _texts(pairs, firsts, batch)
-            joined = pairs.join(mine.toDF("h", "fa", "ta"), "h").join(texts.select(F.xxhash64("fp").alias("h_old"), F.col("text").alias("tb")), "h_old")
+            pairs = materialize(probe(known, segments(own.select("h", "n", "keys", "bits1"))))
+            mine = N.class_tokens(pairs, "h", "h", firsts, batch)
+            joined = pairs.join(mine.toDF("h", "fa", "ta"), "h").join(texts.select(F.xxhash64("fp").alias("h_old"), F.col("tok").alias("tb")), "h_old")
             near = arrow_map(joined.select("fa", "ta", "tb"), _distance_batch, "fa binary").distinct()
-            blocked = keep(copies.union(firsts.join(near.toDF("fp"), "fp", "left_semi").select("id")).distinct())
+            blocked = materialize(copies.union(firsts.join(near.toDF("fp"), "fp", "left_semi").select("id")).distinct())
         short = self._old("short")
         if short is not None:
             same = firsts.where("fp IS NULL AND content_hash <> ''").join(short, ["content_hash", "seq"], "left_semi").select("id")
-            blocked = keep(blocked.union(same).distinct())
+            blocked = materialize(blocked.union(same).distinct())
         # what history blocks cannot block others: the greedy pass runs over the rest of the batch
         free = batch.join(blocked, "id", "left_anti")
-        cases = keep(blocked.union(within if blocked.isEmpty() else repeats_of_history(free.withColumn("batch_id", F.lit(0)))))
-        accepted = keep(firsts.join(cases, "id", "left_anti"))
+        cases = materialize(blocked.union(repeats_of_history(free.withColumn("batch_id", F.lit(0)))))
+        accepted = materialize(firsts.join(cases, "id", "left_anti"))
         taken = own.join(accepted.select("fp").distinct(), "fp", "left_semi")
         segments(taken.select("h", "n", "keys", "bits1")).write.mode("append").parquet(f"{self.path}/segments")
-        body = batch.select("id", "content", "arrived_at").join(accepted.where("fp IS NOT NULL").select("id", "fp"), "id")
-        body.groupBy("fp").agg(F.min_by("content", "arrived_at").alias("text")).write.mode("append").parquet(f"{self.path}/texts")
+        N.class_tokens(taken.select("h"), "h", "h", accepted, batch).select("fp", "tok").write.mode("append").parquet(f"{self.path}/strings")
         accepted.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq").write.mode("append").parquet(f"{self.path}/short")
         return cases
 

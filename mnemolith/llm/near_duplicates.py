@@ -104,19 +104,40 @@ def candidate_classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, pairs.select("ha", "hb")
 
 
+def _tokens_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = [W.tokens(W.words(t)).tobytes() for t in batch.column("t").to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("fp"), pa.array(found, pa.binary())], names=["h", "fp", "tok"])
+
+
+def class_tokens(pairs: DataFrame, a: str, b: str, firsts: DataFrame, memories: DataFrame) -> DataFrame:
+    """(h, fp, tok): the token sets of the classes that pairs name; one text of each class is read and tokenised once."""
+    wanted = pairs.select(F.col(a).alias("h")).union(pairs.select(b)).distinct()
+    reps = firsts.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("fp")).join(wanted, "h")
+    texts = memories.select("id", "content", "arrived_at").join(reps, "id").groupBy("h", "fp", "id").agg(F.min_by("content", "arrived_at").alias("t"))
+    return materialize(arrow_map(texts.select("h", "fp", "t"), _tokens_batch, "h long, fp binary, tok binary"))
+
+
+def common_tokens(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """(sizes of two token sets, size of what they share)."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort()
+    return len(x), len(y), int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _verify_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keep = [W.similarity(W.words(a), W.words(b)) >= THRESHOLD - 1e-12 for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+    keep = []
+    for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+        n, m, common = common_tokens(a, b)
+        keep.append(common / (n + m - common) >= THRESHOLD - 1e-12)
     return batch.filter(pa.array(keep, pa.bool_())).select(["fa", "fb"])
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, memories: DataFrame) -> DataFrame:
-    """Pairs of handles -> pairs (fa, fb) of fingerprints whose texts are alike; a text is read once per class."""
+    """Pairs of handles -> pairs (fa, fb) of fingerprints whose words are alike."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
-    reps = firsts.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("fp")).join(wanted, "h")
-    texts = memories.select("id", "content", "arrived_at").join(reps, "id").groupBy("h", "fp", "id").agg(F.min_by("content", "arrived_at").alias("t"))
-    texts = materialize(texts.select("h", "fp", "t"))
-    joined = pairs.join(texts.toDF("ha", "fa", "ta"), "ha").join(texts.toDF("hb", "fb", "tb"), "hb")
+    tokens = class_tokens(pairs, "ha", "hb", firsts, memories)
+    joined = pairs.join(tokens.toDF("ha", "fa", "ta"), "ha").join(tokens.toDF("hb", "fb", "tb"), "hb")
     return arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary")
 
 

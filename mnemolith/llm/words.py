@@ -104,7 +104,7 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 #: Orders used for keys, smallest values per key, and orders whose minimum gives a bit of the first and second sketch.
-KEYS, DEPTH, BITS = 28, 6, (64, 128)
+KEYS, DEPTH, BITS = 36, 7, (64, 128)
 _MIX = np.random.Generator(np.random.PCG64(20240201)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 2_000_000
 
