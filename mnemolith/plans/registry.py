@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemolith.operators import references
+from mnemolith.operators import maintenance, references, retrieval
 
-_MODULES = (references,)
+_MODULES = (references, retrieval, maintenance)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
