@@ -35,8 +35,8 @@ WITH RECURSIVE fine AS (
          row_number() OVER (PARTITION BY memory_id ORDER BY embedded_at NULLS LAST) AS r
   FROM memory_vectors
   WHERE memory_id IS NOT NULL AND len(vector) = 64
-    AND len(list_filter(vector, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(vector, x -> x <> 0)) > 0),
+    AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 one AS MATERIALIZED (SELECT memory_id AS m, v::DOUBLE[64] AS v FROM fine WHERE r = 1),
 edges AS MATERIALIZED (
   SELECT a.m AS a, b.m AS b FROM one a JOIN one b ON a.m <> b.m AND array_cosine_similarity(a.v, b.v) >= 0.85),
