@@ -72,13 +72,13 @@ def orphan_references(memories: DataFrame, source_records: DataFrame, relationsh
     gives none, and an empty memories table makes all targets missing.
     """
     refs = materialize(references(memories, source_records, relationships))
-    parents = materialize(memories.where("id IS NOT NULL").groupBy("id").agg(F.min("arrived_at").alias("first_at")))
+    parents = materialize(memories.where("id IS NOT NULL").groupBy("id").agg(F.min("arrived_at").alias("first_at")), narrow=True)
     blocks = 1 << max(0, math.ceil(math.log2(max(1, parents.count() * BITS_PER_KEY / (8 * BLOCK_BYTES)))))
     marked = maybe_present(refs, "target_id", bloom_filter(parents, "id", blocks), blocks)
     erased = erasure_intents.where("complete = 1").select(tidy(F.col("memory_id")).alias("target_id")).where("target_id IS NOT NULL").distinct().withColumn("erased", F.lit(True))
-    erased_blocks = 1 << max(0, math.ceil(math.log2(max(1, (erased := materialize(erased)).count() * BITS_PER_KEY / (8 * BLOCK_BYTES)))))
+    erased_blocks = 1 << max(0, math.ceil(math.log2(max(1, (erased := materialize(erased, narrow=True)).count() * BITS_PER_KEY / (8 * BLOCK_BYTES)))))
     marked = maybe_present(marked.withColumnRenamed("maybe", "there"), "target_id", bloom_filter(erased, "target_id", erased_blocks), erased_blocks)
-    marked = materialize(marked.withColumnRenamed("maybe", "gone"))
+    marked = materialize(marked.withColumnRenamed("maybe", "gone"), narrow=True)
     out = ["ref_table", "ref_key", "target_id", "period"]
     definite = marked.where("NOT there AND NOT gone").select(*out, F.lit("missing").alias("reason"))
     rest = marked.where("there OR gone").join(parents.withColumnRenamed("id", "target_id").withColumn("known", F.lit(True)), "target_id", "left").join(erased, "target_id", "left")

@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    A narrow table (numbers, keys) is written without compression and dictionaries: its files then have about the size
+    of its rows, which is what Spark goes by when it decides whether a side may be broadcast.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemolith-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "none", "parquet.enable.dictionary": "false"} if narrow else {"compression": "zstd"}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
