@@ -70,14 +70,14 @@ def greedy_cases(edges: DataFrame) -> DataFrame:
     and drop out with their edges. Repeated until no edge is left, so the outcome is that of going through the nodes
     one by one; a round settles all nodes whose earlier neighbours are settled.
     """
-    edges = materialize(edges.select("u", "v").distinct())
+    edges = materialize(edges.select("u", "v").distinct(), narrow=True)
     cases: DataFrame | None = None
     while True:
         sure = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-        out = materialize(edges.join(sure, "u").select("v").distinct())
+        out = materialize(edges.join(sure, "u").select("v").distinct(), narrow=True)
         cases = out if cases is None else cases.unionByName(out)
         left = edges.join(sure, "u", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").join(out, "v", "left_anti")
-        edges = materialize(left.select("u", "v"))
+        edges = materialize(left.select("u", "v"), narrow=True)
         if edges.isEmpty():
             return cases
 
@@ -91,10 +91,10 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
     left out; repeated rows of an id count once, by their first arrival; an empty table gives no rows.
     """
     sketched = N.sketches(memories)
-    firsts = materialize(N.first_arrivals(sketched))
+    firsts = materialize(N.first_arrivals(sketched), narrow=True)
     at = F.struct(F.coalesce("batch_id", F.lit(-(2**62))).alias("batch_id"), F.col("id"))
     whole = firsts.where("fp IS NOT NULL")
-    leaders = materialize(whole.groupBy("fp").agg(F.min(at).alias("at")))
+    leaders = materialize(whole.groupBy("fp").agg(F.min(at).alias("at")), narrow=True)
     later = whole.select("id", "fp").join(leaders, "fp").where("id <> at.id").select("id")
     brief = firsts.where("fp IS NULL AND content_hash <> ''")
     first_of = brief.groupBy("content_hash", "seq").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -103,7 +103,7 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
     classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
     index = segments(classes.select("h", "n", "keys", "bits1"))
     pairs = _closer(probe(index, index, on_handle=True), classes)
-    texts = N.class_tokens(pairs := materialize(pairs), "h", "h_old", firsts, memories)
+    texts = N.class_tokens(pairs := materialize(pairs, narrow=True), "h", "h_old", firsts, memories)
     joined = pairs.join(texts.toDF("h", "fa", "ta"), "h").join(texts.toDF("h_old", "fb", "tb"), "h_old")
     links = arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
     links = links.join(leaders.toDF("fa", "aa"), "fa").join(leaders.toDF("fb", "ab"), "fb")

@@ -135,7 +135,7 @@ def _verify_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def verified(pairs: DataFrame, firsts: DataFrame, memories: DataFrame) -> DataFrame:
     """Pairs of handles -> pairs (fa, fb) of fingerprints whose words are alike."""
-    pairs = materialize(pairs)
+    pairs = materialize(pairs, narrow=True)
     tokens = class_tokens(pairs, "ha", "hb", firsts, memories)
     joined = pairs.join(tokens.toDF("ha", "fa", "ta"), "ha").join(tokens.toDF("hb", "fb", "tb"), "hb")
     return arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary")
@@ -144,7 +144,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, memories: DataFrame) -> DataFr
 def alike_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): id -> fp of every memory of at least MIN_WORDS words, and all pairs of alike classes."""
     sketched = sketches(memories)
-    firsts = materialize(first_arrivals(sketched))
+    firsts = materialize(first_arrivals(sketched), narrow=True)
     _, pairs = candidate_classes(sketched)
     return firsts.where("fp IS NOT NULL"), verified(pairs, firsts, memories)
 
@@ -157,7 +157,7 @@ def near_duplicate_pairs(memories: DataFrame) -> DataFrame:
     """
     members, links = alike_classes(memories)
     sized = members.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))
-    named = materialize(members.select("id", "fp").join(sized, "fp"))
+    named = materialize(members.select("id", "fp").join(sized, "fp"), narrow=True)
     ends = named.where((F.col("size") <= EXPAND) | (F.col("id") == F.col("rep"))).select("fp", "id")
     across = links.join(ends.toDF("fa", "ia"), "fa").join(ends.toDF("fb", "ib"), "fb").select("ia", "ib")
     many = named.where("size > 1")
@@ -174,7 +174,7 @@ def near_duplicate_groups(memories: DataFrame) -> DataFrame:
     words, links the number of other classes alike to its own.
     """
     members, links = alike_classes(memories)
-    links = materialize(links)
+    links = materialize(links, narrow=True)
     sized = members.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     degree = links.select(F.col("fa").alias("fp")).unionAll(links.select("fb")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     reps = sized.select("fp", "rep")

@@ -100,10 +100,10 @@ def packed_texts(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str
     its tokens. place is the position of the first token in the sequence seq_id.
     """
     rows = documents.select(documents.doc_id.cast("long").alias("doc_id"), "text")
-    placed = materialize(rows.mapInArrow(_packer(f"{tokenizers}/{vocabulary}", capacity, OPEN), "doc_id long, part int, first_token long, n_tokens int, window long, place int"))
+    placed = materialize(rows.mapInArrow(_packer(f"{tokenizers}/{vocabulary}", capacity, OPEN), "doc_id long, part int, first_token long, n_tokens int, window long, place int"), narrow=True)
     filled = placed.groupBy("window").agg(F.sum("n_tokens").cast("int").alias("filled"))
     # windows that were emitted are nearly full; all the others, the open ones among them, are merged
-    loose = materialize(filled.where(F.col("filled") < capacity - capacity // 32))
+    loose = materialize(filled.where(F.col("filled") < capacity - capacity // 32), narrow=True)
     tasks = max(1, -(-loose.count() // MERGED))
     laid = loose.repartition(tasks, "window").sortWithinPartitions(F.desc("filled"), "window")
     moved = laid.select("window", "filled").mapInArrow(_merger(capacity, MERGED), "window long, merged long, shift int")
