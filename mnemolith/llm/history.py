@@ -39,28 +39,27 @@ def _distance_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def segments(strings: DataFrame) -> DataFrame:
-    """(position, segment, length, bits1, bits2, key columns): the index rows of strings with keys and bits."""
-    rest = [c for c in strings.columns if c not in ("keys", "n")]
-    return strings.select(F.posexplode("keys").alias("position", "segment"), F.col("n").alias("length"), *rest)
+    """(place, h, bits1): the index rows of strings (h, keys, bits1); place is a segment under its position."""
+    placed = strings.select(F.posexplode("keys").alias("position", "segment"), "h", "bits1")
+    return placed.select(F.expr("shiftleft(CAST(position AS BIGINT), 32) | (CAST(segment AS BIGINT) & 4294967295L)").alias("place"), "h", "bits1")
 
 
 def probe(index: DataFrame, batch: DataFrame, on_handle: bool = False) -> DataFrame:
-    """(h, h_old): candidates among the index for each string of the batch, by equal segment, length and bits."""
+    """(h, h_old): candidates among the index for each string of the batch, by a segment at its position and by bits."""
     old, new = index.alias("o"), batch.alias("b")
-    on = (F.col("o.segment") == F.col("b.segment")) & (F.col("o.position") == F.col("b.position")) & N._first_bits("o.bits1", "b.bits1")
-    on = on & (F.col("o.length") * 5 >= F.col("b.length") * 4) & (F.col("b.length") * 5 >= F.col("o.length") * 4)
+    on = (F.col("o.place") == F.col("b.place")) & N._first_bits("o.bits1", "b.bits1")
     if on_handle:
         on = on & (F.col("o.h") < F.col("b.h"))
     return new.join(old, on).select(F.col("b.h").alias("h"), F.col("o.h").alias("h_old")).distinct()
 
 
-def _closer(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of handles that their other bits still allow."""
+def closer(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """Pairs of handles that lengths and all bits still allow; new and old are (h, n, bits1, bits2)."""
     total = sum(W.BITS)
-    side = classes.select("h", "bits1", "bits2")
-    joined = pairs.join(side.toDF("h", "a1", "a2"), "h").join(side.toDF("h_old", "b1", "b2"), "h_old")
+    joined = pairs.join(new.select("h", "n", "bits1", "bits2").toDF("h", "na", "a1", "a2"), "h").join(old.select("h", "n", "bits1", "bits2").toDF("h_old", "nb", "b1", "b2"), "h_old")
     differ = F.expr("bit_count(a1 ^ b1) + aggregate(zip_with(a2, b2, (x, y) -> bit_count(x ^ y)), 0, (m, v) -> m + v)")
-    return joined.where(differ <= total - N.least_equal_bits(total)).select("h", "h_old")
+    # at most floor((n + m) / 9) edits: the lengths alone may differ by so much
+    return joined.where((F.abs(F.col("na") - F.col("nb")) * 9 <= F.col("na") + F.col("nb")) & (differ <= total - N.least_equal_bits(total))).select("h", "h_old")
 
 
 def greedy_cases(edges: DataFrame) -> DataFrame:
@@ -101,8 +100,8 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
     short = brief.join(first_of, ["content_hash", "seq"]).where("id <> at.id").select("id")
 
     classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-    index = segments(classes.select("h", "n", "keys", "bits1"))
-    pairs = _closer(probe(index, index, on_handle=True), classes)
+    index = segments(classes)
+    pairs = closer(probe(index, index, on_handle=True), classes, classes)
     texts = N.class_tokens(pairs := materialize(pairs, narrow=True), "h", "h_old", firsts, memories)
     joined = pairs.join(texts.toDF("h", "fa", "ta"), "h").join(texts.toDF("h_old", "fb", "tb"), "h_old")
     links = arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
@@ -114,7 +113,8 @@ def repeats_of_history(memories: DataFrame) -> DataFrame:
 class History:
     """A segment index in a folder: ``add`` reports the cases of a batch and appends its accepted memories.
 
-    The folder holds Parquet files of index rows (segments by position, with length and bits) and of strings; a probe reads the
+    The folder holds Parquet files of index rows (segments at their positions, with bits) and of strings with their
+    lengths; a probe reads the
     segments and fetches the strings of candidates only.
     """
 
@@ -139,9 +139,9 @@ class History:
         if known is not None and texts is not None:
             seen = self._old("strings").select("fp").distinct()
             copies = firsts.join(seen, "fp", "left_semi").select("id")
-            pairs = materialize(probe(known, segments(own.select("h", "n", "keys", "bits1"))))
+            pairs = materialize(closer(probe(known, segments(own)), own, texts))
             mine = N.class_tokens(pairs, "h", "h", firsts, batch)
-            joined = pairs.join(mine.toDF("h", "fa", "ta"), "h").join(texts.select(F.xxhash64("fp").alias("h_old"), F.col("tok").alias("tb")), "h_old")
+            joined = pairs.join(mine.toDF("h", "fa", "ta"), "h").join(texts.select(F.col("h").alias("h_old"), F.col("tok").alias("tb")), "h_old")
             near = arrow_map(joined.select("fa", "ta", "tb"), _distance_batch, "fa binary").distinct()
             blocked = materialize(copies.union(firsts.join(near.toDF("fp"), "fp", "left_semi").select("id")).distinct())
         short = self._old("short")
@@ -153,8 +153,9 @@ class History:
         cases = materialize(blocked.union(repeats_of_history(free.withColumn("batch_id", F.lit(0)))))
         accepted = materialize(firsts.join(cases, "id", "left_anti"))
         taken = own.join(accepted.select("fp").distinct(), "fp", "left_semi")
-        segments(taken.select("h", "n", "keys", "bits1")).write.mode("append").parquet(f"{self.path}/segments")
-        N.class_tokens(taken.select("h"), "h", "h", accepted, batch).select("fp", "tok").write.mode("append").parquet(f"{self.path}/strings")
+        segments(taken).write.mode("append").parquet(f"{self.path}/segments")
+        strings = N.class_tokens(taken, "h", "h", accepted, batch).join(taken.select("fp", "n", "bits1", "bits2"), "fp")
+        strings.select("h", "fp", "n", "bits1", "bits2", "tok").write.mode("append").parquet(f"{self.path}/strings")
         accepted.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq").write.mode("append").parquet(f"{self.path}/short")
         return cases
 

@@ -28,7 +28,7 @@ TOLERANCE = 1e-6
 #: smallest id of the group, and other pairs name that id (class representatives plus membership).
 EXPAND = 50
 
-_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, keys array<long>, bits1 long, bits2 array<long>"
+_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, keys array<int>, bits1 long, bits2 array<long>"
 
 
 def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -45,7 +45,7 @@ def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         k, b = W.sketch(tok)
         keys.append(k), bits1.append(int(b[0])), bits2.append(b[1:])
     return pa.RecordBatch.from_arrays(
-        [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits1, pa.int64()), pa.array(bits2, pa.list_(pa.int64()))],
+        [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits1, pa.int64()), pa.array(bits2, pa.list_(pa.int64()))],
         names=["id", "content_hash", "arrived_at", "batch_id", "n", "fp", "seq", "keys", "bits1", "bits2"],
     )
 
@@ -91,7 +91,7 @@ def _first_bits(a: str, b: str) -> Column:
 def candidate_classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): one row per distinct word multiset, and pairs of handles (xxhash64 of fp) that may be alike."""
     classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-    rows = classes.select(F.explode("keys").alias("key"), "h", "bits1")
+    rows = classes.select(F.posexplode("keys").alias("j", "k"), "h", "bits1").select(F.expr("shiftleft(CAST(j AS BIGINT), 32) | (CAST(k AS BIGINT) & 4294967295L)").alias("key"), "h", "bits1")
     left, right = rows.alias("l"), rows.alias("r")
     found = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")) & _first_bits("l.bits1", "r.bits1"))
     found = found.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()

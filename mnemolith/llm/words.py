@@ -104,13 +104,13 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 #: Orders used for keys, smallest values per key, and orders whose minimum gives a bit of the first and second sketch.
-KEYS, DEPTH, BITS = 36, 7, (64, 128)
+KEYS, DEPTH, BITS = 52, 8, (64, 128)
 _MIX = np.random.Generator(np.random.PCG64(20240201)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 2_000_000
 
 
 def sketch(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(KEYS keys, sum(BITS) / 64 words of bits) of a token set.
+    """(KEYS keys of 32 bits, sum(BITS) / 64 words of bits) of a token set.
 
     Order j ranks tokens by their hash times an odd constant. Its key combines its DEPTH smallest ranks, its bit
     comes from the smallest one: two sets of similarity s agree in a key with probability about s ** DEPTH, and in a
@@ -130,4 +130,4 @@ def sketch(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.concatenate(lows)[:KEYS]
     keys = (low * _MIX[200 : 200 + low.shape[1]]).sum(axis=1, dtype=np.uint64) ^ (_MIX[:KEYS] >> np.uint64(1))
     bits = ((np.concatenate(mins) * _STEP) >> np.uint64(41)) & np.uint64(1)
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
