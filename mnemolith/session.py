@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +37,16 @@ def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemolith-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    # what the write shuffled is not needed once its table stands
+    known = spark.conf.get(_CLEANUP, None)
     options = {"compression": "none", "parquet.enable.dictionary": "false"} if narrow else {"compression": "zstd"}
-    df.write.options(**options).parquet(path)
+    try:
+        if known is not None:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.options(**options).parquet(path)
+    finally:
+        if known is not None:
+            spark.conf.set(_CLEANUP, known)
     return spark.read.schema(df.schema).parquet(path)
 
 
