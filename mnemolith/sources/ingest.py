@@ -114,7 +114,7 @@ def chunk_markdown(text: str, by: str = "heading", limit: int = 2000) -> list[tu
 def read_markdown(spark: SparkSession, path: str, by: str = "heading") -> DataFrame:
     """(source_file, source_hash, chunk_no, heading, content, status) of all Markdown files under a path.
 
-    Files that are not UTF-8 give one row with the status 'invalid_utf8', files without text one with 'empty'.
+    Files that are not UTF-8 give one row with the status 'invalid_utf8', files of blanks one with 'empty'; files of no bytes are not listed by Spark.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
 
