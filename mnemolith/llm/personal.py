@@ -424,7 +424,7 @@ def _filled(rng: random.Random, lexicon: Lexicon, given: list[str], family: list
 @lru_cache(maxsize=4)
 def _fitted(rows: tuple[tuple[str, str], ...]) -> dict[str, float]:
     lexicon = Lexicon(list(rows))
-    given = sorted(p for p, k in lexicon.kind.items() if k in "GB")
+    given = sorted(p for p, k in lexicon.kind.items() if k in "GB") or ["Anna"]
     family = sorted(p for p, k in lexicon.kind.items() if k in "FB")
     rng = random.Random(11)
     data = []

@@ -61,7 +61,9 @@ def _dot_ends(text: str, start: int, dot: int, end: int, stop: int) -> bool:
     found = _BEFORE.search(text, max(start, dot - 24), dot)
     word = found.group().lower() if found else ""
     if len(word) == 1 and word.isalpha() and not _ideographic(word):
-        return False
+        # an initial or a part of an abbreviation, unless it is the unit of a number
+        unit = dot - 3 >= start and text[dot - 1].islower() and text[dot - 2].isspace() and text[dot - 3].isdigit()
+        return unit and (after.isupper() or here > end + 1)
     if word in NEVER:
         return False
     if word in BEFORE_NUMBER:
