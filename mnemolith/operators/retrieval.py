@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith import params as P
 from mnemolith import tables as T
-from mnemolith.session import table
+from mnemolith.session import arrow_map, table
 
 C = T.Catalogue()
 
+#: Realms that are compared with every memory.
+REALMS = 4096
+
 HOURS = f"CAST(greatest(timestampdiff(HOUR, last_accessed, {P.NOW_NTZ}), 0) AS DOUBLE)"
 HOURS_SQL = f"CAST(greatest(date_sub('hour', last_accessed, {P.NOW}), 0) AS DOUBLE)"
 
@@ -146,9 +151,11 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, terms: list[str], int
     cos = similar(vectors, query_vector(vectors))
     dense = cos.orderBy(F.desc(F.round("cosine", 6)), "id").limit(CANDIDATES).where(F.col("cosine") >= LEAST).select("id", "cosine")
     words = bm25(memories, terms).orderBy(F.desc(F.round("bm25", 6)), "id").limit(CANDIDATES)
-    words = words.crossJoin(F.broadcast(words.agg(F.max("bm25").alias("top")))).select("id", (HYBRID_WEIGHT * F.col("bm25") / F.col("top")).alias("bonus"))
-    lexical = words.join(dense.select("id"), "id", "left_anti").join(cos, "id").select("id", (F.col("cosine") + F.col("bonus")).alias("s")).where(F.col("s") >= LEAST)
-    blended = dense.join(words, "id", "left").select("id", (F.col("cosine") + F.coalesce("bonus", F.lit(0.0))).alias("s")).unionByName(lexical)
+    # a window over the fifty candidates, so that the scores are computed once
+    words = words.withColumn("bonus", HYBRID_WEIGHT * F.col("bm25") / F.max("bm25").over(Window.partitionBy())).select("id", "bonus")
+    lexical = cos.join(F.broadcast(words), "id").select("id", F.col("cosine").alias("lexical"), "bonus")
+    blended = dense.join(lexical, "id", "full").withColumn("s", F.coalesce("cosine", "lexical") + F.coalesce("bonus", F.lit(0.0)))
+    blended = blended.where(F.col("cosine").isNotNull() | (F.col("s") >= LEAST)).select("id", "s")
     rows = blended.join(memories, "id")
     score = f"s * ({P.TRUST}) * {wv}D * (1 + (importance - 0.5D) * ({wi}D - 1)) * (1 + (({recency(HOURS)}) - 0.5D) * ({wr}D - 1)) * (1 + upvotes * 0.18D)"
     return rows.select("id", F.expr(f"round({score}, 5)").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
@@ -216,15 +223,26 @@ def suggest_realms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT near.realm_name AS nearest, count(*) AS memories, count(*) FILTER (WHERE near.realm_name <> mem.realm_name) AS moved FROM near JOIN mem USING (id) WHERE r = 1 AND c >= 0.2 GROUP BY ALL"""
 )
 def realm_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each memory goes to the realm of the nearest centroid (at 0.2 or more). Realms are few: a bounded side."""
+    """Each memory goes to the realm of the nearest centroid (at 0.2 or more).
+
+    The centroids of at most REALMS realms travel with the function; a batch is one matrix product.
+    """
     mem, v = T.memories(spark, sf_dir), T.vectors(spark, sf_dir)
-    cen = centroids(mem, v).select("realm_name", "cv")
-    packed = cen.orderBy("realm_name").limit(4096).agg(F.collect_list(F.struct("realm_name", "cv")).alias("all"))
-    scored = F.expr(f"transform(all, c -> named_struct('s', round({T.dot('v', 'c.cv')}, 6), 'n', c.realm_name))")
-    best = F.expr("reduce(s, s[0], (m, x) -> IF(x.s > m.s OR (x.s = m.s AND x.n < m.n), x, m))")
-    rows = v.crossJoin(F.broadcast(packed)).select("id", scored.alias("s")).select("id", best.alias("b")).where("b.s >= 0.2")
+    cen = centroids(mem, v).orderBy("realm_name").limit(REALMS).collect()
+    names, c = np.array([r["realm_name"] for r in cen]), np.array([r["cv"] for r in cen]).reshape(len(cen), -1)
+
+    def nearest(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if not len(names):
+            return None
+        x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+        s = np.round(x @ c.T, 6)
+        best = s.argmax(axis=1)  # names are in order, so ties go to the smaller one
+        keep = s.max(axis=1) >= 0.2
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[best])], names=["id", "nearest"]).filter(pa.array(keep))
+
+    rows = arrow_map(v, nearest, "id string, nearest string")
     joined = rows.join(mem.select("id", "realm_name"), "id")
-    return joined.groupBy(F.col("b.n").alias("nearest")).agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("b.n") != F.col("realm_name")).alias("moved"))
+    return joined.groupBy("nearest").agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("nearest") != F.col("realm_name")).alias("moved"))
 
 
 @C.add(f"WITH {T.VEC}, {T.MEM}, {_MEANS} SELECT a.realm_name AS realm_a, b.realm_name AS realm_b, round(array_cosine_similarity(a.cv, b.cv), 5) AS cosine FROM cen a JOIN cen b ON a.realm_name < b.realm_name AND round(array_cosine_similarity(a.cv, b.cv), 5) > 0.3")
