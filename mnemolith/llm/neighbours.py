@@ -3,8 +3,9 @@
 Cross-polytope hashing. A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) is applied to
 the unit vectors, and the nearest signed axis is the digit of a hash; a table's bucket has DIGITS digits. Each vector
 is indexed in its own bucket of every table, and also probes the bucket with its second nearest axis where that is
-close. The candidates of a bucket are ranked by their cosines. A bucket beyond RUN rows is cut along a random
-direction into slices of about that size, so no task gets more than a bounded part of a hot group.
+close. The candidates of a bucket are ranked by their cosines. A bucket beyond blocks.BLOCK rows is divided into parts
+and every part meets every other one in a block of its own: no task gets more than a bounded part of a hot group, and
+none of its pairs is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemolith import blocks as B
 from mnemolith.llm import vectors as V
 from mnemolith.session import arrow_map, materialize, table
 
@@ -36,10 +38,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotations(tables: int = TABLES, digits: int = DIGITS, dim: int = V.DIM) -> np.ndarray:
-    """(tables * digits + tables, dim, dim): a pseudo-rotation per digit, and one per table to slice along."""
+    """(tables * digits, dim, dim): a pseudo-rotation per digit."""
     rng = np.random.Generator(np.random.PCG64(7))
     out = []
-    for _ in range(tables * digits + tables):
+    for _ in range(tables * digits):
         x = np.eye(dim)
         for _ in range(3):
             x = hadamard(x * rng.choice([-1.0, 1.0], dim))
@@ -47,10 +49,9 @@ def rotations(tables: int = TABLES, digits: int = DIGITS, dim: int = V.DIM) -> n
     return np.array(out)
 
 
-def _hash(x: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, probes, slices) of unit vectors; a probe is -1 where there is none."""
-    keys, probes, along = [], [], []
-    base = TABLES * DIGITS
+def _hash(x: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, probes) of unit vectors; a probe is -1 where there is none."""
+    keys, probes = [], []
     for t in range(TABLES):
         key = np.zeros(len(x), np.int64)
         digits, seconds, ratios = [], [], []
@@ -75,8 +76,7 @@ def _hash(x: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         shift = t * (2 * V.DIM) ** DIGITS
         keys.append(key + shift)
         probes.append(np.where(ratio.max(axis=0) >= PROBE, other + shift, -1))
-        along.append((x @ rotated[base + t][:, 0]).astype(np.float32))
-    return np.array(keys).T, np.array(probes).T, np.array(along).T
+    return np.array(keys).T, np.array(probes).T
 
 
 def _listed(a: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -84,70 +84,26 @@ def _listed(a: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def hashed(vectors: DataFrame) -> DataFrame:
-    """(n, memory_id, embedded_at, q, keys, probes, along) of the usable rows, n unique."""
+    """(n, memory_id, embedded_at, q, keys, probes) of the usable rows, n unique."""
     rotated = rotations()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = V.to_matrix(batch.column("vector"))
-        keys, probes, along = _hash(x, rotated)
-        cols = [batch.column("n"), batch.column("memory_id"), batch.column("embedded_at"), V.packed(x), _listed(keys, pa.int64()), _listed(probes, pa.int64()), _listed(along, pa.float32())]
-        return pa.RecordBatch.from_arrays(cols, names=["n", "memory_id", "embedded_at", "q", "keys", "probes", "along"])
+        keys, probes = _hash(x, rotated)
+        cols = [batch.column("n"), batch.column("memory_id"), batch.column("embedded_at"), V.packed(x), _listed(keys, pa.int64()), _listed(probes, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["n", "memory_id", "embedded_at", "q", "keys", "probes"])
 
     rows = V.usable(vectors).withColumn("n", F.monotonically_increasing_id()).withColumn("embedded_at", F.col("embedded_at").cast("timestamp_ntz"))
-    return materialize(arrow_map(rows, run, "n long, memory_id string, embedded_at timestamp_ntz, q binary, keys array<long>, probes array<long>, along array<float>"))
-
-
-def _ranker(least: float | None):
-    """Within one bucket: the NEIGHBOURS most similar home rows of every row."""
-
-    def rank(rows: pa.Table) -> pa.Table | None:
-        n = np.asarray(rows.column("n"))
-        home = np.asarray(rows.column("home"))
-        if len(n) < 2 or not home.any():
-            return None
-        x = V.unpacked(rows.column("q").to_pylist())
-        hn, hx = n[home], x[home]
-        out_n, out_b, out_c = [], [], []
-        for s in range(0, len(n), V._BLOCK):
-            own = n[s : s + V._BLOCK]
-            c = x[s : s + V._BLOCK] @ hx.T
-            c[own[:, None] == hn[None, :]] = -2
-            fits = c >= (least if least is not None else -1.5)
-            count = fits.sum(axis=1)
-            few = np.flatnonzero((count > 0) & (count <= NEIGHBOURS))
-            r, j = np.nonzero(fits[few])
-            out_n.append(own[few[r]]), out_b.append(hn[j]), out_c.append(c[few[r], j])
-            many = np.flatnonzero(count > NEIGHBOURS)
-            if len(many):
-                part = c[many]
-                best = np.argpartition(part, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS:]
-                out_n.append(np.repeat(own[many], NEIGHBOURS)), out_b.append(hn[best].ravel()), out_c.append(np.take_along_axis(part, best, axis=1).ravel())
-        a = np.concatenate(out_n)
-        if not len(a):
-            return None
-        return pa.table({"a": a, "b": np.concatenate(out_b), "c": np.concatenate(out_c).astype(np.float32)})
-
-    return rank
+    return materialize(arrow_map(rows, run, "n long, memory_id string, embedded_at timestamp_ntz, q binary, keys array<long>, probes array<long>"))
 
 
 def neighbour_rows(rows: DataFrame, least: float | None) -> DataFrame:
     """(a, b, c): the NEIGHBOURS most similar rows b of each row a, by handle, with the cosine c."""
     live = V.without(rows, V.repeats(rows.select("n", "memory_id", "embedded_at")))
-    own = live.select("n", "q", F.posexplode(F.arrays_zip("keys", "along")).alias("t", "z")).select("n", "q", F.col("z.keys").alias("key"), F.col("z.along").alias("along"), F.lit(True).alias("home"))
-    more = live.select("n", "q", F.explode(F.arrays_zip("probes", "along")).alias("z")).where("z.probes >= 0").select("n", "q", F.col("z.probes").alias("key"), F.col("z.along").alias("along"), F.lit(False).alias("home"))
-    # a key with more than RUN rows gets cuts at quantiles; there are at most TABLES / RUN such keys per row
-    sized = live.select(F.explode(F.arrays_zip("keys", "along")).alias("z")).groupBy(F.col("z.keys").alias("key")).agg(F.count(F.lit(1)).alias("size"), F.percentile_approx("z.along", F.lit([i / 64 for i in range(1, 64)]), 1000).alias("marks"))
-    heavy = sized.where(F.col("size") > V.RUN).withColumn("parts", F.least(F.lit(64), F.ceil(F.col("size") / V.RUN)).cast("int"))
-    heavy = heavy.select("key", F.expr("transform(sequence(1, parts - 1), i -> element_at(marks, CAST(round(64.0 * i / parts) AS INT)))").alias("cuts"))
-    heavy = materialize(heavy)
-    every = own.unionByName(more)
-    if heavy.isEmpty():
-        every = every.withColumn("slice", F.lit(0))
-    else:
-        side = F.broadcast(heavy) if heavy.count() <= 20_000 else heavy
-        every = every.join(side, "key", "left").withColumn("slice", F.expr("coalesce(size(filter(cuts, x -> x < along)), 0)")).drop("cuts")
-    laid = every.repartition(F.col("key"), F.col("slice")).sortWithinPartitions("key", "slice", "along").select("key", "slice", "n", "q", "home")
-    found = V.grouped_runs(laid, ["key", "slice"], _ranker(least), "a long, b long, c float")
+    own = live.select("n", "q", F.explode("keys").alias("key"), F.lit(True).alias("home"))
+    more = live.select("n", "q", F.explode("probes").alias("key"), F.lit(False).alias("home")).where("key >= 0")
+    every = own.unionByName(more).withColumn("asks", F.lit(True))
+    found = B.compared(every, ["key"], B.best(V.unpacked, NEIGHBOURS, least), "a long, b long, c float")
     # the cosine of a pair differs in its last bits between tables, so a neighbour is counted once by its handle
     order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "b")))
     best = found.groupBy("a").agg(order.alias("all")).withColumn("b", F.expr(f"slice(array_distinct(transform(all, m -> m.b)), 1, {NEIGHBOURS})"))
