@@ -7,14 +7,15 @@ spread over tasks and no pair of it is left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemolith.session import materialize, ship
+from mnemolith.session import arrow_map, materialize, ship
 
 #: Rows of one side of a block, about.
 BLOCK = 16384
@@ -30,7 +31,7 @@ def packed(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def compared(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def compared(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
     """fn over blocks of rows (keys, n, q, asks, home); within a block, every row that asks is to meet every home row."""
     sized = rows.groupBy(*keys).agg(F.count_if("asks").alias("a"), F.count_if("home").alias("h")).where(F.greatest("a", "h") > BLOCK)
     heavy = materialize(sized.select(*keys, F.ceil(F.col("a") / BLOCK).cast("int").alias("pa"), F.ceil(F.col("h") / BLOCK).cast("int").alias("ph")).where("pa > 0 AND ph > 0"))
@@ -50,7 +51,7 @@ def compared(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table
     return _by_cell(laid, cell, fn, schema)
 
 
-def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +59,14 @@ def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], pa.Table |
         done: list[pa.Table] = []
         last = None
 
-        def close() -> None:
-            nonlocal held
-            out = fn(pa.Table.from_batches(held).combine_chunks())
-            if out is not None and out.num_rows:
-                done.append(out)
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, done
+            for out in fn(pa.Table.from_batches(held).combine_chunks()):
+                if out.num_rows:
+                    done.append(out)
+                if out.num_rows > 20_000:
+                    yield from pa.concat_tables(done).combine_chunks().to_batches()
+                    done = []
             held = []
 
         for batch in batches:
@@ -74,10 +78,10 @@ def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], pa.Table |
                 change[1:] |= c[1:] != c[:-1]
             start, first = 0, tuple(c[0] for c in cols)
             if held and first != last:
-                close()
+                yield from close()
             for edge in np.flatnonzero(change).tolist():
                 held.append(batch.slice(start, edge - start))
-                close()
+                yield from close()
                 start = edge
             held.append(batch.slice(start))
             last = tuple(c[-1] for c in cols)
@@ -85,20 +89,20 @@ def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], pa.Table |
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
                 done = []
         if held:
-            close()
+            yield from close()
         if done:
             yield from pa.concat_tables(done).combine_chunks().to_batches()
 
     return df.mapInArrow(run, schema)
 
 
-def best(unpacked: Callable[[list[bytes]], np.ndarray], most: int, least: float | None) -> Callable[[pa.Table], pa.Table | None]:
+def best(unpacked: Callable[[list[bytes]], np.ndarray], most: int, least: float | None) -> Callable[[pa.Table], Iterable[pa.Table]]:
     """Within a block, for each row that asks the most similar home rows other than itself: (a, b, c)."""
 
-    def rank(rows: pa.Table) -> pa.Table | None:
+    def rank(rows: pa.Table) -> Iterator[pa.Table]:
         asks, home = (rows.column(k).to_numpy() for k in ("asks", "home"))
         if len(asks) < 2 or not asks.any() or not home.any():
-            return None
+            return
         n, x = rows.column("n").to_numpy(), unpacked(rows.column("q").to_pylist())
         an, ax, hn, hx = n[asks], x[asks], n[home], x[home]
         out_a, out_b, out_c = [], [], []
@@ -116,9 +120,44 @@ def best(unpacked: Callable[[list[bytes]], np.ndarray], most: int, least: float
                 part = c[many]
                 top = np.argpartition(part, -most, axis=1)[:, -most:]
                 out_a.append(np.repeat(own[many], most)), out_b.append(hn[top].ravel()), out_c.append(np.take_along_axis(part, top, axis=1).ravel())
-        a = np.concatenate(out_a)
-        if not len(a):
-            return None
-        return pa.table({"a": a, "b": np.concatenate(out_b), "c": np.concatenate(out_c).astype(x.dtype)})
+        if out_a:
+            yield pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "c": np.concatenate(out_c).astype(x.dtype)})
 
     return rank
+
+
+def numbered(rows: DataFrame, vector: str = "v") -> DataFrame:
+    """rows with a handle n, and the unit vector of doubles as bytes q in place of its column."""
+    kept = [f for f in rows.schema.fields if f.name != vector]
+    schema = T.StructType([T.StructField("n", T.LongType()), *kept, T.StructField("q", T.BinaryType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = batch.column(vector)
+        q = packed(np.asarray(v.flatten(), np.float64).reshape(len(v), -1))
+        return pa.RecordBatch.from_arrays([batch.column("n"), *(batch.column(f.name) for f in kept), q], names=schema.names)
+
+    return materialize(arrow_map(rows.withColumn("n", F.monotonically_increasing_id()), run, schema))
+
+
+def unpacked(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
+def pairs(least: float) -> Callable[[pa.Table], Iterable[pa.Table]]:
+    """Within a block, the pairs (a, b, c), a < b, with a cosine c of least or more, of a row that asks and a home row."""
+
+    def find(rows: pa.Table) -> Iterator[pa.Table]:
+        n, x = rows.column("n").to_numpy(), unpacked(rows.column("q").to_pylist())
+        asks, home = (rows.column(k).to_numpy() for k in ("asks", "home"))
+        an, ax, hn, hx = n[asks], x[asks], n[home], x[home]
+        low = hx.astype(np.float32)
+        for s in range(0, len(an), STEP):
+            own, own_x = an[s : s + STEP], ax[s : s + STEP]
+            r, j = np.nonzero(own_x.astype(np.float32) @ low.T >= least - 1e-4)
+            once = own[r] < hn[j]
+            r, j = r[once], j[once]
+            c = np.einsum("ij,ij->i", own_x[r], hx[j])
+            fits = c >= least
+            yield pa.table({"a": own[r[fits]], "b": hn[j[fits]], "c": c[fits]})
+
+    return find

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemolith import blocks as B
 from mnemolith import params as P
 from mnemolith import tables as T
 from mnemolith.operators.retrieval import HOURS, HOURS_SQL, TOKENS, TOKENS_SQL, recency
@@ -114,6 +115,26 @@ def dedup_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("winner_id", "loser_id", F.expr(f"round({T.dot('xa', 'xb')}, 4)").alias("cosine")).where("cosine >= 0.95")
 
 
+@C.add(
+    f"""WITH {T.MEM}, {T.VEC}, r AS (SELECT id, realm_name, visibility, verification_status = 'certified' AS protected, v, row_number() OVER (ORDER BY {_ORDER}) AS r FROM mem JOIN vec USING (id))
+SELECT a.id AS winner_id, b.id AS loser_id, a.realm_name, round(array_cosine_similarity(a.v, b.v), 4) AS cosine, b.protected FROM r a JOIN r b ON a.realm_name = b.realm_name AND a.visibility = b.visibility AND a.r < b.r
+WHERE round(array_cosine_similarity(a.v, b.v), 4) >= 0.95"""
+)
+def dedup_near_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of live memories of one realm and visibility with a cosine from 0.95 on; certified losers are protected.
+
+    dedup_near_pairs only judges an earlier run's list again; here every pair of a realm is compared.
+    """
+    rank = F.struct((F.col("verification_status") != "certified").alias("a"), (-F.col("upvotes")).alias("b"), (-F.col("importance")).alias("c"), F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**62)).alias("d"), "id")
+    side = T.memories(spark, sf_dir).select("id", "realm_name", "visibility", rank.alias("rank")).join(T.vectors(spark, sf_dir), "id")
+    rows = B.numbered(side.drop("id"))
+    both = rows.select("realm_name", "visibility", "n", "q", F.lit(True).alias("asks"), F.lit(True).alias("home"))
+    found = B.compared(both, ["realm_name", "visibility"], B.pairs(0.9499), "a long, b long, c double").withColumn("cosine", F.round("c", 4)).where("cosine >= 0.95")
+    named = found.join(rows.select(F.col("n").alias("a"), "realm_name", F.col("rank").alias("ra")), "a").join(rows.select(F.col("n").alias("b"), F.col("rank").alias("rb")), "b")
+    named = named.withColumn("w", F.least("ra", "rb")).withColumn("l", F.greatest("ra", "rb"))
+    return named.select(F.col("w.id").alias("winner_id"), F.col("l.id").alias("loser_id"), "realm_name", "cosine", (~F.col("l.a")).alias("protected"))
+
+
 @C.add(f"WITH {T.MEM}, g AS (SELECT realm_name, source_hash, content, count(*) AS n, sum(access_count)::BIGINT AS access_count, max(importance) AS importance FROM mem WHERE {_EXACT} GROUP BY ALL HAVING count(*) > 1), t AS (SELECT realm_name, source_hash, content, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT realm_name, source_hash, content, unnest(tags) AS tag FROM mem WHERE {_EXACT}) WHERE tag IS NOT NULL GROUP BY ALL) SELECT g.realm_name, md5(g.content) AS content_md5, n AS members, access_count, importance, coalesce(t.tags, '') AS tags FROM g LEFT JOIN t USING (realm_name, source_hash, content)")
 def dedup_merge_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a merged memory carries: summed accesses, the largest importance, the union of tags."""

@@ -1,0 +1,17 @@
+"""Operators over pairs of memories look at all of them, not only at pairs listed before."""
+
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from mnemolith import blocks
+from mnemolith.operators import maintenance
+
+
+def test_near_duplicates_beyond_the_list(spark, monkeypatch):
+    listed = {tuple(sorted(r)) for r in spark.read.parquet(f"{DATA}/duplicate_candidates.parquet").select("winner_id", "loser_id").collect()}
+    whole = {tuple(r) for r in maintenance.dedup_near_all(spark, DATA).select("winner_id", "loser_id").collect()}
+    assert {tuple(sorted(p)) for p in whole} - listed
+    again = {tuple(sorted((r.winner_id, r.loser_id))) for r in maintenance.dedup_near_pairs(spark, DATA).where(F.col("winner_id") != F.col("loser_id")).collect()}
+    assert again <= {tuple(sorted(p)) for p in whole}
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    assert {tuple(r) for r in maintenance.dedup_near_all(spark, DATA).select("winner_id", "loser_id").collect()} == whole
