@@ -31,10 +31,11 @@ def packed(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def compared(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
+def compared(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterable[pa.Table]], schema: str, block: int | None = None) -> DataFrame:
     """fn over blocks of rows (keys, n, q, asks, home); within a block, every row that asks is to meet every home row."""
-    sized = rows.groupBy(*keys).agg(F.count_if("asks").alias("a"), F.count_if("home").alias("h")).where(F.greatest("a", "h") > BLOCK)
-    heavy = materialize(sized.select(*keys, F.ceil(F.col("a") / BLOCK).cast("int").alias("pa"), F.ceil(F.col("h") / BLOCK).cast("int").alias("ph")).where("pa > 0 AND ph > 0"))
+    block = block or BLOCK
+    sized = rows.groupBy(*keys).agg(F.count_if("asks").alias("a"), F.count_if("home").alias("h")).where(F.greatest("a", "h") > block)
+    heavy = materialize(sized.select(*keys, F.ceil(F.col("a") / block).cast("int").alias("pa"), F.ceil(F.col("h") / block).cast("int").alias("ph")).where("pa > 0 AND ph > 0"))
     count = heavy.count()
     if not count:
         laid = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
@@ -96,14 +97,14 @@ def _by_cell(df: DataFrame, cell: list[str], fn: Callable[[pa.Table], Iterable[p
     return df.mapInArrow(run, schema)
 
 
-def best(unpacked: Callable[[list[bytes]], np.ndarray], most: int, least: float | None) -> Callable[[pa.Table], Iterable[pa.Table]]:
+def best(vectors: Callable[[list[bytes]], np.ndarray], most: int, least: float | None) -> Callable[[pa.Table], Iterable[pa.Table]]:
     """Within a block, for each row that asks the most similar home rows other than itself: (a, b, c)."""
 
     def rank(rows: pa.Table) -> Iterator[pa.Table]:
         asks, home = (rows.column(k).to_numpy() for k in ("asks", "home"))
         if len(asks) < 2 or not asks.any() or not home.any():
             return
-        n, x = rows.column("n").to_numpy(), unpacked(rows.column("q").to_pylist())
+        n, x = rows.column("n").to_numpy(), vectors(rows.column("q").to_pylist())
         an, ax, hn, hx = n[asks], x[asks], n[home], x[home]
         out_a, out_b, out_c = [], [], []
         for s in range(0, len(an), STEP):
@@ -126,21 +127,27 @@ def best(unpacked: Callable[[list[bytes]], np.ndarray], most: int, least: float
     return rank
 
 
-def numbered(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """rows with a handle n, and the unit vector of doubles as bytes q in place of its column."""
+def top(found: DataFrame, most: int) -> DataFrame:
+    """(a, b, c): of all rows of a in found, the most similar ones."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "b")))
+    return found.groupBy("a").agg(F.slice(order, 1, most).alias("all")).select("a", F.explode("all").alias("m")).select("a", F.col("m.b").alias("b"), (-F.col("m.d")).alias("c"))
+
+
+def numbered(rows: DataFrame, vector: str = "v", kind: str = "<f8") -> DataFrame:
+    """rows with a handle n, and the unit vector as bytes q in place of its column."""
     kept = [f for f in rows.schema.fields if f.name != vector]
     schema = T.StructType([T.StructField("n", T.LongType()), *kept, T.StructField("q", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = batch.column(vector)
-        q = packed(np.asarray(v.flatten(), np.float64).reshape(len(v), -1))
+        q = packed(np.asarray(v.flatten(), kind).reshape(len(v), -1))
         return pa.RecordBatch.from_arrays([batch.column("n"), *(batch.column(f.name) for f in kept), q], names=schema.names)
 
     return materialize(arrow_map(rows.withColumn("n", F.monotonically_increasing_id()), run, schema))
 
 
-def unpacked(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def unpacked(column: list[bytes], kind: str = "<f8") -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
 def pairs(least: float) -> Callable[[pa.Table], Iterable[pa.Table]]:

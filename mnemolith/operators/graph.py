@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemolith import blocks as B
 from mnemolith import tables as T
 from mnemolith.session import materialize, table
 
@@ -128,6 +129,22 @@ def graph_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.expr(f"round({T.dot('va', 'vb')}, 4)").alias("weight")).where("weight >= 0.6")
 
 
+@C.add()
+def graph_similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from_id, to_id, weight): every memory and its five nearest of the whole store, exactly, from a cosine of 0.6 on.
+
+    graph_similar only weighs the links that relationships already holds.
+    """
+    live = T.memories(spark, sf_dir).select("id").join(T.vectors(spark, sf_dir), "id")
+    rows = B.numbered(live, kind="<f4")
+    every = rows.select(F.lit(0).alias("g"), "n", "q", F.lit(True).alias("asks"), F.lit(True).alias("home"))
+    found = B.compared(every, ["g"], B.best(lambda q: B.unpacked(q, "<f4"), 5, 0.5999), "a long, b long, c float", 2 * B.BLOCK)
+    near = B.top(found, 5).withColumn("weight", F.round(F.col("c").cast("double"), 4)).where("weight >= 0.6")
+    pairs = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight"))
+    named = pairs.join(rows.select(F.col("n").alias("a"), F.col("id").alias("ia")), "a").join(rows.select(F.col("n").alias("b"), F.col("id").alias("ib")), "b")
+    return named.select(F.least("ia", "ib").alias("from_id"), F.greatest("ia", "ib").alias("to_id"), "weight")
+
+
 @C.add(
     f"""WITH {T.MEM}, {T.VEC}, member AS (SELECT topic_clusters.id AS cluster_id, label, unnest(memory_ids) AS mid FROM topic_clusters),
 live AS (SELECT cluster_id, label, mid, v FROM member JOIN vec ON vec.id = mid WHERE mid IN (SELECT id FROM mem)),

@@ -181,6 +181,31 @@ def inferred_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.col("s").alias("similarity"), F.expr(kind).alias("link_type"))
 
 
+_LINK = "CASE WHEN {same_realm} AND s > 0.7 THEN 'companion' WHEN gap < 300 THEN 'companion' WHEN gap > 0 AND gap < 3600 THEN 'temporal_next' WHEN s > 0.75 THEN 'companion' WHEN s > 0.5 THEN 'fill_gap' WHEN {same_file} THEN 'prerequisite' END"
+
+
+@C.add(
+    f"""WITH {T.MEM}, {T.VEC}, live AS (SELECT id, realm_name, source_file, ingested_at, v FROM mem JOIN vec USING (id)),
+p AS (SELECT m.id AS a, n.id AS b, round(array_cosine_similarity(m.v, n.v), 4) AS s, abs(epoch_us(n.ingested_at) - epoch_us(m.ingested_at)) // 1000000 AS gap, m.realm_name = n.realm_name AS same_realm, m.source_file = n.source_file AS same_file FROM live m JOIN live n ON m.id < n.id),
+k AS (SELECT a AS from_id, b AS to_id, s AS similarity, {_LINK.format(same_realm="same_realm", same_file="same_file")} AS link_type FROM p WHERE s >= 0.3)
+SELECT * FROM k WHERE link_type IS NOT NULL"""
+)
+def inferred_associations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of memories with a cosine from 0.3 on that are of some kind of link, with that kind.
+
+    inferred_associations only classifies the pairs that relationships already links.
+    """
+    side = T.memories(spark, sf_dir).select("id", "realm_name", "source_file", "ingested_at").join(T.vectors(spark, sf_dir), "id")
+    rows = B.numbered(side)
+    every = rows.select(F.lit(0).alias("g"), "n", "q", F.lit(True).alias("asks"), F.lit(True).alias("home"))
+    found = B.compared(every, ["g"], B.pairs(0.2999), "a long, b long, c double", 2 * B.BLOCK).withColumn("s", F.round("c", 4)).where("s >= 0.3")
+    meta = rows.select("n", "id", "realm_name", "source_file", "ingested_at")
+    both = found.join(meta.toDF("a", "ia", "ra", "fa", "ta"), "a").join(meta.toDF("b", "ib", "rb", "fb", "tb"), "b")
+    both = both.withColumn("gap", F.expr("abs(timestampdiff(MICROSECOND, ta, tb)) div 1000000"))
+    kind = F.expr(_LINK.format(same_realm="ra = rb", same_file="fa = fb"))
+    return both.select(F.least("ia", "ib").alias("from_id"), F.greatest("ia", "ib").alias("to_id"), F.col("s").alias("similarity"), kind.alias("link_type")).where("link_type IS NOT NULL")
+
+
 @C.add(
     f"""WITH {T.MEM}, recent AS (SELECT realm_name, count(*) AS n FROM mem WHERE ingested_at >= {P.NOW} - INTERVAL 120 DAY GROUP BY ALL),
 s AS (SELECT m.id, importance, date_sub('day', ingested_at, {P.NOW}) AS days, coalesce(r.n, 0) - CASE WHEN ingested_at >= {P.NOW} - INTERVAL 120 DAY THEN 1 ELSE 0 END > 0 AS followed FROM mem m LEFT JOIN recent r USING (realm_name) WHERE chunk_type = 'session_summary' AND verification_status <> 'certified' AND ingested_at IS NOT NULL),

@@ -1,10 +1,11 @@
 """Operators over pairs of memories look at all of them, not only at pairs listed before."""
 
+import numpy as np
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from mnemolith import blocks
-from mnemolith.operators import maintenance
+from mnemolith import blocks, tables
+from mnemolith.operators import graph, maintenance
 
 
 def test_near_duplicates_beyond_the_list(spark, monkeypatch):
@@ -15,3 +16,30 @@ def test_near_duplicates_beyond_the_list(spark, monkeypatch):
     assert again <= {tuple(sorted(p)) for p in whole}
     monkeypatch.setattr(blocks, "BLOCK", 7)
     assert {tuple(r) for r in maintenance.dedup_near_all(spark, DATA).select("winner_id", "loser_id").collect()} == whole
+
+
+def test_similar_edges_beyond_the_relationships(spark, monkeypatch):
+    rows = tables.memories(spark, DATA).select("id").join(tables.vectors(spark, DATA), "id").orderBy("id").collect()
+    x = np.array([r.v for r in rows])
+    c = x @ x.T - 3 * np.eye(len(x))
+    true, sure = {}, set()
+    for i in range(len(x)):
+        order = np.argsort(-c[i])
+        for j in order[:5]:
+            if c[i, j] >= 0.6:
+                true[tuple(sorted((rows[i].id, rows[int(j)].id)))] = c[i, j]
+                if c[i, j] > c[i, order[5]] + 1e-6:
+                    sure.add(tuple(sorted((rows[i].id, rows[int(j)].id))))
+    for block in (blocks.BLOCK, 20):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        got = {(r.from_id, r.to_id): r.weight for r in graph.graph_similar_all(spark, DATA).collect()}
+        assert sure <= set(got) and abs(len(got) - len(true)) <= len(true) - len(sure)
+        assert all(abs(w - true[p]) < 1e-4 for p, w in got.items() if p in true)
+    stored = {(r.from_id, r.to_id) for r in graph.graph_similar(spark, DATA).collect()}
+    assert set(got) - stored
+
+
+def test_associations_beyond_the_relationships(spark):
+    stored = {(r.from_id, r.to_id) for r in maintenance.inferred_associations(spark, DATA).where("link_type IS NOT NULL").collect()}
+    got = {(r.from_id, r.to_id) for r in maintenance.inferred_associations_all(spark, DATA).collect()}
+    assert stored < got
