@@ -99,7 +99,10 @@ def hashed(vectors: DataFrame) -> DataFrame:
 
 def neighbour_rows(rows: DataFrame, least: float | None) -> DataFrame:
     """(a, b, c): the NEIGHBOURS most similar rows b of each row a, by handle, with the cosine c."""
-    live = V.without(rows, V.repeats(rows.select("n", "memory_id", "embedded_at")))
+    return _near(V.without(rows, V.repeats(rows.select("n", "memory_id", "embedded_at"))), least)
+
+
+def _near(live: DataFrame, least: float | None) -> DataFrame:
     own = live.select("n", "q", F.explode("keys").alias("key"), F.lit(True).alias("home"))
     more = live.select("n", "q", F.explode("probes").alias("key"), F.lit(False).alias("home")).where("key >= 0")
     every = own.unionByName(more).withColumn("asks", F.lit(True))
@@ -115,10 +118,17 @@ def neighbours(vectors: DataFrame) -> DataFrame:
     """(memory_id, rank, neighbour_id, cosine): up to five most similar memories of each memory with a usable vector.
 
     Null, empty, short, zero and non-finite vectors are left out; a repeated memory_id counts once, with the vector of
-    its first embedded_at; ties go to the row read first; an empty table gives no rows.
+    its first embedded_at; ties go to the row read first; an empty table gives no rows. The hash is made for cosines of
+    LEAST and more, so a row for which it gives fewer than NEIGHBOURS of these is compared with the whole store, exactly.
     """
     rows = hashed(vectors)
-    found = neighbour_rows(rows, None)
+    live = materialize(V.without(rows, V.repeats(rows.select("n", "memory_id", "embedded_at"))).select("n", "q", "keys", "probes"))
+    near = materialize(_near(live, LEAST), narrow=True)
+    full = near.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= NEIGHBOURS).select(F.col("a").alias("n"))
+    weak = live.join(full, "n", "left_anti").select("n", F.lit(True).alias("w"))
+    every = live.select("n", "q").join(weak, "n", "left").select(F.lit(0).alias("g"), "n", "q", F.coalesce("w", F.lit(False)).alias("asks"), F.lit(True).alias("home"))
+    exact = B.top(B.compared(every, ["g"], B.best(V.unpacked, NEIGHBOURS, None), "a long, b long, c float", 2 * B.BLOCK), NEIGHBOURS)
+    found = near.join(full.withColumnRenamed("n", "a"), "a").unionByName(exact)
     ids = rows.select("n", "memory_id")
     named = found.join(ids.toDF("a", "memory_id"), "a").join(ids.toDF("b", "neighbour_id"), "b")
     rank = F.row_number().over(_by_memory())

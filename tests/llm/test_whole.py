@@ -29,3 +29,13 @@ def test_hot_bucket_keeps_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 50)
     got = {tuple(r) for r in neighbours.similar_pairs(frame(spark, x)).collect()}
     assert len(got & true) >= 0.97 * len(true) and len(got - true) <= 0.03 * len(true)
+
+
+def test_far_neighbours_are_found(spark, monkeypatch):
+    x = unit(np.random.default_rng(2).normal(size=(600, 64)))
+    c = x @ x.T - 3 * np.eye(len(x))
+    true = {(f"m{i:04d}", f"m{j:04d}") for i in range(len(x)) for j in np.argsort(-c[i])[:5]}
+    for block in (blocks.BLOCK, 100):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        got = [tuple(r) for r in neighbours.neighbours(frame(spark, x)).select("memory_id", "neighbour_id").collect()]
+        assert len(got) == len(set(got)) == 5 * len(x) and len(set(got) & true) >= 0.99 * len(true)
