@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 
 from mnemolith import blocks
-from mnemolith.llm import neighbours
+from mnemolith.llm import neighbours, topics
 from mnemolith.llm import vectors as V
 
 DAY = dt.datetime(2025, 1, 1)
@@ -39,3 +39,15 @@ def test_far_neighbours_are_found(spark, monkeypatch):
         monkeypatch.setattr(blocks, "BLOCK", block)
         got = [tuple(r) for r in neighbours.neighbours(frame(spark, x)).select("memory_id", "neighbour_id").collect()]
         assert len(got) == len(set(got)) == 5 * len(x) and len(set(got) & true) >= 0.99 * len(true)
+
+
+def test_chains_at_the_threshold_are_one_topic(spark, monkeypatch):
+    # each group is a chain of six, every link between 0.85 and 0.87, and its other pairs far below
+    rng, x = np.random.default_rng(3), []
+    for _ in range(40):
+        basis = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        x += [np.cos(k * 0.53) * basis[0] + np.sin(k * 0.53) * basis[1] for k in range(6)]
+    true = {(f"m{i:04d}", f"m{i - i % 6:04d}") for i in range(len(x))}
+    for block in (blocks.BLOCK, 25):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        assert {tuple(r) for r in topics.topic_members(frame(spark, np.array(x))).select("memory_id", "cluster_id").collect()} == true
