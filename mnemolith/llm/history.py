@@ -1,26 +1,44 @@
 """Problem 2: which memories of a batch repeat something accepted before.
 
-Segment index for edit distance. The words of a memory, sorted, are its canonical string, so that moved words do not
-matter; S >= 0.8 for texts of n and m words holds exactly when the strings are at most floor((n + m) / 9) insertions
-and deletions of a word apart. Segment j of a string are its first words under the fixed order j of all words; the
-index stores, for each text, a fixed number of segments by their position j, with the length of the string and its
-bits. A batch probes with its own segments, candidates of a possible length are compared by their bits, and the
-bounded edit distance decides. New segments are appended as files; the history is neither read again nor rewritten.
+Segment index for edit distance. Words may move, so the strings that are compared are the words of a memory in fixed
+orders; S >= 0.8 for texts of n and m words holds exactly when such strings are at most floor((n + m) / 9) insertions
+and deletions of a word apart. A string is cut into a fixed number of segments for its length class, at fixed ranks
+(``words.segments``); the index stores each segment under class, position and content. A string of the batch is cut in
+the same way for its own length class and the one other class that its bound of edits can reach: of all its substrings
+these are the only ones that can equal a stored segment. Whoever shares one is a candidate, its MinHash bits and length
+are compared, and the bounded edit distance decides. Segments of accepted memories are appended.
+
+The number of segments leaves a pair at the very threshold one chance in a thousand to be missed (one in 250 at 400
+words), and pairs closer than that less. Even cuts without fixed ranks would need a probe for every shift that edits
+can cause, thousands for a text of 100 words.
+
+The index is a folder of bucketed tables: segments by key, texts by handle. A batch is shuffled to the buckets, the
+history is not. An append becomes visible by its marker in the folder, so that one that broke off leaves no trace.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith.llm import near_duplicates as N
 from mnemolith.llm import words as W
-from mnemolith.session import arrow_map, materialize, table
+from mnemolith.session import arrow_map, children, discard, materialize, new_path, remove, spread, table, touch
+
+#: Buckets of an index.
+BUCKETS = 32
+#: p2_found adds whole batches in order, as many at once as have about so many rows together, one at least.
+ROWS_AT_ONCE = 60_000
+
+_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, h long, bits array<long>, c int, own array<int>, other array<int>"
 
 
 def bounded_distance(a: bytes, b: bytes, bound: int) -> int | None:
-    """Insertions and deletions between two sorted strings of tokens, or None beyond the bound."""
+    """Insertions and deletions between two strings of distinct tokens in one order, or None beyond the bound."""
     if abs(len(a) - len(b)) > 8 * bound:
         return None
     n, m, common = N.common_tokens(a, b)
@@ -35,31 +53,58 @@ def most_edits(n: int, m: int) -> int:
 
 def _distance_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     keep = [bounded_distance(a, b, most_edits(len(a) // 8, len(b) // 8)) is not None for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-    return batch.filter(pa.array(keep, pa.bool_())).drop_columns(["ta", "tb"])
+    return batch.filter(pa.array(keep, pa.bool_())).select(["fa", "fb"])
+
+
+def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n, seq, at, found = N.tokenised(batch.column("content").to_pylist())
+    fp, h, _, bits = N.sketched_columns(found, at, len(n), keyed=False)
+    size = np.array([len(t) for t in found], np.int64)
+    own, none = W.length_class(size), np.empty(0, np.int32)
+    cuts = [N.lists(N.placed(W.segments(found, c), at, len(n), none), pa.int32()) for c in (own, W.other_class(size))]
+    cols = [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(h, pa.int64()), bits]
+    cols += [pa.array(N.placed(own.tolist(), at, len(n), None), pa.int32()), *cuts]
+    return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(name, col.type) for name, col in zip("id content_hash arrived_at batch_id n fp seq h bits c own other".split(), cols)]))
+
+
+def sketches(memories: DataFrame) -> DataFrame:
+    """A row per row of memories: words, fingerprints of their multiset and sequence, bits, class and segments."""
+    cols = memories.where("id IS NOT NULL").select("id", "content", F.lower("source_hash").alias("content_hash"), F.col("arrived_at").cast("timestamp_ntz"), F.col("batch_id").cast("long"))
+    return materialize(arrow_map(spread(cols), _sketch_batch, _SKETCH))
+
+
+def first_arrivals(sketched: DataFrame) -> DataFrame:
+    """(id, at, content_hash, n, fp, seq, h): one row per id, that of its first arrival; at orders them."""
+    order = F.struct(F.expr(f"coalesce(arrived_at, {N.LAST_TIME})").alias("t"), "batch_id", F.coalesce("content_hash", F.lit("")).alias("content_hash"), "n", "fp", "seq", "h")
+    rows = sketched.groupBy("id").agg(F.min(order).alias("m"))
+    return rows.select("id", F.struct(F.coalesce("m.batch_id", F.lit(-(2**62))).alias("batch_id"), "id").alias("at"), "m.content_hash", "m.n", "m.fp", "m.seq", "m.h")
+
+
+def _keyed(strings: DataFrame, cut: str, cls: str) -> DataFrame:
+    """(key, h): the segments of strings, under class, position and content."""
+    placed = strings.select(F.posexplode(cut).alias("position", "segment"), "h", F.expr(cls).alias("c")).where("segment <> 0")
+    return placed.select(F.expr("shiftleft(CAST(c + 8 AS BIGINT), 52) | shiftleft(CAST(position AS BIGINT), 32) | (CAST(segment AS BIGINT) & 4294967295L)").alias("key"), "h")
 
 
 def segments(strings: DataFrame) -> DataFrame:
-    """(place, h, bits1): the index rows of strings (h, keys, bits1); place is a segment under its position."""
-    placed = strings.select(F.posexplode("keys").alias("position", "segment"), "h", "bits1")
-    return placed.select(F.expr("shiftleft(CAST(position AS BIGINT), 32) | (CAST(segment AS BIGINT) & 4294967295L)").alias("place"), "h", "bits1")
+    """(key, h): the index rows of strings (h, c, own)."""
+    return _keyed(strings, "own", "c")
 
 
-def probe(index: DataFrame, batch: DataFrame, on_handle: bool = False) -> DataFrame:
-    """(h, h_old): candidates among the index for each string of the batch, by a segment at its position and by bits."""
-    old, new = index.alias("o"), batch.alias("b")
-    on = (F.col("o.place") == F.col("b.place")) & N._first_bits("o.bits1", "b.bits1")
-    if on_handle:
-        on = on & (F.col("o.h") < F.col("b.h"))
-    return new.join(old, on).select(F.col("b.h").alias("h"), F.col("o.h").alias("h_old")).distinct()
+def probes(strings: DataFrame) -> DataFrame:
+    """(key, h): what strings (h, n, c, own, other) look up."""
+    other = f"IF(n < 12 * power({W.RATIO!r}D, c + 0.5D), c - 1, c + 1)"
+    return segments(strings).unionByName(_keyed(strings, "other", other))
 
 
-def closer(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs of handles that lengths and all bits still allow; new and old are (h, n, bits1, bits2)."""
-    total = sum(W.BITS)
-    joined = pairs.join(new.select("h", "n", "bits1", "bits2").toDF("h", "na", "a1", "a2"), "h").join(old.select("h", "n", "bits1", "bits2").toDF("h_old", "nb", "b1", "b2"), "h_old")
-    differ = F.expr("bit_count(a1 ^ b1) + aggregate(zip_with(a2, b2, (x, y) -> bit_count(x ^ y)), 0, (m, v) -> m + v)")
-    # at most floor((n + m) / 9) edits: the lengths alone may differ by so much
-    return joined.where((F.abs(F.col("na") - F.col("nb")) * 9 <= F.col("na") + F.col("nb")) & (differ <= total - N.least_equal_bits(total))).select("h", "h_old")
+def probe(index: DataFrame, looked_up: DataFrame, within: bool = False) -> DataFrame:
+    """(ha, hb): the strings that look up a segment which another has stored, with bits that allow a pair."""
+    old, new = index.alias("o"), looked_up.alias("b")
+    on = (F.col("o.key") == F.col("b.key")) & N.first_bits("o.h", "b.h")
+    found = new.hint("merge").join(old, on & (F.col("o.h") != F.col("b.h")) if within else on)
+    if within:
+        return found.select(F.least("o.h", "b.h").alias("ha"), F.greatest("o.h", "b.h").alias("hb")).distinct()
+    return found.select(F.col("b.h").alias("ha"), F.col("o.h").alias("hb")).distinct()
 
 
 def greedy_cases(edges: DataFrame) -> DataFrame:
@@ -72,93 +117,181 @@ def greedy_cases(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("u", "v").distinct(), narrow=True)
     cases: DataFrame | None = None
     while True:
-        sure = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-        out = materialize(edges.join(sure, "u").select("v").distinct(), narrow=True)
+        later = edges.select(F.col("v").alias("u")).distinct()
+        sure = edges.select("u").distinct().join(later.hint("merge"), "u", "left_anti")
+        out = materialize(edges.join(sure.hint("merge"), "u").select("v").distinct(), narrow=True)
         cases = out if cases is None else cases.unionByName(out)
-        left = edges.join(sure, "u", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").join(out, "v", "left_anti")
-        edges = materialize(left.select("u", "v"), narrow=True)
+        left = edges.join(sure.hint("merge"), "u", "left_anti").join(out.select(F.col("v").alias("u")).hint("merge"), "u", "left_anti").join(out.hint("merge"), "v", "left_anti")
+        before, edges = edges, materialize(left.select("u", "v"), narrow=True)
+        discard(before)
         if edges.isEmpty():
             return cases
 
 
-def repeats_of_history(memories: DataFrame) -> DataFrame:
-    """(id) of every memory that repeats one accepted before it in the order (batch_id, id).
+def _tokens(wanted: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, fp, tok) of the handles wanted among members, by one of their texts (id, content, arrived_at)."""
+    reps = members.where("fp IS NOT NULL").join(wanted.hint("merge"), "h", "left_semi").groupBy("fp", "h").agg(F.min("id").alias("id"))
+    found = texts.join(reps.hint("merge"), "id").groupBy("h", "fp", "id").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {N.LAST_TIME})")).alias("t"))
+    return N.tokens_of(found)
 
-    Alike by N.near_duplicate_pairs' rule, or the same non-empty source_hash regardless of case and the same words in
-    the same order. The later copies of a text of at least 12 words are cases whatever becomes of the first, so only
-    the first of each class enters the greedy pass. A null batch_id counts as the first batch; rows without an id are
-    left out; repeated rows of an id count once, by their first arrival; an empty table gives no rows.
-    """
-    sketched = N.sketches(memories)
-    firsts = materialize(N.first_arrivals(sketched), narrow=True)
-    at = F.struct(F.coalesce("batch_id", F.lit(-(2**62))).alias("batch_id"), F.col("id"))
-    whole = firsts.where("fp IS NOT NULL")
-    leaders = materialize(whole.groupBy("fp").agg(F.min(at).alias("at")), narrow=True)
-    later = whole.select("id", "fp").join(leaders, "fp").where("id <> at.id").select("id")
-    brief = firsts.where("fp IS NULL AND content_hash <> ''")
-    first_of = brief.groupBy("content_hash", "seq").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    short = brief.join(first_of, ["content_hash", "seq"]).where("id <> at.id").select("id")
-
-    classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-    index = segments(classes)
-    pairs = closer(probe(index, index, on_handle=True), classes, classes)
-    texts = N.class_tokens(pairs := materialize(pairs, narrow=True), "h", "h_old", firsts, memories)
-    joined = pairs.join(texts.toDF("h", "fa", "ta"), "h").join(texts.toDF("h_old", "fb", "tb"), "h_old")
-    links = arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
-    links = links.join(leaders.toDF("fa", "aa"), "fa").join(leaders.toDF("fb", "ab"), "fb")
-    cases = greedy_cases(links.select(F.least("aa", "ab").alias("u"), F.greatest("aa", "ab").alias("v")))
-    return later.unionByName(short).unionByName(cases.select(F.col("v.id").alias("id")))
+
+def _alike(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(fa, fb) of the pairs (ha, hb) whose strings, by their token sets (h, fp, tok), are within the bound."""
+    joined = pairs.join(a.toDF("ha", "fa", "ta").hint("merge"), "ha").join(b.toDF("hb", "fb", "tb").hint("merge"), "hb")
+    return arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
 
 
 class History:
     """A segment index in a folder: ``add`` reports the cases of a batch and appends its accepted memories.
 
-    The folder holds Parquet files of index rows (segments at their positions, with bits) and of strings with their
-    lengths; a probe reads the
-    segments and fetches the strings of candidates only.
+    segments (key, h), strings (h, fp, n, bits, text), short texts (content_hash, seq) and the ids that arrived.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.schema = spark, path, None
-
-    def _old(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+    TABLES = {
+        "segments": ("key BIGINT, h BIGINT", "key"),
+        "strings": ("h BIGINT, fp BINARY, n INT, bits ARRAY<BIGINT>, text STRING", "h"),
+        "short": ("content_hash STRING, seq BINARY", "seq"),
+        "ids": ("id STRING", "id"),
+    }
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets, self.names = spark, path.rstrip("/"), buckets, {}
+        for name, (columns, key) in self.TABLES.items():
+            self.names[name] = f"mnemolith_{uuid.uuid4().hex}_{name}"
+            spark.sql(f"CREATE TABLE {self.names[name]} ({columns}, epoch INT) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def close(self) -> None:
+        """Forgets the tables; the folder stays."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _epochs(self, kind: str) -> set[int]:
+        return {int(x) for x in children(self.spark, f"{self.path}/{kind}")}
+
+    def old(self, name: str) -> DataFrame:
+        """The rows of a table whose append ended."""
+        torn = self._epochs("_begun") - self._epochs("_ended")
+        rows = self.spark.table(self.names[name])
+        return (rows.where(~F.col("epoch").isin(*torn)) if torn else rows).drop("epoch")
+
+    def _append(self, name: str, rows: DataFrame, epoch: int) -> None:
+        key = self.TABLES[name][1]
+        rows.withColumn("epoch", F.lit(epoch)).repartition(self.buckets, key).write.insertInto(self.names[name])
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """(id) of the cases of this batch; its other memories are appended to the index."""
-        sketched = N.sketches(batch)
-        firsts = materialize(N.first_arrivals(sketched))
-        own = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-        blocked = firsts.select("id").limit(0)
-        known, texts = self._old("segments"), self._old("strings")
-        if known is not None and texts is not None:
-            seen = self._old("strings").select("fp").distinct()
-            copies = firsts.join(seen, "fp", "left_semi").select("id")
-            pairs = materialize(closer(probe(known, segments(own)), own, texts))
-            mine = N.class_tokens(pairs, "h", "h", firsts, batch)
-            joined = pairs.join(mine.toDF("h", "fa", "ta"), "h").join(texts.select(F.col("h").alias("h_old"), F.col("tok").alias("tb")), "h_old")
-            near = arrow_map(joined.select("fa", "ta", "tb"), _distance_batch, "fa binary").distinct()
-            blocked = materialize(copies.union(firsts.join(near.toDF("fp"), "fp", "left_semi").select("id")).distinct())
-        short = self._old("short")
-        if short is not None:
-            same = firsts.where("fp IS NULL AND content_hash <> ''").join(short, ["content_hash", "seq"], "left_semi").select("id")
-            blocked = materialize(blocked.union(same).distinct())
-        # what history blocks cannot block others: the greedy pass runs over the rest of the batch
-        free = batch.join(blocked, "id", "left_anti")
-        cases = materialize(blocked.union(repeats_of_history(free.withColumn("batch_id", F.lit(0)))))
-        accepted = materialize(firsts.join(cases, "id", "left_anti"))
-        taken = own.join(accepted.select("fp").distinct(), "fp", "left_semi")
-        segments(taken).write.mode("append").parquet(f"{self.path}/segments")
-        strings = N.class_tokens(taken, "h", "h", accepted, batch).join(taken.select("fp", "n", "bits1", "bits2"), "fp")
-        strings.select("h", "fp", "n", "bits1", "bits2", "tok").write.mode("append").parquet(f"{self.path}/strings")
-        accepted.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq").write.mode("append").parquet(f"{self.path}/short")
+        """(id) of the cases of this batch, which may hold several batch_id; its other memories are appended.
+
+        A memory whose id arrived in an earlier batch is neither a case nor a new one. A null batch_id counts as the
+        first batch; rows without an id are left out; an empty batch has no cases.
+        """
+        sketched = sketches(batch)
+        members = materialize(first_arrivals(sketched))
+        cases = self.add_sketched(members, sketched, batch)
+        discard(sketched, members)
+        return cases
+
+    def add_sketched(self, arrived: DataFrame, sketched: DataFrame, texts: DataFrame, store: bool = True) -> DataFrame:
+        """As add, of members (first_arrivals) with their sketches and their texts (id, content, arrived_at).
+
+        Without store nothing is appended: for the last batch of an index that is not kept.
+        """
+        texts = texts.select("id", "content", F.col("arrived_at").cast("timestamp_ntz"))
+        epoch = 1 + max(self._epochs("_begun"), default=0)
+        first = not self._epochs("_ended")
+        members = arrived if first else materialize(arrived.join(self.old("ids").hint("merge"), "id", "left_anti"), narrow=True)
+        whole = members.where("fp IS NOT NULL")
+        strings = materialize(sketched.where("fp IS NOT NULL").join(whole.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "h", "n", "bits", "c", "own", "other").dropDuplicates(["fp"]))
+        blocked = None
+        if not first:
+            old = self.old("strings")
+            copies = whole.select("fp").distinct().join(old.select("fp").hint("merge"), "fp", "left_semi")
+            pairs = materialize(N.closer(probe(self.old("segments"), probes(strings)), strings, old), narrow=True)
+            mine = materialize(_tokens(pairs.select(F.col("ha").alias("h")).distinct(), whole, texts))
+            theirs = materialize(N.tokens_of(old.join(pairs.select(F.col("hb").alias("h")).distinct().hint("merge"), "h", "left_semi").select("h", "fp", F.col("text").alias("t"))))
+            near = _alike(pairs, mine, theirs).select(F.col("fa").alias("fp"))
+            same = members.where("fp IS NULL AND content_hash <> ''").join(self.old("short").distinct().hint("merge"), ["content_hash", "seq"], "left_semi").select("id")
+            blocked = materialize(whole.join(copies.unionByName(near).distinct().hint("merge"), "fp", "left_semi").select("id").unionByName(same), narrow=True)
+            discard(pairs, mine, theirs)
+        # what history blocks cannot block others, so only the rest of the batch is compared with itself
+        free = members if blocked is None else materialize(members.join(blocked.hint("merge"), "id", "left_anti"), narrow=True)
+        own = self._within(free, strings, texts, blocked is None)
+        cases = own if blocked is None else materialize(own.unionByName(blocked), narrow=True)
+        if store:
+            self._store(free.join(own.hint("merge"), "id", "left_anti"), members, strings, texts, epoch)
+        discard(strings, *([] if first else [members]))
+        if blocked is not None:
+            discard(own, blocked, free)
         return cases
 
+    def _store(self, accepted: DataFrame, members: DataFrame, strings: DataFrame, texts: DataFrame, epoch: int) -> None:
+        accepted = materialize(accepted, narrow=True)
+        touch(self.spark, f"{self.path}/_begun/{epoch}")
+        taken = accepted.where("fp IS NOT NULL")
+        kept = strings.join(taken.select("fp").hint("merge"), "fp", "left_semi")
+        self._append("segments", segments(kept), epoch)
+        # of a class one memory is accepted, so it has one text
+        text = texts.join(taken.select("id", "fp").hint("merge"), "id").groupBy("id", "fp").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {N.LAST_TIME})")).alias("text"))
+        self._append("strings", kept.select("h", "fp", "n", "bits").join(text.hint("merge"), "fp").select("h", "fp", "n", "bits", "text"), epoch)
+        self._append("short", accepted.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq"), epoch)
+        self._append("ids", members.select("id"), epoch)
+        touch(self.spark, f"{self.path}/_ended/{epoch}")
+        discard(accepted)
+
+    def _within(self, members: DataFrame, strings: DataFrame, texts: DataFrame, all_strings: bool) -> DataFrame:
+        """(id) of the members that repeat an accepted one among them, taken in the order of at.
+
+        The later copies of a text of at least MIN_WORDS words are cases whatever becomes of the first, so only the
+        first of each class enters the greedy pass.
+        """
+        whole = members.where("fp IS NOT NULL")
+        leaders = materialize(whole.groupBy("fp").agg(F.min("at").alias("at")), narrow=True)
+        later = whole.select("id", "fp").join(leaders.hint("merge"), "fp").where("id <> at.id").select("id")
+        brief = members.where("fp IS NULL AND content_hash <> ''")
+        first_of = brief.groupBy("content_hash", "seq").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        short = brief.drop("at").join(first_of.hint("merge"), ["content_hash", "seq"]).where("id <> at.id").select("id")
+        mine = strings if all_strings else strings.join(leaders.select("fp").hint("merge"), "fp", "left_semi")
+        pairs = materialize(N.closer(probe(segments(mine), probes(mine), within=True), mine, mine), narrow=True)
+        named = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
+        tokens = materialize(_tokens(named, whole, texts))
+        links = _alike(pairs, tokens, tokens).join(leaders.toDF("fa", "aa").hint("merge"), "fa").join(leaders.toDF("fb", "ab").hint("merge"), "fb")
+        greedy = greedy_cases(links.select(F.least("aa", "ab").alias("u"), F.greatest("aa", "ab").alias("v")))
+        out = materialize(later.unionByName(short).unionByName(greedy.select(F.col("v.id").alias("id"))), narrow=True)
+        discard(pairs, tokens, leaders)
+        return out
+
+
+def repeats_of_history(memories: DataFrame, path: str | None = None, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """(id) of every memory that repeats one accepted before it in the order (batch_id, id).
+
+    The batches go into an index in the folder path (by default one that is deleted afterwards) in their order, whole
+    ones and as many at once as have about rows_at_once rows. Alike by N.near_duplicate_pairs' rule, or the same
+    non-empty source_hash regardless of case and the same words in the same order. A null batch_id counts as the first
+    batch; rows without an id are left out; repeated rows of an id count once, by their first arrival; an empty table
+    gives no rows.
+    """
+    spark = memories.sparkSession
+    sketched = sketches(memories)
+    firsts = materialize(first_arrivals(sketched))
+    # one row per batch
+    sizes = firsts.groupBy(F.col("at.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1))
+    steps = materialize(sizes.select("batch_id", F.dense_rank().over(Window.orderBy(F.floor(F.coalesce(before, F.lit(0)) / rows_at_once))).alias("step")), narrow=True)
+    last = steps.agg(F.max("step")).first()[0] or 0
+    folder = path or new_path(spark)
+    history, found = History(spark, folder), None
+    try:
+        for step in range(1, last + 1):
+            ends = steps.where(F.col("step") == step).agg(F.min("batch_id"), F.max("batch_id")).first()
+            now = firsts.where(F.col("at.batch_id").between(*ends)) if last > 1 else firsts
+            cases = history.add_sketched(now, sketched, memories, store=path is not None or step < last)
+            found = cases if found is None else found.unionByName(cases)
+    finally:
+        history.close()
+        if path is None:
+            remove(spark, folder)
+    discard(sketched, steps)
+    return firsts.select("id").limit(0) if found is None else found
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_of_history(table(spark, sf_dir, "memories"))
@@ -167,8 +300,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(batch_id, memories, repeats): for each batch its memories and how many of them repeat accepted ones."""
     memories = table(spark, sf_dir, "memories")
-    order = F.struct(F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("t"), "batch_id")
+    order = F.struct(F.expr(f"coalesce(arrived_at, {N.LAST_TIME})").alias("t"), "batch_id")
     firsts = memories.where("id IS NOT NULL").groupBy("id").agg(F.min(order).alias("m")).select("id", "m.batch_id")
     found = repeats_of_history(memories).withColumn("case", F.lit(1))
-    joined = firsts.join(found, "id", "left")
+    joined = firsts.join(found.hint("merge"), "id", "left")
     return joined.groupBy("batch_id").agg(F.count(F.lit(1)).alias("memories"), F.sum(F.coalesce("case", F.lit(0))).alias("repeats"))

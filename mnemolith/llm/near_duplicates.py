@@ -1,9 +1,13 @@
 """Problem 1: memories that are alike although words were changed, added, dropped or moved.
 
 Bayesian candidate pruning. Exact copies (equal word multisets) are merged into classes first, so no key is hot
-because of copies. Classes that share a key (see ``words.sketch``) are candidates. Their MinHash bits are compared in
-steps of 16, 32, 64 and 192; after each step a pair is dropped when, by Bayes' rule with a uniform prior, the
-probability that its similarity reaches the threshold falls below ``TOLERANCE``. What remains is verified on the words.
+because of copies. Classes that share a key, a band of MinHash values (see ``words.sketches``), are candidates. Bits of
+their MinHash values are compared in steps of 16, 32, 64 and 192; after each step a pair is dropped when, by Bayes' rule
+with a uniform prior, the probability that its similarity reaches the threshold falls below ``TOLERANCE``. What remains
+is verified on the words.
+
+The key index is 52 times as long as the collection, which the planner cannot know, so its joins are merge joins; a key
+that holds many unlike classes is split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -18,51 +22,72 @@ from pyspark.sql import functions as F
 
 from mnemolith.llm import words as W
 from mnemolith.operators.components import connected_components
-from mnemolith.session import arrow_map, materialize, table
+from mnemolith.session import arrow_map, discard, materialize, spread, table
 
 THRESHOLD = 0.8
 MIN_WORDS = 12
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-6
 #: Groups of exact copies up to this size come out as all their pairs; in a larger one each copy is paired with the
-#: smallest id of the group, and other pairs name that id (class representatives plus membership).
-EXPAND = 50
+#: smallest id of the group, and other pairs name that id (class representatives; near_duplicate_groups has the members).
+#: None expands every group.
+EXPAND: int | None = 50
 
-_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, keys array<int>, bits1 long, bits2 array<long>"
 
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays."""
+    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
-def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n, fp, seq, keys, bits1, bits2 = [], [], [], [], [], []
-    for text in batch.column("content").to_pylist():
-        found = W.words(text)
-        n.append(len(found))
-        seq.append(xxhash.xxh3_128_digest("\0".join(found).encode("utf-8", "surrogatepass")))
-        if len(found) < MIN_WORDS:
-            fp.append(None), keys.append(None), bits1.append(None), bits2.append(None)
-            continue
-        tok = W.tokens(found)
-        fp.append(xxhash.xxh3_128_digest(tok.tobytes()))
-        k, b = W.sketch(tok)
-        keys.append(k), bits1.append(int(b[0])), bits2.append(b[1:])
-    return pa.RecordBatch.from_arrays(
-        [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits1, pa.int64()), pa.array(bits2, pa.list_(pa.int64()))],
-        names=["id", "content_hash", "arrived_at", "batch_id", "n", "fp", "seq", "keys", "bits1", "bits2"],
-    )
-
-
-def sketches(memories: DataFrame) -> DataFrame:
-    """A row per row of memories: sizes, fingerprints of its word multiset and sequence, keys and bits.
-
-    Rows without an id are left out; a null text has no words. Other columns are ignored.
+
+def tokenised(texts: list[str | None]) -> tuple[list[int], list[bytes], list[int], list[np.ndarray]]:
+    """(number of words, digest of their sequence) of each text, and (place, token set) of those of MIN_WORDS or more."""
+    n, seq, at, found = [], [], [], []
+    for k, text in enumerate(texts):
+        words = W.words(text)
+        n.append(len(words))
+        seq.append(xxhash.xxh3_128_digest("\0".join(words).encode("utf-8", "surrogatepass")))
+        if len(words) >= MIN_WORDS:
+            at.append(k)
+            found.append(W.tokens(words))
+    return n, seq, at, found
+
+
+def placed(values: list, at: list[int], size: int, empty) -> list:
+    """A list of size entries with values at the places at."""
+    out = [empty] * size
+    for k, v in zip(at, values):
+        out[k] = v
+    return out
+
+
+def handles(fps: list[bytes], bits: np.ndarray) -> list[int]:
+    """32 MinHash bits and 32 bits of the fingerprint in one number.
+
+    Two classes with one handle are only candidates more: what a handle names is always verified on its own words.
     """
-    cols = memories.where("id IS NOT NULL").select("id", "content", F.lower("source_hash").alias("content_hash"), F.col("arrived_at").cast("timestamp_ntz"), F.col("batch_id").cast("long"))
-    return materialize(arrow_map(cols, _sketch_batch, _SKETCH))
+    return [(int(b[0]) & ~0xFFFFFFFF) | int.from_bytes(fp[:4], "big") for fp, b in zip(fps, bits)]
+
 
+def sketched_columns(found: list[np.ndarray], at: list[int], size: int, keyed: bool = True) -> tuple[list, list, np.ndarray, pa.Array]:
+    """(fingerprints, handles, keys if keyed, column of bits)."""
+    keys, bits = W.sketches(found, keyed) if found else (np.empty((0, W.KEYS), np.int32), np.empty((0, sum(W.BITS) // 64), np.int64))
+    fps = [xxhash.xxh3_128_digest(t.tobytes()) for t in found]
+    none = np.empty(0, np.int64)
+    return placed(fps, at, size, None), placed(handles(fps, bits), at, size, None), keys, lists(placed(list(bits), at, size, none), pa.int64())
 
-def first_arrivals(sketched: DataFrame) -> DataFrame:
-    """One row per id: that of its first arrival, without keys and bits."""
-    order = F.struct(F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("t"), "batch_id", "content_hash", "n", "fp", "seq")
-    return sketched.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.batch_id", "m.content_hash", "m.n", "m.fp", "m.seq")
+
+def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n, _, at, found = tokenised(batch.column("content").to_pylist())
+    fp, h, keys, bits = sketched_columns(found, at, len(n))
+    keys = lists(placed(list(keys), at, len(n), np.empty(0, np.int32)), pa.int32())
+    cols = [batch.column("id"), batch.column("arrived_at"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(h, pa.int64()), bits, keys]
+    return pa.RecordBatch.from_arrays(cols, names=["id", "arrived_at", "n", "fp", "h", "bits", "keys"])
+
+
+_SKETCH = "id string, arrived_at timestamp_ntz, n int, fp binary, h long, bits array<long>, keys array<int>"
+LAST_TIME = "CAST('9999-12-31' AS TIMESTAMP_NTZ)"
 
 
 @lru_cache
@@ -78,30 +103,33 @@ def least_equal_bits(bits: int, threshold: float = THRESHOLD, tolerance: float =
     return bits
 
 
-def _first_bits(a: str, b: str) -> Column:
-    """bits1 compared in three steps; the cheaper tests come first."""
+def first_bits(a: str, b: str) -> Column:
+    """The bits in two handles, compared in two steps."""
     keep = F.lit(True)
-    for n in (16, 32, 64):
-        mask = (1 << n) - 1
-        mask -= (mask >> 63) << 64
-        keep = keep & (F.expr(f"bit_count(({a} ^ {b}) & {mask}L)") <= n - least_equal_bits(n))
+    for n, shift in ((16, 48), (32, 32)):
+        keep = keep & (F.expr(f"bit_count(shiftrightunsigned({a} ^ {b}, {shift}))") <= n - least_equal_bits(n))
     return keep
 
 
-def candidate_classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): one row per distinct word multiset, and pairs of handles (xxhash64 of fp) that may be alike."""
-    classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "n", "keys", "bits1", "bits2").dropDuplicates(["fp"]).withColumn("h", F.xxhash64("fp")))
-    rows = classes.select(F.posexplode("keys").alias("j", "k"), "h", "bits1").select(F.expr("shiftleft(CAST(j AS BIGINT), 32) | (CAST(k AS BIGINT) & 4294967295L)").alias("key"), "h", "bits1")
-    left, right = rows.alias("l"), rows.alias("r")
-    found = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")) & _first_bits("l.bits1", "r.bits1"))
-    found = found.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()
-    more = classes.select("h", "n", "bits1", "bits2")
-    total = sum(W.BITS)
-    a = more.select(F.col("h").alias("ha"), F.col("n").alias("na"), F.col("bits1").alias("a1"), F.col("bits2").alias("a2"))
-    b = more.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("bits1").alias("b1"), F.col("bits2").alias("b2"))
-    differ = F.expr("bit_count(a1 ^ b1) + aggregate(zip_with(a2, b2, (x, y) -> bit_count(x ^ y)), 0, (m, v) -> m + v)")
-    pairs = found.join(a, "ha").join(b, "hb").where((F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (differ <= total - least_equal_bits(total)))
-    return classes, pairs.select("ha", "hb")
+def all_bits(a: str, b: str) -> Column:
+    """All bits of two sketches, the first 64 before the rest."""
+    total, first = sum(W.BITS), W.BITS[0]
+    some = F.expr(f"bit_count({a}[0] ^ {b}[0])") <= first - least_equal_bits(first)
+    return some & (F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (m, v) -> m + v)") <= total - least_equal_bits(total))
+
+
+def closer(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (ha, hb) that sizes and all bits still allow; a and b are (h, n, bits)."""
+    joined = pairs.join(a.select("h", "n", "bits").toDF("ha", "na", "xa").hint("merge"), "ha").join(b.select("h", "n", "bits").toDF("hb", "nb", "xb").hint("merge"), "hb")
+    return joined.where((F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & all_bits("xa", "xb")).select("ha", "hb").distinct()
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(ha, hb): pairs of classes (h, n, bits, keys) that share a key and may be alike by their bits."""
+    rows = classes.select(F.posexplode("keys").alias("j", "k"), "h").select(F.expr("shiftleft(CAST(j AS BIGINT), 32) | (CAST(k AS BIGINT) & 4294967295L)").alias("key"), "h")
+    left, right = rows.alias("l"), rows.hint("merge").alias("r")
+    found = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")) & first_bits("l.h", "r.h"))
+    return closer(found.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct(), classes, classes)
 
 
 def _tokens_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,12 +137,9 @@ def _tokens_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("fp"), pa.array(found, pa.binary())], names=["h", "fp", "tok"])
 
 
-def class_tokens(pairs: DataFrame, a: str, b: str, firsts: DataFrame, memories: DataFrame) -> DataFrame:
-    """(h, fp, tok): the token sets of the classes that pairs name; one text of each class is read and tokenised once."""
-    wanted = pairs.select(F.col(a).alias("h")).union(pairs.select(b)).distinct()
-    reps = firsts.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("fp")).join(wanted, "h")
-    texts = memories.select("id", "content", "arrived_at").join(reps, "id").groupBy("h", "fp", "id").agg(F.min_by("content", "arrived_at").alias("t"))
-    return materialize(arrow_map(texts.select("h", "fp", "t"), _tokens_batch, "h long, fp binary, tok binary"))
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """(h, fp, tok) of (h, fp, t)."""
+    return arrow_map(texts.select("h", "fp", "t"), _tokens_batch, "h long, fp binary, tok binary")
 
 
 def common_tokens(a: bytes, b: bytes) -> tuple[int, int, int]:
@@ -133,56 +158,65 @@ def _verify_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, pa.bool_())).select(["fa", "fb"])
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, memories: DataFrame) -> DataFrame:
-    """Pairs of handles -> pairs (fa, fb) of fingerprints whose words are alike."""
-    pairs = materialize(pairs, narrow=True)
-    tokens = class_tokens(pairs, "ha", "hb", firsts, memories)
-    joined = pairs.join(tokens.toDF("ha", "fa", "ta"), "ha").join(tokens.toDF("hb", "fb", "tb"), "hb")
-    return arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary")
-
-
 def alike_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): id -> fp of every memory of at least MIN_WORDS words, and all pairs of alike classes."""
-    sketched = sketches(memories)
-    firsts = materialize(first_arrivals(sketched), narrow=True)
-    _, pairs = candidate_classes(sketched)
-    return firsts.where("fp IS NOT NULL"), verified(pairs, firsts, memories)
+    """(members, links): (id, fp) of every memory of at least MIN_WORDS words, and all pairs (fa, fb) of alike classes.
 
-
-def near_duplicate_pairs(memories: DataFrame) -> DataFrame:
+    Rows without an id are left out; a null text has no words; of the rows of an id its first arrival counts.
+    """
+    cols = memories.where("id IS NOT NULL").select("id", "content", F.col("arrived_at").cast("timestamp_ntz"))
+    sketched = materialize(arrow_map(spread(cols), _sketch_batch, _SKETCH))
+    order = F.struct(F.expr(f"coalesce(arrived_at, {LAST_TIME})").alias("t"), "n", "fp", "h")
+    firsts = materialize(sketched.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.fp", "m.h").where("fp IS NOT NULL"), narrow=True)
+    classes = materialize(sketched.where("fp IS NOT NULL").select("fp", "h", "n", "bits", "keys").dropDuplicates(["fp"]).drop("fp"))
+    discard(sketched)
+    pairs = materialize(candidates(classes), narrow=True)
+    discard(classes)
+    wanted = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
+    reps = firsts.groupBy("fp", "h").agg(F.min("id").alias("id")).join(wanted.hint("merge"), "h")
+    texts = cols.join(reps.hint("merge"), "id").groupBy("h", "fp", "id").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {LAST_TIME})")).alias("t"))
+    tokens = materialize(tokens_of(texts))
+    joined = pairs.join(tokens.toDF("ha", "fa", "ta").hint("merge"), "ha").join(tokens.toDF("hb", "fb", "tb").hint("merge"), "hb")
+    links = materialize(arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary"), narrow=True)
+    discard(pairs, tokens)
+    return firsts.select("id", "fp"), links
+
+
+def near_duplicate_pairs(memories: DataFrame, expand: int | None = -1) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of different memories of at least MIN_WORDS words with S >= THRESHOLD.
 
-    Copies of one text beyond EXPAND are paired with the smallest id of their group only. Null ids and texts, and
-    texts of fewer words, have no pairs; rows repeated under one id count once; an empty table gives no rows.
+    Copies of one text beyond expand (EXPAND unless given; None for no limit) are paired with the smallest id of their
+    group only. Null ids and texts, and texts of fewer words, have no pairs; rows repeated under one id count once; an
+    empty table gives no rows.
     """
+    most = EXPAND if expand == -1 else expand
     members, links = alike_classes(memories)
     sized = members.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))
-    named = materialize(members.select("id", "fp").join(sized, "fp"), narrow=True)
-    ends = named.where((F.col("size") <= EXPAND) | (F.col("id") == F.col("rep"))).select("fp", "id")
-    across = links.join(ends.toDF("fa", "ia"), "fa").join(ends.toDF("fb", "ib"), "fb").select("ia", "ib")
+    named = materialize(members.join(sized.hint("merge"), "fp"), narrow=True)
+    small = F.lit(True) if most is None else F.col("size") <= most
+    ends = named.where(small | (F.col("id") == F.col("rep"))).select("fp", "id")
+    across = links.join(ends.toDF("fa", "ia").hint("merge"), "fa").join(ends.toDF("fb", "ib").hint("merge"), "fb").select("ia", "ib")
     many = named.where("size > 1")
-    small = many.where(F.col("size") <= EXPAND).select("fp", "id")
-    within = small.toDF("fp", "ia").join(small.toDF("fp", "ib"), "fp").where("ia < ib").select("ia", "ib")
-    star = many.where((F.col("size") > EXPAND) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("ia"), F.col("id").alias("ib"))
+    few = many.where(small).select("fp", "id")
+    within = few.toDF("fp", "ia").join(few.toDF("fp", "ib").hint("merge"), "fp").where("ia < ib").select("ia", "ib")
+    star = many.where(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("ia"), F.col("id").alias("ib"))
     return across.unionByName(within).unionByName(star).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
 
 def near_duplicate_groups(memories: DataFrame) -> DataFrame:
-    """(id, group_id, copies, links): a row per memory of at least MIN_WORDS words.
+    """(id, group_id, rep_id, copies, links): a row per memory of at least MIN_WORDS words.
 
-    group_id is the smallest id that is alike directly or through others, copies the number of memories of the same
-    words, links the number of other classes alike to its own.
+    group_id is the smallest id that is alike directly or through others, rep_id the smallest id of the same words,
+    copies the number of memories of the same words, links the number of other classes alike to its own.
     """
     members, links = alike_classes(memories)
-    links = materialize(links, narrow=True)
     sized = members.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     degree = links.select(F.col("fa").alias("fp")).unionAll(links.select("fb")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     reps = sized.select("fp", "rep")
-    named = links.join(reps.toDF("fa", "ra"), "fa").join(reps.toDF("fb", "rb"), "fb")
+    named = links.join(reps.toDF("fa", "ra").hint("merge"), "fa").join(reps.toDF("fb", "rb").hint("merge"), "fb")
     labels = connected_components(named, "ra", "rb")
-    groups = sized.join(degree, "fp", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    groups = groups.select("fp", F.coalesce("label", "rep").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.select("id", "fp").join(groups, "fp").select("id", "group_id", "copies", "links")
+    groups = sized.join(degree.hint("merge"), "fp", "left").join(labels.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left")
+    groups = groups.select("fp", F.coalesce("label", "rep").alias("group_id"), F.col("rep").alias("rep_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(groups.hint("merge"), "fp").select("id", "group_id", "rep_id", "copies", "links")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,10 +119,63 @@ def test_history(spark):
 
 def test_history_in_batches(spark, tmp_path):
     rows = [r for r in firsts(some_memories(5)).values() if r[4] is not None]
-    index, got = history.History(spark, str(tmp_path / "index")), set()
+    index, got = history.History(spark, str(tmp_path / "index"), 3), set()
     for batch in sorted({r[4] for r in rows}):
+        if batch == 3:
+            # another session opens the folder, and an append that broke off is not seen
+            index.close()
+            index = history.History(spark, str(tmp_path / "index"), 3)
+            history.touch(spark, f"{tmp_path}/index/_begun/99")
+            index._append("ids", spark.createDataFrame([(r[0],) for r in rows], "id string"), 99)
         got |= {r[0] for r in index.add(memories(spark, [r for r in rows if r[4] == batch])).collect()}
     assert got == brute_repeats(rows)
+    index.close()
+
+
+def test_history_one_batch_at_a_time(spark):
+    rows = some_memories(11)
+    got = [r[0] for r in history.repeats_of_history(memories(spark, rows), rows_at_once=1).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_repeats(rows)
+
+
+def test_history_knows_ids_that_arrive_again(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(20))
+    index = history.History(spark, str(tmp_path / "again"), 2)
+    assert index.add(memories(spark, [("m1", text, "h", DAY, 1), ("s1", "a b", "h", DAY, 1)])).count() == 0
+    again = [("m1", text, "h", DAY, 2), ("s1", "a b", "h", DAY, 2), ("m2", text.replace("w3 ", "x "), None, DAY, 2), ("s2", "a b", "H", DAY, 2), ("s3", "a b", None, DAY, 2)]
+    assert {r[0] for r in index.add(memories(spark, again)).collect()} == {"m2", "s2"}
+    assert index.add(memories(spark, again)).count() == 0
+    index.close()
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    index = history.History(spark, str(tmp_path / "plan"), 4)
+    index.add(memories(spark, [(f"m{i}", " ".join(f"w{i}x{k}" for k in range(20)), None, DAY, 1) for i in range(9)]))
+    batch = history.sketches(memories(spark, [("n", " ".join(f"w3x{k}" for k in range(20)), None, DAY, 2)]))
+    plan = history.probe(index.old("segments"), history.probes(batch.where("fp IS NOT NULL")))._jdf.queryExecution().optimizedPlan()
+    found = history.probe(index.old("segments"), history.probes(batch.where("fp IS NOT NULL")))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    side = text[text.index("SortMergeJoin") :]
+    scan = next(line for line in side.splitlines() if "_segments" in line)
+    assert "Bucketed: true" in scan, plan
+    assert found.count() == 1
+    index.close()
+
+
+@pytest.mark.parametrize("n", [12, 20, 45, 100, 300])
+def test_segments_meet_at_the_threshold(n):
+    rng, met = np.random.default_rng(n), 0
+    for _ in range(300):
+        new = n // 9
+        base = np.unique(rng.integers(0, 2**63, n + new + 50, dtype=np.uint64))[: n + new]
+        a, b = base[:n], np.concatenate([base[new:n], base[n:]])
+        sizes = np.array([len(a), len(b)])
+        own, other = W.segments([a, b], W.length_class(sizes)), W.segments([a, b], W.other_class(sizes))
+        ca, cb, ob = W.length_class(sizes)[0], W.length_class(sizes)[1], W.other_class(sizes)[1]
+        same = own[1] if ca == cb else other[1] if ca == ob else None
+        assert same is not None and len(same) == len(own[0])
+        met += bool(((same == own[0]) & (same != 0)).any())
+    assert met >= 298
 
 
 @pytest.mark.parametrize("operator", [near_duplicates.near_duplicate_pairs, near_duplicates.near_duplicate_groups, history.repeats_of_history, splitting.split_sections])
