@@ -29,12 +29,10 @@ from mnemolith.llm import near_duplicates as N
 from mnemolith.llm import words as W
 from mnemolith.session import arrow_map, children, discard, materialize, new_path, remove, spread, table, touch
 
-#: Buckets of an index.
-BUCKETS = 32
 #: p2_found adds whole batches in order, as many at once as have about so many rows together, one at least.
 ROWS_AT_ONCE = 60_000
 
-_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, h long, bits array<long>, c int, own array<int>, other array<int>"
+_SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, h long, bits array<long>, c int, own array<int>, other array<int>, text string"
 
 
 def bounded_distance(a: bytes, b: bytes, bound: int) -> int | None:
@@ -63,12 +61,12 @@ def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     own, none = W.length_class(size), np.empty(0, np.int32)
     cuts = [N.lists(N.placed(W.segments(found, c), at, len(n), none), pa.int32()) for c in (own, W.other_class(size))]
     cols = [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(h, pa.int64()), bits]
-    cols += [pa.array(N.placed(own.tolist(), at, len(n), None), pa.int32()), *cuts]
-    return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(name, col.type) for name, col in zip("id content_hash arrived_at batch_id n fp seq h bits c own other".split(), cols)]))
+    cols += [pa.array(N.placed(own.tolist(), at, len(n), None), pa.int32()), *cuts, batch.column("content")]
+    return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(name, col.type) for name, col in zip("id content_hash arrived_at batch_id n fp seq h bits c own other text".split(), cols)]))
 
 
 def sketches(memories: DataFrame) -> DataFrame:
-    """A row per row of memories: words, fingerprints of their multiset and sequence, bits, class and segments."""
+    """A row per row of memories: words, fingerprints of their multiset and sequence, bits, class, segments and text."""
     cols = memories.where("id IS NOT NULL").select("id", "content", F.lower("source_hash").alias("content_hash"), F.col("arrived_at").cast("timestamp_ntz"), F.col("batch_id").cast("long"))
     return materialize(arrow_map(spread(cols), _sketch_batch, _SKETCH))
 
@@ -91,10 +89,9 @@ def segments(strings: DataFrame) -> DataFrame:
     return _keyed(strings, "own", "c")
 
 
-def probes(strings: DataFrame) -> DataFrame:
-    """(key, h): what strings (h, n, c, own, other) look up."""
-    other = f"IF(n < 12 * power({W.RATIO!r}D, c + 0.5D), c - 1, c + 1)"
-    return segments(strings).unionByName(_keyed(strings, "other", other))
+def others(strings: DataFrame) -> DataFrame:
+    """(key, h): what strings (h, n, c, other) look up besides their own segments."""
+    return _keyed(strings, "other", f"IF(n < 12 * power({W.RATIO!r}D, c + 0.5D), c - 1, c + 1)")
 
 
 def probe(index: DataFrame, looked_up: DataFrame, within: bool = False) -> DataFrame:
@@ -103,8 +100,17 @@ def probe(index: DataFrame, looked_up: DataFrame, within: bool = False) -> DataF
     on = (F.col("o.key") == F.col("b.key")) & N.first_bits("o.h", "b.h")
     found = new.hint("merge").join(old, on & (F.col("o.h") != F.col("b.h")) if within else on)
     if within:
-        return found.select(F.least("o.h", "b.h").alias("ha"), F.greatest("o.h", "b.h").alias("hb")).distinct()
-    return found.select(F.col("b.h").alias("ha"), F.col("o.h").alias("hb")).distinct()
+        return found.select(F.least("o.h", "b.h").alias("ha"), F.greatest("o.h", "b.h").alias("hb"))
+    return found.select(F.col("b.h").alias("ha"), F.col("o.h").alias("hb"))
+
+
+def probed(old: DataFrame | None, strings: DataFrame) -> DataFrame:
+    """(ha, hb): candidates of strings among themselves and among the index old."""
+    own, other = segments(strings), others(strings)
+    found = probe(own, own, within=True).unionByName(probe(own, other, within=True))
+    if old is not None:
+        found = found.unionByName(probe(old, own)).unionByName(probe(old, other))
+    return found.distinct()
 
 
 def greedy_cases(edges: DataFrame) -> DataFrame:
@@ -128,17 +134,28 @@ def greedy_cases(edges: DataFrame) -> DataFrame:
             return cases
 
 
-def _tokens(wanted: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, fp, tok) of the handles wanted among members, by one of their texts (id, content, arrived_at)."""
-    reps = members.where("fp IS NOT NULL").join(wanted.hint("merge"), "h", "left_semi").groupBy("fp", "h").agg(F.min("id").alias("id"))
-    found = texts.join(reps.hint("merge"), "id").groupBy("h", "fp", "id").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {N.LAST_TIME})")).alias("t"))
-    return N.tokens_of(found)
+def _alike(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(fa, fb) of the pairs (ha, hb) whose strings, by their token sets (h, fp, tok), are within the bound."""
+    joined = pairs.join(tokens.toDF("ha", "fa", "ta").hint("merge"), "ha").join(tokens.toDF("hb", "fb", "tb").hint("merge"), "hb")
+    return arrow_map(joined.select("fa", "fb", "ta", "tb").where("fa <> fb"), _distance_batch, "fa binary, fb binary")
 
 
-def _alike(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(fa, fb) of the pairs (ha, hb) whose strings, by their token sets (h, fp, tok), are within the bound."""
-    joined = pairs.join(a.toDF("ha", "fa", "ta").hint("merge"), "ha").join(b.toDF("hb", "fb", "tb").hint("merge"), "hb")
-    return arrow_map(joined.select("fa", "fb", "ta", "tb"), _distance_batch, "fa binary, fb binary")
+def later_copies(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaders, later): (fp, at) of the first of each class, and (id) of members that are cases by their copies alone.
+
+    The later copies of a text of at least MIN_WORDS words are cases whatever becomes of the first; shorter texts are
+    cases by hash and sequence, which only the first of them can decide.
+    """
+    whole = members.where("fp IS NOT NULL")
+    leaders = materialize(whole.groupBy("fp").agg(F.min("at").alias("at")), narrow=True)
+    later = whole.select("id", "fp").join(leaders.hint("merge"), "fp").where("id <> at.id").select("id")
+    brief = members.where("fp IS NULL AND content_hash <> ''")
+    first_of = brief.groupBy("content_hash", "seq").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    short = brief.drop("at").join(first_of.hint("merge"), ["content_hash", "seq"]).where("id <> at.id").select("id")
+    return leaders, materialize(later.unionByName(short), narrow=True)
+
+
+_STRING = ["fp", "h", "n", "bits", "c", "own", "other", "text"]
 
 
 class History:
@@ -154,11 +171,13 @@ class History:
         "ids": ("id STRING", "id"),
     }
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets, self.names = spark, path.rstrip("/"), buckets, {}
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.names = spark, path.rstrip("/"), {}
+        # as many as shuffles have partitions, so that a batch is shuffled once for itself and for the history
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name, (columns, key) in self.TABLES.items():
             self.names[name] = f"mnemolith_{uuid.uuid4().hex}_{name}"
-            spark.sql(f"CREATE TABLE {self.names[name]} ({columns}, epoch INT) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            spark.sql(f"CREATE TABLE {self.names[name]} ({columns}, epoch INT) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
 
     def close(self) -> None:
         """Forgets the tables; the folder stays."""
@@ -168,6 +187,10 @@ class History:
     def _epochs(self, kind: str) -> set[int]:
         return {int(x) for x in children(self.spark, f"{self.path}/{kind}")}
 
+    @property
+    def empty(self) -> bool:
+        return not self._epochs("_ended")
+
     def old(self, name: str) -> DataFrame:
         """The rows of a table whose append ended."""
         torn = self._epochs("_begun") - self._epochs("_ended")
@@ -178,6 +201,46 @@ class History:
         key = self.TABLES[name][1]
         rows.withColumn("epoch", F.lit(epoch)).repartition(self.buckets, key).write.insertInto(self.names[name])
 
+    def append(self, **rows: DataFrame) -> None:
+        """Appends rows to tables, all or nothing."""
+        epoch = 1 + max(self._epochs("_begun"), default=0)
+        touch(self.spark, f"{self.path}/_begun/{epoch}")
+        for name, part in rows.items():
+            self._append(name, part, epoch)
+        touch(self.spark, f"{self.path}/_ended/{epoch}")
+
+    def near(self, strings: DataFrame) -> DataFrame:
+        """(fp) of the strings (_STRING, at), one of each class, that repeat an accepted one, before or among them."""
+        old = None if self.empty else self.old("strings")
+        now = strings.select("h", "n", "bits")
+        known = now if old is None else now.unionByName(old.select("h", "n", "bits"))
+        pairs = N.closer(probed(None if old is None else self.old("segments"), strings), known, known).unionByName(N.one_handle(known))
+        pairs = materialize(pairs, narrow=True)
+        named = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
+        texts = strings.join(named.hint("merge"), "h", "left_semi").select("h", "fp", F.col("text").alias("t"))
+        if old is not None:
+            texts = texts.unionByName(old.join(named.hint("merge"), "h", "left_semi").select("h", "fp", F.col("text").alias("t")))
+        tokens = materialize(N.tokens_of(texts))
+        links = materialize(_alike(pairs, tokens), narrow=True)
+        leaders = strings.select("fp", "at")
+        out, free = [], links
+        if old is not None:
+            # whoever is not of this batch was accepted before it
+            both = links.unionByName(links.select(F.col("fb").alias("fa"), F.col("fa").alias("fb")))
+            of_batch = both.join(leaders.select(F.col("fp").alias("fa")).hint("merge"), "fa", "left_semi")
+            blocked = of_batch.join(leaders.select(F.col("fp").alias("fb")).hint("merge"), "fb", "left_anti").select(F.col("fa").alias("fp")).distinct()
+            out.append(blocked := materialize(blocked, narrow=True))
+            # what history blocks cannot block others
+            for end in ("fa", "fb"):
+                free = free.join(blocked.select(F.col("fp").alias(end)).hint("merge"), end, "left_anti")
+        edges = free.join(leaders.toDF("fa", "aa").hint("merge"), "fa").join(leaders.toDF("fb", "ab").hint("merge"), "fb")
+        first, second = F.struct("aa.batch_id", "aa.id", F.col("fa").alias("fp")), F.struct("ab.batch_id", "ab.id", F.col("fb").alias("fp"))
+        cases = greedy_cases(edges.select(F.least(first, second).alias("u"), F.greatest(first, second).alias("v")))
+        out.append(cases.select("v.fp"))
+        found = materialize(out[0] if len(out) == 1 else out[0].unionByName(out[1]), narrow=True)
+        discard(pairs, tokens, links, *out[:-1])
+        return found
+
     def add(self, batch: DataFrame) -> DataFrame:
         """(id) of the cases of this batch, which may hold several batch_id; its other memories are appended.
 
@@ -185,112 +248,64 @@ class History:
         first batch; rows without an id are left out; an empty batch has no cases.
         """
         sketched = sketches(batch)
-        members = materialize(first_arrivals(sketched))
-        cases = self.add_sketched(members, sketched, batch)
-        discard(sketched, members)
+        arrived = first_arrivals(sketched)
+        fresh = self.empty
+        members = materialize(arrived if fresh else arrived.join(self.old("ids").hint("merge"), "id", "left_anti"), narrow=True)
+        leaders, cases = later_copies(members)
+        if not fresh:
+            copies = members.join(self.old("strings").select("fp").hint("merge"), "fp", "left_semi").select("id")
+            same = members.where("fp IS NULL AND content_hash <> ''").join(self.old("short").hint("merge"), ["content_hash", "seq"], "left_semi").select("id")
+            cases = cases.unionByName(copies).unionByName(same).distinct()
+        left = materialize(members.join(cases.hint("merge"), "id", "left_anti"), narrow=True)
+        strings = materialize(sketched.select(*_STRING).join(left.select("fp", "at").hint("merge"), "fp").dropDuplicates(["fp"]))
+        near = self.near(strings)
+        cases = materialize(cases.unionByName(left.join(near.hint("merge"), "fp", "left_semi").select("id")), narrow=True)
+        accepted = strings.join(near.hint("merge"), "fp", "left_anti")
+        short = left.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq")
+        self.append(segments=segments(accepted), strings=accepted.select("h", "fp", "n", "bits", "text"), short=short, ids=members.select("id"))
+        discard(sketched, members, leaders, left, strings, near)
         return cases
 
-    def add_sketched(self, arrived: DataFrame, sketched: DataFrame, texts: DataFrame, store: bool = True) -> DataFrame:
-        """As add, of members (first_arrivals) with their sketches and their texts (id, content, arrived_at).
-
-        Without store nothing is appended: for the last batch of an index that is not kept.
-        """
-        texts = texts.select("id", "content", F.col("arrived_at").cast("timestamp_ntz"))
-        epoch = 1 + max(self._epochs("_begun"), default=0)
-        first = not self._epochs("_ended")
-        members = arrived if first else materialize(arrived.join(self.old("ids").hint("merge"), "id", "left_anti"), narrow=True)
-        whole = members.where("fp IS NOT NULL")
-        strings = materialize(sketched.where("fp IS NOT NULL").join(whole.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "h", "n", "bits", "c", "own", "other").dropDuplicates(["fp"]))
-        blocked = None
-        if not first:
-            old = self.old("strings")
-            copies = whole.select("fp").distinct().join(old.select("fp").hint("merge"), "fp", "left_semi")
-            pairs = materialize(N.closer(probe(self.old("segments"), probes(strings)), strings, old), narrow=True)
-            mine = materialize(_tokens(pairs.select(F.col("ha").alias("h")).distinct(), whole, texts))
-            theirs = materialize(N.tokens_of(old.join(pairs.select(F.col("hb").alias("h")).distinct().hint("merge"), "h", "left_semi").select("h", "fp", F.col("text").alias("t"))))
-            near = _alike(pairs, mine, theirs).select(F.col("fa").alias("fp"))
-            same = members.where("fp IS NULL AND content_hash <> ''").join(self.old("short").distinct().hint("merge"), ["content_hash", "seq"], "left_semi").select("id")
-            blocked = materialize(whole.join(copies.unionByName(near).distinct().hint("merge"), "fp", "left_semi").select("id").unionByName(same), narrow=True)
-            discard(pairs, mine, theirs)
-        # what history blocks cannot block others, so only the rest of the batch is compared with itself
-        free = members if blocked is None else materialize(members.join(blocked.hint("merge"), "id", "left_anti"), narrow=True)
-        own = self._within(free, strings, texts, blocked is None)
-        cases = own if blocked is None else materialize(own.unionByName(blocked), narrow=True)
-        if store:
-            self._store(free.join(own.hint("merge"), "id", "left_anti"), members, strings, texts, epoch)
-        discard(strings, *([] if first else [members]))
-        if blocked is not None:
-            discard(own, blocked, free)
-        return cases
-
-    def _store(self, accepted: DataFrame, members: DataFrame, strings: DataFrame, texts: DataFrame, epoch: int) -> None:
-        accepted = materialize(accepted, narrow=True)
-        touch(self.spark, f"{self.path}/_begun/{epoch}")
-        taken = accepted.where("fp IS NOT NULL")
-        kept = strings.join(taken.select("fp").hint("merge"), "fp", "left_semi")
-        self._append("segments", segments(kept), epoch)
-        # of a class one memory is accepted, so it has one text
-        text = texts.join(taken.select("id", "fp").hint("merge"), "id").groupBy("id", "fp").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {N.LAST_TIME})")).alias("text"))
-        self._append("strings", kept.select("h", "fp", "n", "bits").join(text.hint("merge"), "fp").select("h", "fp", "n", "bits", "text"), epoch)
-        self._append("short", accepted.where("fp IS NULL AND content_hash <> ''").select("content_hash", "seq"), epoch)
-        self._append("ids", members.select("id"), epoch)
-        touch(self.spark, f"{self.path}/_ended/{epoch}")
-        discard(accepted)
-
-    def _within(self, members: DataFrame, strings: DataFrame, texts: DataFrame, all_strings: bool) -> DataFrame:
-        """(id) of the members that repeat an accepted one among them, taken in the order of at.
-
-        The later copies of a text of at least MIN_WORDS words are cases whatever becomes of the first, so only the
-        first of each class enters the greedy pass.
-        """
-        whole = members.where("fp IS NOT NULL")
-        leaders = materialize(whole.groupBy("fp").agg(F.min("at").alias("at")), narrow=True)
-        later = whole.select("id", "fp").join(leaders.hint("merge"), "fp").where("id <> at.id").select("id")
-        brief = members.where("fp IS NULL AND content_hash <> ''")
-        first_of = brief.groupBy("content_hash", "seq").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        short = brief.drop("at").join(first_of.hint("merge"), ["content_hash", "seq"]).where("id <> at.id").select("id")
-        mine = strings if all_strings else strings.join(leaders.select("fp").hint("merge"), "fp", "left_semi")
-        pairs = materialize(N.closer(probe(segments(mine), probes(mine), within=True), mine, mine), narrow=True)
-        named = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
-        tokens = materialize(_tokens(named, whole, texts))
-        links = _alike(pairs, tokens, tokens).join(leaders.toDF("fa", "aa").hint("merge"), "fa").join(leaders.toDF("fb", "ab").hint("merge"), "fb")
-        greedy = greedy_cases(links.select(F.least("aa", "ab").alias("u"), F.greatest("aa", "ab").alias("v")))
-        out = materialize(later.unionByName(short).unionByName(greedy.select(F.col("v.id").alias("id"))), narrow=True)
-        discard(pairs, tokens, leaders)
-        return out
-
 
-def repeats_of_history(memories: DataFrame, path: str | None = None, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
+def repeats_of_history(memories: DataFrame, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """(id) of every memory that repeats one accepted before it in the order (batch_id, id).
 
-    The batches go into an index in the folder path (by default one that is deleted afterwards) in their order, whole
-    ones and as many at once as have about rows_at_once rows. Alike by N.near_duplicate_pairs' rule, or the same
-    non-empty source_hash regardless of case and the same words in the same order. A null batch_id counts as the first
-    batch; rows without an id are left out; repeated rows of an id count once, by their first arrival; an empty table
-    gives no rows.
+    The batches go through an index in their order, whole ones and as many at once as have about rows_at_once rows. All
+    memories are sketched once, and what is a case by a copy alone is settled before. Alike by N.near_duplicate_pairs'
+    rule, or the same non-empty source_hash regardless of case and the same words in the same order. A null batch_id
+    counts as the first batch; rows without an id are left out; repeated rows of an id count once, by their first
+    arrival; an empty table gives no rows.
     """
     spark = memories.sparkSession
     sketched = sketches(memories)
-    firsts = materialize(first_arrivals(sketched))
+    firsts = materialize(first_arrivals(sketched), narrow=True)
     # one row per batch
     sizes = firsts.groupBy(F.col("at.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1))
-    steps = materialize(sizes.select("batch_id", F.dense_rank().over(Window.orderBy(F.floor(F.coalesce(before, F.lit(0)) / rows_at_once))).alias("step")), narrow=True)
-    last = steps.agg(F.max("step")).first()[0] or 0
-    folder = path or new_path(spark)
-    history, found = History(spark, folder), None
+    steps = sizes.select("batch_id", F.dense_rank().over(Window.orderBy(F.floor(F.coalesce(before, F.lit(0)) / rows_at_once))).alias("step"))
+    ends = [tuple(r) for r in steps.groupBy("step").agg(F.min("batch_id"), F.max("batch_id")).orderBy("step").toLocalIterator()]
+    leaders, cases = later_copies(firsts)
+    strings = materialize(sketched.select(*_STRING).join(leaders.hint("merge"), "fp").dropDuplicates(["fp"]))
+    discard(sketched)
+    folder = new_path(spark)
+    history = History(spark, folder)
+    found = cases
     try:
-        for step in range(1, last + 1):
-            ends = steps.where(F.col("step") == step).agg(F.min("batch_id"), F.max("batch_id")).first()
-            now = firsts.where(F.col("at.batch_id").between(*ends)) if last > 1 else firsts
-            cases = history.add_sketched(now, sketched, memories, store=path is not None or step < last)
-            found = cases if found is None else found.unionByName(cases)
+        for step, low, high in ends:
+            now = strings if len(ends) == 1 else materialize(strings.where(F.col("at.batch_id").between(low, high)))
+            near = history.near(now)
+            found = found.unionByName(leaders.join(near.hint("merge"), "fp").select(F.col("at.id").alias("id")))
+            # nothing comes after the last batch
+            if step < ends[-1][0]:
+                accepted = now.join(near.hint("merge"), "fp", "left_anti")
+                history.append(segments=segments(accepted), strings=accepted.select("h", "fp", "n", "bits", "text"))
+            if now is not strings:
+                discard(now)
     finally:
         history.close()
-        if path is None:
-            remove(spark, folder)
-    discard(sketched, steps)
-    return firsts.select("id").limit(0) if found is None else found
+        remove(spark, folder)
+    discard(strings, firsts)
+    return found
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

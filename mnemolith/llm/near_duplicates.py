@@ -2,11 +2,11 @@
 
 Bayesian candidate pruning. Exact copies (equal word multisets) are merged into classes first, so no key is hot
 because of copies. Classes that share a key, a band of MinHash values (see ``words.sketches``), are candidates. Bits of
-their MinHash values are compared in steps of 16, 32, 64 and 192; after each step a pair is dropped when, by Bayes' rule
+their MinHash values are compared in steps of 16, 40, 64 and 192; after each step a pair is dropped when, by Bayes' rule
 with a uniform prior, the probability that its similarity reaches the threshold falls below ``TOLERANCE``. What remains
 is verified on the words.
 
-The key index is 52 times as long as the collection, which the planner cannot know, so its joins are merge joins; a key
+The key index is 50 times as long as the collection, which the planner cannot know, so its joins are merge joins; a key
 that holds many unlike classes is split by the adaptive skew join.
 """
 
@@ -26,8 +26,8 @@ from mnemolith.session import arrow_map, discard, materialize, spread, table
 
 THRESHOLD = 0.8
 MIN_WORDS = 12
-#: Posterior probability below which a pair is dropped.
-TOLERANCE = 1e-6
+#: Posterior probability below which a pair is dropped; a pair at the threshold itself is so lost once in 2,000.
+TOLERANCE = 1e-4
 #: Groups of exact copies up to this size come out as all their pairs; in a larger one each copy is paired with the
 #: smallest id of the group, and other pairs name that id (class representatives; near_duplicate_groups has the members).
 #: None expands every group.
@@ -63,11 +63,12 @@ def placed(values: list, at: list[int], size: int, empty) -> list:
 
 
 def handles(fps: list[bytes], bits: np.ndarray) -> list[int]:
-    """32 MinHash bits and 32 bits of the fingerprint in one number.
+    """40 MinHash bits and 24 bits of the fingerprint in one number.
 
-    Two classes with one handle are only candidates more: what a handle names is always verified on its own words.
+    Two classes with one handle (about one in 10 million pairs of alike texts) are candidates by that alone, and what a
+    handle names is always verified on its own words.
     """
-    return [(int(b[0]) & ~0xFFFFFFFF) | int.from_bytes(fp[:4], "big") for fp, b in zip(fps, bits)]
+    return [(int(b[0]) & ~0xFFFFFF) | int.from_bytes(fp[:3], "big") for fp, b in zip(fps, bits)]
 
 
 def sketched_columns(found: list[np.ndarray], at: list[int], size: int, keyed: bool = True) -> tuple[list, list, np.ndarray, pa.Array]:
@@ -106,7 +107,7 @@ def least_equal_bits(bits: int, threshold: float = THRESHOLD, tolerance: float =
 def first_bits(a: str, b: str) -> Column:
     """The bits in two handles, compared in two steps."""
     keep = F.lit(True)
-    for n, shift in ((16, 48), (32, 32)):
+    for n, shift in ((16, 48), (40, 24)):
         keep = keep & (F.expr(f"bit_count(shiftrightunsigned({a} ^ {b}, {shift}))") <= n - least_equal_bits(n))
     return keep
 
@@ -129,7 +130,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = classes.select(F.posexplode("keys").alias("j", "k"), "h").select(F.expr("shiftleft(CAST(j AS BIGINT), 32) | (CAST(k AS BIGINT) & 4294967295L)").alias("key"), "h")
     left, right = rows.alias("l"), rows.hint("merge").alias("r")
     found = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")) & first_bits("l.h", "r.h"))
-    return closer(found.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct(), classes, classes)
+    return closer(found.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct(), classes, classes).unionByName(one_handle(classes))
+
+
+def one_handle(classes: DataFrame) -> DataFrame:
+    """(ha, hb), both the same: the handles that several classes have."""
+    return classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
 
 
 def _tokens_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +160,7 @@ def _verify_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     keep = []
     for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
         n, m, common = common_tokens(a, b)
-        keep.append(common / (n + m - common) >= THRESHOLD - 1e-12)
+        keep.append(common / (n + m - common) >= THRESHOLD - 1e-12 and a != b)
     return batch.filter(pa.array(keep, pa.bool_())).select(["fa", "fb"])
 
 
@@ -176,7 +182,7 @@ def alike_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cols.join(reps.hint("merge"), "id").groupBy("h", "fp", "id").agg(F.min_by("content", F.expr(f"coalesce(arrived_at, {LAST_TIME})")).alias("t"))
     tokens = materialize(tokens_of(texts))
     joined = pairs.join(tokens.toDF("ha", "fa", "ta").hint("merge"), "ha").join(tokens.toDF("hb", "fb", "tb").hint("merge"), "hb")
-    links = materialize(arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary"), narrow=True)
+    links = materialize(arrow_map(joined.select("fa", "fb", "ta", "tb"), _verify_batch, "fa binary, fb binary").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct(), narrow=True)
     discard(pairs, tokens)
     return firsts.select("id", "fp"), links
 

@@ -103,7 +103,7 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 #: Keys of a text, MinHash values per key, and values that give a bit each of the first and second sketch.
-KEYS, DEPTH, BITS = 52, 8, (64, 128)
+KEYS, DEPTH, BITS = 50, 9, (64, 128)
 _RNG = np.random.Generator(np.random.PCG64(20240201))
 _MIX = _RNG.integers(0, 2**63, KEYS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY_MIX = _RNG.integers(0, 2**63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
