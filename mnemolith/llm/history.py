@@ -29,8 +29,9 @@ from mnemolith.llm import near_duplicates as N
 from mnemolith.llm import words as W
 from mnemolith.session import arrow_map, children, discard, materialize, new_path, remove, spread, table, touch
 
-#: p2_found adds whole batches in order, as many at once as have about so many rows together, one at least.
-ROWS_AT_ONCE = 60_000
+#: repeats_of_history adds whole batches in order: first as many at once as begin within so many rows, then each time
+#: as many as the index holds already, so that all its probes together read the index about twice.
+ROWS_AT_ONCE = 1_000_000
 
 _SKETCH = "id string, content_hash string, arrived_at timestamp_ntz, batch_id long, n int, fp binary, seq binary, h long, bits array<long>, c int, own array<int>, other array<int>, text string"
 
@@ -270,8 +271,8 @@ class History:
 def repeats_of_history(memories: DataFrame, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """(id) of every memory that repeats one accepted before it in the order (batch_id, id).
 
-    The batches go through an index in their order, whole ones and as many at once as have about rows_at_once rows. All
-    memories are sketched once, and what is a case by a copy alone is settled before. Alike by N.near_duplicate_pairs'
+    The batches go through an index in their order, whole ones and several at once (ROWS_AT_ONCE). All memories are
+    sketched once, and what is a case by a copy alone is settled before. Alike by N.near_duplicate_pairs'
     rule, or the same non-empty source_hash regardless of case and the same words in the same order. A null batch_id
     counts as the first batch; rows without an id are left out; repeated rows of an id count once, by their first
     arrival; an empty table gives no rows.
@@ -282,7 +283,7 @@ def repeats_of_history(memories: DataFrame, rows_at_once: int = ROWS_AT_ONCE) ->
     # one row per batch
     sizes = firsts.groupBy(F.col("at.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1))
-    steps = sizes.select("batch_id", F.dense_rank().over(Window.orderBy(F.floor(F.coalesce(before, F.lit(0)) / rows_at_once))).alias("step"))
+    steps = sizes.select("batch_id", F.floor(F.log2(F.greatest(F.coalesce(before, F.lit(0)) / rows_at_once, F.lit(0.5)))).alias("step"))
     ends = [tuple(r) for r in steps.groupBy("step").agg(F.min("batch_id"), F.max("batch_id")).orderBy("step").toLocalIterator()]
     leaders, cases = later_copies(firsts)
     strings = materialize(sketched.select(*_STRING).join(leaders.hint("merge"), "fp").dropDuplicates(["fp"]))

@@ -1,9 +1,10 @@
 """Problem 9: evaluation passages in training documents.
 
-N-grams of the passages that few items share are the seeds. Documents are scanned once for them (a vectorised rolling
-hash over whole texts), each seed found joins the document with its items, and every such pair is aligned by
-Smith-Waterman over words around its seeds. Long n-grams of LONGEST words count as seeds however many items share
-them, so no passage is missed because its short n-grams are common.
+Short n-grams of the passages that few items share are the seeds. Documents are scanned once for them (a vectorised
+rolling hash over whole texts). Seeds that a document shares with an item on neighbouring diagonals, that is in about
+the same order and distance, join the two; enough of them, and the pair is aligned by Smith-Waterman over words. Long
+n-grams of LEAK words count however many items share them, so no passage is missed because its short n-grams are
+common. A text with every fourth word replaced still has its seeds; one with every third replaced may have none.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolith.llm import words as W
-from mnemolith.session import arrow_map, table
+from mnemolith.session import arrow_map, spread, table
 
-#: Words of a seed, and the number of items up to which a seed is rare.
-SEED, RARE = 8, 2
-#: A pair is aligned when it shares so many seeds of SEED words, or one of LEAK words; a template shared by chance has fewer.
-SEEDS = 8
+#: Words of a seed and of one in Chinese, and the number of items up to which a seed is rare.
+SEED, SEED_ZH, RARE = 3, 6, 2
+#: A pair is aligned when, within BAND diagonals, it shares so many seeds, and a tenth of the seeds the item has.
+SEEDS, PART, BAND = 3, 0.1, 16
 #: Consecutive words that make a leak, and those for items in Chinese.
 LEAK, LEAK_ZH = 13, 20
 #: Alignment: reward of a match, cost of a mismatch and of a gap, and least share of the best score of an edited copy.
@@ -45,28 +46,32 @@ def rolling(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """Passages by word numbers, and their seeds by hash."""
+    """Passages by word numbers, and their seeds by hash, each with the items and the places where it stands."""
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]):
         self.vocabulary: dict[str, int] = {}
-        self.names, self.words, self.least = [], [], []
-        grams: dict[int, dict[int, set[int]]] = {SEED: {}, LEAK: {}, LEAK_ZH: {}}
+        self.names, self.words, self.least, self.need = [], [], [], []
+        grams: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in (SEED, SEED_ZH, LEAK, LEAK_ZH)}
         for name, lang, passage in rows:
             found = W.words_or_han(passage)
             if name is None or not found:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.uint64)
-            k = len(self.names)
-            least = LEAK_ZH if (lang or "").lower() == "zh" else LEAK
-            self.names.append(name), self.words.append(ids), self.least.append(least)
-            for n in (SEED, least):
-                for h in rolling(ids, n)[1].tolist():
-                    grams[n].setdefault(h, set()).add(k)
+            k, zh = len(self.names), (lang or "").lower() == "zh"
+            self.names.append(name), self.words.append(ids), self.least.append(LEAK_ZH if zh else LEAK)
+            self.need.append(max(SEEDS, PART * len(ids)))
+            for n in (SEED_ZH, LEAK_ZH) if zh else (SEED, LEAK):
+                at, hashes = rolling(ids, n)
+                for q, h in zip(at.tolist(), hashes.tolist()):
+                    grams[n].setdefault(h, []).append((k, q))
         self.seeds = []
         for n, by in grams.items():
-            kept = {h: tuple(ks) for h, ks in by.items() if n != SEED or len(ks) <= RARE}
+            rare = n in (SEED, SEED_ZH)
+            kept = {h: owners for h, owners in by.items() if not rare or len({k for k, _ in owners}) <= RARE}
             order = np.array(sorted(kept), np.uint64)
-            self.seeds.append((n, order, [kept[h] for h in order.tolist()]))
+            sizes = np.array([len(kept[h]) for h in order.tolist()], np.int64)
+            flat = np.array([o for h in order.tolist() for o in kept[h]], np.int64).reshape(-1, 2)
+            self.seeds.append((n, rare, order, np.concatenate([[0], np.cumsum(sizes)]), flat[:, 0], flat[:, 1]))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -87,6 +92,21 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return longest, best
 
 
+def _hits(ids: np.ndarray, begin: np.ndarray, n: int, rare: bool, order: np.ndarray, at: np.ndarray, owners: np.ndarray, places: np.ndarray):
+    """(rare, document, item, place in the documents, place in the item) of every seed of n words found."""
+    none = np.empty(0, np.int64)
+    p, h = rolling(ids, n) if len(order) else (none, none)
+    if not len(p):
+        return rare, none, none, none, none
+    where = np.minimum(np.searchsorted(order, h), len(order) - 1)
+    hit = np.flatnonzero(order[where] == h)
+    seed, p = where[hit], p[hit]
+    times = at[seed + 1] - at[seed]
+    entry = np.repeat(at[seed] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    p = np.repeat(p, times)
+    return rare, np.searchsorted(begin, p, "right") - 1, owners[entry], p, places[entry]
+
+
 def _scan(batch: pa.RecordBatch, items: Items) -> pa.RecordBatch:
     get = items.vocabulary.get
     texts = [W.words_or_han(t) for t in batch.column("text").to_pylist()]
@@ -100,28 +120,34 @@ def _scan(batch: pa.RecordBatch, items: Items) -> pa.RecordBatch:
     ids = np.array(flat, np.uint64)
     begin = np.array(begins, np.int64)
     spans: dict[tuple[int, int], list[int]] = {}
-    for n, order, owners in items.seeds:
-        if not len(order):
-            continue
-        at, h = rolling(ids, n)
-        where = np.minimum(np.searchsorted(order, h), len(order) - 1)
-        hit = np.flatnonzero(order[where] == h)
-        doc = np.searchsorted(begin, at[hit], "right") - 1
-        for d, p, s in zip(doc.tolist(), at[hit].tolist(), where[hit].tolist()):
-            for k in owners[s]:
-                span = spans.get((d, k))
-                if span is None:
-                    spans[d, k] = [p, p + n, 1 if n == SEED else SEEDS]
-                else:
-                    span[0], span[1], span[2] = min(span[0], p), max(span[1], p + n), span[2] + (1 if n == SEED else SEEDS)
+    hits = [_hits(ids, begin, *seed) for seed in items.seeds]
+    need = np.array(items.need)
+    for rare, d, k, p, q in hits:
+        if rare and len(d):
+            # seeds by diagonal, in bands that overlap by half
+            half = (p - q + (1 << 40)) // (BAND // 2)
+            group = np.concatenate([np.stack([d, k, half]), np.stack([d, k, half - 1])], axis=1)
+            where = np.tile(np.arange(len(d)), 2)
+            order = np.lexsort(group)
+            group, where = group[:, order], where[order]
+            edge = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+            count = np.diff(np.append(edge, group.shape[1]))
+            strong = np.repeat(count >= need[group[1, edge]], count)
+            kept = np.unique(where[strong])
+            d, k, p, q = d[kept], k[kept], p[kept], q[kept]
+        for a, b, first in zip(d.tolist(), k.tolist(), (p - q).tolist()):
+            span = spans.get((a, b))
+            if span is None:
+                spans[a, b] = [first, first]
+            else:
+                span[0], span[1] = min(span[0], first), max(span[1], first)
     names = batch.column("doc_id").to_pylist()
     rows = []
-    for (d, k), (low, high, seeds) in spans.items():
-        if seeds < SEEDS:
-            continue
+    for (d, k), (low, high) in spans.items():
         item = items.words[k]
-        low = max(begins[d], low - len(item))
-        high = min(begins[d] + len(texts[d]), high + len(item))
+        # the item laid on the first and the last of its diagonals, with room for what was inserted
+        low = max(begins[d], low - len(item) // 2)
+        high = min(begins[d] + len(texts[d]), high + len(item) + len(item) // 2)
         longest, score = align(item, ids[low:high])
         share = score / (MATCH * len(item))
         if longest >= items.least[k] or share >= SHARE:
@@ -145,7 +171,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             blocks.append(rows)
             rows, size = [], 0
     blocks.append(rows)
-    texts = documents.where("text IS NOT NULL").select(documents.doc_id.cast("long").alias("doc_id"), "text")
+    texts = spread(documents.where("text IS NOT NULL").select(documents.doc_id.cast("long").alias("doc_id"), "text"))
     out = None
     for block in blocks:
         items = Items(block)

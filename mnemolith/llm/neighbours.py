@@ -1,16 +1,16 @@
 """Problem 5: the most similar vectors of every vector.
 
-Cross-polytope hashing. A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) is applied to
-the unit vectors, and the nearest signed axis is the digit of a hash; a table's bucket has DIGITS digits. Each vector
-is indexed in its own bucket of every table, and also probes the bucket with its second nearest axis where that is
-close. The candidates of a bucket are ranked by their cosines. A bucket beyond blocks.BLOCK rows is divided into parts
-and every part meets every other one in a block of its own: no task gets more than a bounded part of a hot group, and
-none of its pairs is left out.
+Cross-polytope hashing (``vectors.cells``). A pseudo-rotation (three rounds of random signs and a fast Hadamard
+transform) is applied to the unit vectors, and the nearest signed axis is the digit of a hash. The digits of a cell
+follow the number of rows, so that a cell holds a bounded number of unrelated ones at any size, and the number of
+tables follows from the digits and the accepted loss. Each vector is indexed in its own cell of every table, and also
+probes the cell with its second nearest axis where that is close. The candidates of a cell are ranked by their cosines.
+A cell beyond blocks.BLOCK rows is divided into parts and every part meets every other one in a block of its own: no
+task gets more than a bounded part of a hot group, and none of its pairs is left out.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,78 +19,23 @@ from mnemolith import blocks as B
 from mnemolith.llm import vectors as V
 from mnemolith.session import arrow_map, materialize, table
 
-#: A bucket has DIGITS digits; all but the last choose among 2 * DIM axes, the last among 2 * LAST, so that buckets hold
-#: about rows / (2 * DIM * 2 * LAST) unrelated vectors. LAST should grow with the collection, up to DIM.
-TABLES, DIGITS, LAST = 3, 2, 2
-#: A second axis is probed where its value is at least this part of the largest one's.
-PROBE = 0.9
+#: A pair at LEAST itself meets in no table at most so often; at 0.9 that is one in eight or less, at 0.95 one in 40.
+MISS = 0.25
+#: Unrelated rows of a cell, about.
+CELL = 1024
 NEIGHBOURS, LEAST = 5, 0.85
-
-
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two; keeps lengths."""
-    n, h = x.shape[1], 1
-    while h < n:
-        y = x.reshape(len(x), -1, 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
-    return x / np.sqrt(n)
-
-
-def rotations(tables: int = TABLES, digits: int = DIGITS, dim: int = V.DIM) -> np.ndarray:
-    """(tables * digits, dim, dim): a pseudo-rotation per digit."""
-    rng = np.random.Generator(np.random.PCG64(7))
-    out = []
-    for _ in range(tables * digits):
-        x = np.eye(dim)
-        for _ in range(3):
-            x = hadamard(x * rng.choice([-1.0, 1.0], dim))
-        out.append(x)
-    return np.array(out)
-
-
-def _hash(x: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, probes) of unit vectors; a probe is -1 where there is none."""
-    keys, probes = [], []
-    for t in range(TABLES):
-        key = np.zeros(len(x), np.int64)
-        digits, seconds, ratios = [], [], []
-        for d in range(DIGITS):
-            y = x @ rotated[t * DIGITS + d][:, : V.DIM if d < DIGITS - 1 else LAST]
-            size = np.abs(y)
-            two = np.argpartition(size, -2, axis=1)[:, -2:]
-            values = np.take_along_axis(size, two, axis=1)
-            top = values.argmax(axis=1)
-            rows = np.arange(len(x))
-            a, b = two[rows, top], two[rows, 1 - top]
-            digits.append(2 * a + (y[rows, a] < 0))
-            seconds.append(2 * b + (y[rows, b] < 0))
-            ratios.append(values[rows, 1 - top] / values[rows, top])
-        for d in range(DIGITS):
-            key = key * (2 * V.DIM) + digits[d]
-        ratio = np.array(ratios)
-        weak = ratio.argmax(axis=0)
-        other = np.zeros(len(x), np.int64)
-        for d in range(DIGITS):
-            other = other * (2 * V.DIM) + np.where(weak == d, seconds[d], digits[d])
-        shift = t * (2 * V.DIM) ** DIGITS
-        keys.append(key + shift)
-        probes.append(np.where(ratio.max(axis=0) >= PROBE, other + shift, -1))
-    return np.array(keys).T, np.array(probes).T
-
-
-def _listed(a: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(a.ravel(), kind), a.shape[1]).cast(pa.list_(kind))
+#: Tables that are laid out at once, so that what is shuffled at a time does not grow with their number.
+AT_ONCE = 2
 
 
 def hashed(vectors: DataFrame) -> DataFrame:
     """(n, memory_id, embedded_at, q, keys, probes) of the usable rows, n unique."""
-    rotated = rotations()
+    tables, digits, last = V.tables_for(vectors.count(), CELL, LEAST, MISS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = V.to_matrix(batch.column("vector"))
-        keys, probes = _hash(x, rotated)
-        cols = [batch.column("n"), batch.column("memory_id"), batch.column("embedded_at"), V.packed(x), _listed(keys, pa.int64()), _listed(probes, pa.int64())]
+        keys, probes = V.cells(x, tables, digits, last)
+        cols = [batch.column("n"), batch.column("memory_id"), batch.column("embedded_at"), V.packed(x), V.listed(keys, pa.int64()), V.listed(probes, pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names=["n", "memory_id", "embedded_at", "q", "keys", "probes"])
 
     rows = V.usable(vectors).withColumn("n", F.monotonically_increasing_id()).withColumn("embedded_at", F.col("embedded_at").cast("timestamp_ntz"))
@@ -103,10 +48,15 @@ def neighbour_rows(rows: DataFrame, least: float | None) -> DataFrame:
 
 
 def _near(live: DataFrame, least: float | None) -> DataFrame:
-    own = live.select("n", "q", F.explode("keys").alias("key"), F.lit(True).alias("home"))
-    more = live.select("n", "q", F.explode("probes").alias("key"), F.lit(False).alias("home")).where("key >= 0")
-    every = own.unionByName(more).withColumn("asks", F.lit(True))
-    found = B.compared(every, ["key"], B.best(V.unpacked, NEIGHBOURS, least), "a long, b long, c float")
+    tables, found = len(live.select("keys").first()["keys"]) if not live.isEmpty() else 0, None
+    for t in range(0, max(tables, 1), AT_ONCE):
+        some = [F.slice(k, t + 1, AT_ONCE) for k in ("keys", "probes")]
+        own = live.select("n", "q", F.explode(some[0]).alias("key"), F.lit(True).alias("home"))
+        more = live.select("n", "q", F.explode(some[1]).alias("key"), F.lit(False).alias("home")).where("key >= 0")
+        every = own.unionByName(more).withColumn("asks", F.lit(True))
+        part = B.compared(every, ["key"], B.best(V.unpacked, NEIGHBOURS, least), "a long, b long, c float")
+        part = materialize(part, narrow=True) if tables > AT_ONCE else part
+        found = part if found is None else found.unionByName(part)
     # the cosine of a pair differs in its last bits between tables, so a neighbour is counted once by its handle
     order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "b")))
     best = found.groupBy("a").agg(order.alias("all")).withColumn("b", F.expr(f"slice(array_distinct(transform(all, m -> m.b)), 1, {NEIGHBOURS})"))

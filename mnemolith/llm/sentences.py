@@ -1,33 +1,89 @@
 """Problem 10: sentences of documents in any script, with their positions.
 
-The sentence-break rules of the Unicode text segmentation standard, expressed over blocks of Markdown: terminators of
-all scripts, closing marks that follow them, full stops inside numbers and names, and abbreviations that suppress a
-break. A quotation is passed over as a whole; whether a sentence ends behind it depends on what follows. Scripts that
-write no full stop between sentences (Thai, Lao, Khmer, Burmese) break at spaces.
+The sentence-break rules of the Unicode text segmentation standard, expressed over blocks of Markdown. The classes of
+characters (terminators of all scripts, closing marks, scripts without spaces between words) come from the character
+database. Full stops inside numbers and names do not break, nor do those of abbreviations, which are kept by language:
+a document's language is told by its function words, and only where they decide nothing do the abbreviations of all
+languages apply. A quotation is passed over as a whole; whether a sentence ends behind it depends on what follows.
+
+Scripts of the class SA (Thai, Lao, Khmer, Burmese) write a space between sentences and between clauses, and nothing
+but a dictionary could tell them apart; every space between their letters is taken as a break.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemolith.session import arrow_map, table
+from mnemolith.session import arrow_map, spread, table
 
-# fixed values: abbreviations after which no sentence ends, those after which one ends before a capital only, and those
-# that suppress a break before a number only; without the last full stop, in lower case
-NEVER = frozenset("dr mr mrs ms prof st mt messrs approx cf vs viz i.e e.g bzw ca evtl ggf vgl inkl z.b d.h u.a env mm mme mlle sr sra srta dra prof aprox p.ej p.ex ej ex ed gen col sgt capt rev hon डॉ श्री प्रो ดร".split())
-BEFORE_CAPITAL = frozenset("etc usw al ff p.m a.m inc ltd jr co corp u.s u.k e.u bros dept est ddd pp.ss bspw u.dgl n.chr v.chr".split())
-BEFORE_NUMBER = frozenset("no nos nr fig figs sec eq ref vol ch abb abs art tab bd kap pág págs pag núm num cap chap n.º nº par pp s p".split())
+# fixed values: abbreviations by language, in lower case and without the last full stop. After a title or one of
+# "always" no sentence ends, after one of "capital" one ends before a capital only, and one of "number" suppresses a
+# break before a number only. A title counts only with a capital (or in a script without case).
+TITLES = {
+    "en": ("dr", "mr", "mrs", "ms", "prof", "st", "mt", "messrs", "rev", "hon", "gen", "col", "sgt", "capt", "lt"),
+    "de": ("dr", "prof", "hr", "fr", "st"),
+    "fr": ("dr", "pr", "mm", "mme", "mlle", "st", "ste", "prof"),
+    "es": ("dr", "dra", "sr", "sra", "srta", "prof", "gral", "ud", "uds"),
+    "hi": ("डॉ", "श्री", "प्रो"),
+    "th": ("ดร", "นพ", "ผศ", "รศ"),
+}
+ALWAYS = {
+    "en": ("approx", "cf", "vs", "viz", "i.e", "e.g"),
+    "de": ("bzw", "ca", "evtl", "ggf", "vgl", "inkl", "z.b", "d.h", "u.a", "approx", "vs"),
+    "fr": ("env", "p.ex", "ex", "c.-à-d", "cf", "vs"),
+    "es": ("aprox", "p.ej", "ej", "cf", "vs"),
+}
+CAPITAL = {
+    "en": ("etc", "p.m", "a.m", "inc", "ltd", "jr", "co", "corp", "u.s", "u.k", "e.u", "bros", "dept", "est", "al"),
+    "de": ("usw", "etc", "ff", "u.dgl", "n.chr", "v.chr", "bspw", "al"),
+    "fr": ("etc", "al"),
+    "es": ("etc", "ddd", "pp.ss", "al"),
+}
+NUMBER = {
+    "en": ("no", "nos", "fig", "figs", "sec", "eq", "ref", "vol", "ch", "art", "tab", "chap", "pp", "p"),
+    "de": ("nr", "abb", "abs", "art", "tab", "bd", "kap", "s"),
+    "fr": ("fig", "art", "vol", "chap", "p", "pp", "n", "nº"),
+    "es": ("pág", "págs", "pag", "núm", "fig", "art", "vol", "cap", "n.º", "nº", "p", "pp"),
+}
+# fixed values: frequent function words that tell a language; German months, which follow the number of a day
+FUNCTION_WORDS = {
+    "en": frozenset("the of and to is was that with for which after this are were has have".split()),
+    "de": frozenset("der die das und ist nicht ein eine mit dem den von zu auf wird wurde nach".split()),
+    "fr": frozenset("le les des une est dans pour qui sur avec ce cette du au aux pas sont".split()),
+    "es": frozenset("el los las una es en por para con que del al se lo su fue más".split()),
+}
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def _of(*properties: str) -> str:
+    """All characters that have one of the properties, from the character database."""
+    text = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    return "".join(regex.findall("[" + "".join(f"\\p{{{p}}}" for p in properties) + "]", text))
+
+
+def _class(characters: str) -> str:
+    return "".join(re.escape(c) for c in characters)
+
+
+#: Terminators other than the full stop, with the small and the wide full stop among them.
+_STOPS = _of("Sentence_Break=STerm") + "".join(c for c in _of("Sentence_Break=ATerm") if c not in ".․")
+_PAIRED = "“”„«»「」『』‘’"
+_CLOSERS = "\"'" + "".join(c for c in _of("Pe", "Pf") if c not in "„")
+_SA = _of("Line_Break=SA")
+_SA_LETTERS = "".join(c for c in _SA if c.isalpha())
 
-_QUOTE = r"“[^“”]{0,2000}”|„[^“”„]{0,2000}[“”]|«[^«»]{0,2000}»|「[^「」]{0,2000}」|『[^『』]{0,2000}』|\"[^\"]{1,2000}\"|(?<!\w)'(?=\S)[^'\n]{2,400}(?<=\S)'(?!\w)|‘[^‘’]{2,400}’(?!\w)"
-_STOPS = "!?。！？｡।॥؟۔።။។‼⁇⁈⁉"
-_CLOSE = r"[)\]}\"'”’»」』）】》]*"
-_MARK = re.compile(rf"(?P<quote>{_QUOTE})|(?P<stop>(?:[{_STOPS}…]|\.(?:\.+|(?=[{_STOPS}])))[.{_STOPS}…]*{_CLOSE})|(?P<dot>\.{_CLOSE})")
-_MARK_SPACE = re.compile(_MARK.pattern + r"|(?P<space>(?<=[฀-໿ក-៿က-႟\d)”\"])[ \t\n]+(?=[\"“(]?[฀-໿ក-៿က-႟]))")
-_SPACED = re.compile(r"[ก-ฮກ-ຮក-អက-အ]")
+_QUOTE = r"“[^“”]*”|„[^“”„]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]+\"|(?<!\w)'(?=\S)[^'\n]{2,}(?<=\S)'(?!\w)|‘[^‘’]{2,}’(?!\w)"
+_S, _C, _T = _class(_STOPS), _class(_CLOSERS), _class(_SA)
+_CLOSE = rf"[{_C}]*"
+_MARK = re.compile(rf"(?P<quote>{_QUOTE})|(?P<stop>(?:[{_S}…]|\.(?:\.+|(?=[{_S}])))[.{_S}…]*{_CLOSE})|(?P<dot>\.{_CLOSE})")
+_MARK_SPACE = re.compile(_MARK.pattern + rf"|(?P<space>(?<=[{_T}\d)”\"])[ \t\n]+(?=[\"“(]?[{_T}]))")
+_SPACED = re.compile(f"[{_class(_SA_LETTERS)}]")
 _LIST = re.compile(r"[ \t]*(?:[-*+•‣◦]|(\d{1,9})[.)])[ \t]+(?=\S)")
 _HEADING = re.compile(r" {0,3}#{1,6}[ \t]+")
 _BEFORE = re.compile(r"[^\s(\[{\"'“„«/,;:]+$")
@@ -42,7 +98,29 @@ def _ideographic(c: str) -> bool:
     return "⺀" <= c <= "鿿" or "가" <= c <= "힯" or "豈" <= c <= "﫿" or "＀" <= c <= "￯" or c >= "\U00020000"
 
 
-def _dot_ends(text: str, start: int, dot: int, end: int, stop: int) -> bool:
+class Rules:
+    """The abbreviations of a text, by its language, which is told when the first abbreviation asks for it."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, None
+
+    def languages(self) -> tuple[str, ...]:
+        if self.found is None:
+            counts = dict.fromkeys(FUNCTION_WORDS, 0)
+            for m in _LETTERS.finditer(self.text):
+                word = m.group().lower()
+                for lang, known in FUNCTION_WORDS.items():
+                    counts[lang] += word in known
+            most = max(counts.values())
+            # a text may mix languages: all that have at least a quarter of the most frequent one's words
+            self.found = tuple(k for k, n in counts.items() if most >= 2 and 4 * n >= most) or tuple(FUNCTION_WORDS)
+        return (*self.found, "hi", "th")
+
+    def has(self, table: dict[str, tuple[str, ...]], word: str) -> bool:
+        return any(word in v for v in table.values()) and any(word in table.get(lang, ()) for lang in self.languages())
+
+
+def _dot_ends(text: str, start: int, dot: int, end: int, stop: int, rules: Rules) -> bool:
     """Whether a single full stop at dot, with closing marks up to end, ends a sentence; stop is the block's end."""
     if end >= stop:
         return True
@@ -64,11 +142,13 @@ def _dot_ends(text: str, start: int, dot: int, end: int, stop: int) -> bool:
         # an initial or a part of an abbreviation, unless it is the unit of a number
         unit = dot - 3 >= start and text[dot - 1].islower() and text[dot - 2].isspace() and text[dot - 3].isdigit()
         return unit and (after.isupper() or here > end + 1)
-    if word in NEVER:
+    if rules.has(TITLES, word) and not (found.group()[0].islower() and after.isupper()):
+        return False
+    if rules.has(ALWAYS, word):
         return False
-    if word in BEFORE_NUMBER:
+    if rules.has(NUMBER, word):
         return not after.isdigit()
-    if word in BEFORE_CAPITAL:
+    if rules.has(CAPITAL, word):
         return after.isupper() or not after.islower() and not after.isdigit()
     if len(word) > 2 and word[1::2] == "." * (len(word) // 2) and word.replace(".", "").isalpha():
         return after.isupper()
@@ -99,7 +179,7 @@ def _quote_ends(text: str, sentence: int, quote: int, end: int, stop: int) -> bo
     return not after.islower() and (after.isupper() or quote == sentence or not after.isalpha())
 
 
-def _block(text: str, start: int, stop: int, out: list[int], single: bool) -> None:
+def _block(text: str, start: int, stop: int, out: list[int], single: bool, rules: Rules) -> None:
     """Appends the sentence starts of one block."""
     while start < stop and text[start].isspace():
         start += 1
@@ -115,7 +195,7 @@ def _block(text: str, start: int, stop: int, out: list[int], single: bool) -> No
         if kind == "quote":
             ends = _quote_ends(text, sentence, m.start(), end, stop)
         elif kind == "dot":
-            ends = _dot_ends(text, start, m.start(), end, stop)
+            ends = _dot_ends(text, start, m.start(), end, stop, rules)
         elif kind == "space":
             ends = not text.startswith("ๆ", m.start() - 1)
         elif end >= stop:
@@ -144,6 +224,7 @@ def _block(text: str, start: int, stop: int, out: list[int], single: bool) -> No
 def sentence_starts(text: str) -> list[int]:
     """Positions of the first characters of the sentences of a Markdown text."""
     out: list[int] = []
+    rules = Rules(text)
     begin = end = None  # of the open block
     single, fence, at = False, None, 0
     ordered = False  # whether the line before belongs to a list
@@ -151,7 +232,7 @@ def sentence_starts(text: str) -> list[int]:
     def close() -> None:
         nonlocal begin
         if begin is not None:
-            _block(text, begin, end, out, single)
+            _block(text, begin, end, out, single, rules)
             begin = None
 
     for line in text.split("\n"):
@@ -206,16 +287,16 @@ def _text_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 def sentence_units(documents: DataFrame) -> DataFrame:
     """(doc_id, sent_no, sent_start, sentence) of every document, positions in code points.
 
-    A null or blank text, one of code or of signs only, has no sentences. The language column is not needed: the rules
+    A null or blank text, one of code or of signs only, has no sentences. The language column is not trusted: the rules
     of all scripts apply side by side. Repeated rows give repeated sentences; other columns are ignored.
     """
     rows = documents.where("text IS NOT NULL").select(documents.doc_id.cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, _text_batch, "doc_id long, sent_no int, sent_start long, sentence string")
+    return arrow_map(spread(rows), _text_batch, "doc_id long, sent_no int, sent_start long, sentence string")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return arrow_map(documents.select("doc_id", "text"), _batch, "doc_id long, sent_start long")
+    return arrow_map(spread(documents.select("doc_id", "text")), _batch, "doc_id long, sent_start long")
 
 
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Usable vectors in compact form, and streams of rows grouped by a key."""
+"""Usable vectors in compact form, cross-polytope cells, and streams of rows grouped by a key."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from mnemolith.session import materialize
 
 DIM = 64
-#: Rows of one key handled at once; a longer run is cut into parts of this size.
+#: Rows of one key handled at once; a longer run is cut into parts of this size, which the caller has to join.
 RUN = 8192
+#: The second nearest axis is looked at where its value is at least this part of the largest one's.
+PROBE = 0.9
 _BLOCK = 1024
 
 
@@ -108,3 +111,100 @@ def grouped_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Tab
             yield from pa.concat_tables(done).combine_chunks().to_batches()
 
     return df.mapInArrow(run, schema)
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two; keeps lengths."""
+    n, h = x.shape[1], 1
+    while h < n:
+        y = x.reshape(len(x), -1, 2, h)
+        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+        h *= 2
+    return x / np.sqrt(n)
+
+
+@lru_cache
+def signs(tables: int, digits: int) -> np.ndarray:
+    """(tables, digits, 3, DIM): the random signs of three rounds per digit."""
+    return np.random.Generator(np.random.PCG64(7)).choice([-1.0, 1.0], (tables, digits, 3, DIM))
+
+
+def rotated(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """A pseudo-rotation of the rows: three rounds of signs and a Hadamard transform."""
+    for s in rounds:
+        x = hadamard(x * s)
+    return x
+
+
+def shape(rows: int, cell: int) -> tuple[int, int]:
+    """(digits, axes of the last digit) that leave about so many unrelated rows in a cell."""
+    cells, digits = max(2.0, rows / cell), 1
+    while cells > (2 * DIM) ** digits:
+        digits += 1
+    return digits, min(DIM, max(1, round(cells / (2 * DIM) ** (digits - 1) / 2)))
+
+
+def cells(x: np.ndarray, tables: int, digits: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, tables) cells of unit vectors, and the cell across the nearest wall, -1 where none is near.
+
+    A digit is the signed axis that is nearest after a pseudo-rotation, one of 2 * DIM, the last one of 2 * last.
+    """
+    keys, nearby = [], []
+    turns, rows = signs(tables, digits), np.arange(len(x))
+    for t in range(tables):
+        own, second, ratio = [], [], []
+        for d in range(digits):
+            y = rotated(x, turns[t, d])
+            y = y[:, : DIM if d < digits - 1 else last]
+            size = np.abs(y)
+            a = size.argmax(axis=1)
+            top = size[rows, a]
+            own.append(2 * a + (y[rows, a] < 0))
+            if y.shape[1] > 1:
+                size[rows, a] = -1
+                b = size.argmax(axis=1)
+                ratio.append(size[rows, b] / np.maximum(top, 1e-30))
+                second.append(2 * b + (y[rows, b] < 0))
+            else:
+                # one axis: the wall is where its sign changes
+                ratio.append(np.where(top < 0.02, 1.0, 0.0))
+                second.append(2 * a + (y[rows, a] >= 0))
+        key = np.full(len(x), t, np.int64)
+        other = key.copy()
+        weak = np.argmax(ratio, axis=0)
+        for d in range(digits):
+            key = key * (2 * DIM) + own[d]
+            other = other * (2 * DIM) + np.where(weak == d, second[d], own[d])
+        keys.append(key)
+        nearby.append(np.where(np.max(ratio, axis=0) >= PROBE, other, -1))
+    return np.array(keys).T.reshape(len(x), tables), np.array(nearby).T.reshape(len(x), tables)
+
+
+@lru_cache
+def meeting_rate(digits: int, last: int, cosine: float, visitors: bool) -> float:
+    """How often two vectors of that cosine meet in one table, by 4,000 random pairs.
+
+    They meet where one of them, in its own cell or the one across, finds the other in its own; with visitors also
+    where both stand across.
+    """
+    rng = np.random.Generator(np.random.PCG64(5))
+    x, z = rng.normal(size=(2, 4000, DIM))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    (a, pa), (b, pb) = cells(x, 1, digits, last), cells(cosine * x + np.sqrt(1 - cosine**2) * z, 1, digits, last)
+    met = (a == b) | (pa == b) | (a == pb)
+    if visitors:
+        met |= (pa == pb) & (pa >= 0)
+    return float(met.mean())
+
+
+def tables_for(rows: int, cell: int, cosine: float, miss: float, visitors: bool = False) -> tuple[int, int, int]:
+    """(tables, digits, axes of the last digit): so many that a pair of that cosine meets in none at most so often."""
+    digits, last = shape(rows, cell)
+    rate = meeting_rate(digits, last, cosine, visitors)
+    return max(2, int(np.ceil(np.log(miss) / np.log(1 - rate)))), digits, last
+
+
+def listed(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(a.ravel(), kind), a.shape[1]).cast(pa.list_(kind))

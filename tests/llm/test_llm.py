@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mnemolith.llm import history, leakage, near_duplicates, neighbours, packing, personal, sentences, splitting, topics
+from mnemolith.llm import vectors as vectors_of
 from mnemolith.llm import words as W
 
 DAY = dt.datetime(2025, 1, 1)
@@ -132,9 +133,9 @@ def test_history_in_batches(spark, tmp_path):
     index.close()
 
 
-def test_history_one_batch_at_a_time(spark):
+def test_history_in_several_steps(spark):
     rows = some_memories(11)
-    got = [r[0] for r in history.repeats_of_history(memories(spark, rows), rows_at_once=1).collect()]
+    got = [r[0] for r in history.repeats_of_history(memories(spark, rows), rows_at_once=20).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_repeats(rows)
 
 
@@ -247,11 +248,18 @@ def test_neighbours(spark):
 
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
-    assert np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
-    r = neighbours.rotations(1, 1)[0]
+    assert np.allclose(np.linalg.norm(vectors_of.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+    r = vectors_of.rotated(np.eye(64), vectors_of.signs(1, 1)[0, 0])
     assert np.allclose(r @ r.T, np.eye(64))
 
 
+def test_cells_follow_the_rows():
+    for rows in (10, 1_000, 100_000, 10_000_000, 10_000_000_000):
+        digits, last = vectors_of.shape(rows, 1000)
+        assert rows / (128 ** (digits - 1) * 2 * last) <= 2000
+        assert vectors_of.tables_for(rows, 1000, 0.85, 0.25)[0] <= 24
+
+
 def test_topics(spark):
     rows, more = vector_rows(7)
     got = {tuple(r) for r in topics.topic_members(vectors(spark, rows + more)).select("memory_id", "cluster_id").collect()}
@@ -314,6 +322,38 @@ def test_leaks(spark):
     assert leakage.leaks(documents(spark, texts), items.limit(0)).count() == leakage.leaks(documents(spark, texts).limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5, 8, 9])
+def test_edited_copies_leak(every):
+    rng = random.Random(every)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    passages = [[rng.choice(vocabulary) for _ in range(90)] for _ in range(40)]
+    items = leakage.Items([(k, "en", " ".join(p)) for k, p in enumerate(passages)])
+    texts = []
+    for p in passages:
+        edited = [w if k % every else f"x{k}" for k, w in enumerate(p)]
+        edited.insert(30, "inserted words here")
+        del edited[60:62]
+        texts.append("before it " + " ".join(edited) + " after it")
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(40)]
+    found = leakage._scan(leakage.pa.RecordBatch.from_pydict({"doc_id": list(range(80)), "text": texts}), items).to_pylist()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k in range(40)}
+
+
+@pytest.mark.parametrize("text, n", [
+    ("He got a new rev. Then it broke.", 2),
+    ("Rev. Green spoke. All left.", 2),
+    ("Բարև ձեզ։ Ինչպես եք։", 2),
+    ("ជំរាបសួរ។ អរគុណ។", 2),
+    ("ሰላም ነው። ደህና ነኝ።", 2),
+    ("“" + "One. Two! " * 400 + "” That was long.", 2),
+    ("Le rapport est prêt pour la réunion, cf. p. 12. Ensuite on part.", 2),
+    ("La nota está en el archivo, págs. 3 y 4. Luego se cierra.", 2),
+    ("Das ist der Plan und er wird bzw. wurde geprüft. Es geht.", 2),
+])
+def test_sentences_of_other_scripts_and_languages(text, n):
+    assert len(pieces_of(text)) == n, pieces_of(text)
+
+
 def pieces_of(text):
     starts = sentences.sentence_starts(text)
     return [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text)])]
