@@ -22,6 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +62,16 @@ def _sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     size = np.array([len(t) for t in found], np.int64)
     own, none = W.length_class(size), np.empty(0, np.int32)
     cuts = [N.lists(N.placed(W.segments(found, c), at, len(n), none), pa.int32()) for c in (own, W.other_class(size))]
-    cols = [batch.column("id"), batch.column("content_hash"), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(seq, pa.binary()), pa.array(h, pa.int64()), bits]
+    # hash and sequence decide about short texts only
+    short = pa.array([k is None for k in fp], pa.bool_())
+    none_of = lambda col: pc.if_else(short, col, pa.nulls(len(n), col.type))
+    cols = [batch.column("id"), none_of(batch.column("content_hash")), batch.column("arrived_at"), batch.column("batch_id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), none_of(pa.array(seq, pa.binary())), pa.array(h, pa.int64()), bits]
     cols += [pa.array(N.placed(own.tolist(), at, len(n), None), pa.int32()), *cuts, batch.column("content")]
     return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(name, col.type) for name, col in zip("id content_hash arrived_at batch_id n fp seq h bits c own other text".split(), cols)]))
 
 
 def sketches(memories: DataFrame) -> DataFrame:
-    """A row per row of memories: words, fingerprints of their multiset and sequence, bits, class, segments and text."""
+    """A row per row of memories: words, fingerprint of their multiset, bits, class, segments and text; hash and sequence of short ones."""
     cols = memories.where("id IS NOT NULL").select("id", "content", F.lower("source_hash").alias("content_hash"), F.col("arrived_at").cast("timestamp_ntz"), F.col("batch_id").cast("long"))
     return materialize(arrow_map(spread(cols), _sketch_batch, _SKETCH))
 
