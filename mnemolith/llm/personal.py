@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from mnemolith.session import arrow_map, table
 
 KINDS = ("email", "phone", "national_id", "address", "name")
-SENTENCES, EPOCHS, RATE, DECAY = 2400, 15, 0.25, 1e-4
+SENTENCES, EPOCHS, RATE, DECAY = 3600, 15, 0.25, 1e-4
 #: Longest name in tokens.
 LONGEST = 4
 #: Name parts are broadcast with the model; more than this is refused.
@@ -35,10 +35,12 @@ _CAP = "[^\\W\\d_a-zß-öø-ÿ][\\w’-]*"
 _POSTAL = rf"(?:, ?(?:[A-Z]{{1,2}}-)?\d{{4,5}} {_CAP}(?: {_CAP})?)"
 # fixed values: words that make a street
 _STREETS = (
-    ("en", rf"\d{{1,5}}[a-z]? (?:{_CAP} ){{1,3}}(?:Street|Lane|Road|Avenue|Drive|Square|Court|Close|Terrace|Way|Place|Hill|(?:St|Rd|Ave|Ln)\.?)(?!\w)"),
+    ("en", rf"\d{{1,5}}[a-z]? (?:{_CAP} ){{1,3}}(?:Street|Lane|Road|Avenue|Drive|Square|Court|Close|Terrace|Way|Place|Hill|Mews|Crescent|Gardens|Grove|Row|Boulevard|(?:St|Rd|Ave|Ln|Blvd)\.?)(?!\w)"),
     ("de", r"[^\W\d_][^\W\d_-]*(?:straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s\d{1,4}(?: ?[a-z]\b)?"),
     ("de2", rf"(?:{_CAP}[ -])(?:Straße|Strasse|Weg|Gasse|Platz|Allee|Ufer|Ring|Damm)\s\d{{1,4}}(?: ?[a-z]\b)?"),
     ("fr", rf"\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|impasse|allée|chemin|quai)(?: (?:de la|de l’|de l'|du|des|de|d’))?(?: ?{_CAP}){{1,3}}"),
+    ("it", rf"(?:Via|Viale|Piazza|Corso|Largo|Rua)(?: (?:della|delle|dei|del|di|da|do|dos))?(?: {_CAP}){{1,3}},? ?\d{{1,4}}"),
+    ("en2", rf"(?:{_CAP} ){{1,3}}(?:Street|Lane|Road|Avenue|Drive|Square|Court|Terrace|Mews|Crescent|Gardens) \d{{1,4}}[a-z]?(?!\w)"),
     ("es", rf"(?:Calle|Avenida|Plaza|Paseo|Camino)(?: (?:de las|de los|de la|del|de))?(?: {_CAP}){{1,3}}, ?\d{{1,4}}"),
 )
 _STREET = {k: re.compile(f"(?<!\\w){p}") for k, p in _STREETS}
@@ -46,17 +48,35 @@ _STREET_FOLDED = {k: re.compile(f"(?<!\\w){p}", re.I) for k, p in _STREETS}
 _ZIP, _ZIP_FOLDED = re.compile(_POSTAL), re.compile(_POSTAL.replace(_CAP, r"[^\W\d_][\w’-]*"), re.I)
 # fixed values: what a street name holds, in lower case; titles, and words that are no part of a name
 _HINTS = {
-    "en": " Street| Lane| Road| Avenue| Drive| Square| Court| Close| Terrace| Way| Place| Hill| St| Rd| Ave| Ln".split("|"),
+    "en": (" Street", " Lane", " Road", " Avenue", " Drive", " Square", " Court", " Close", " Terrace", " Way", " Place", " Hill", " Mews", " Crescent", " Gardens", " Grove", " Row", " Boulevard", " St", " Rd", " Ave", " Ln", " Blvd"),
+    "en2": (" Street ", " Lane ", " Road ", " Avenue ", " Drive ", " Square ", " Court ", " Terrace ", " Mews ", " Crescent ", " Gardens "),
+    "it": ("Via ", "Viale ", "Piazza ", "Corso ", "Largo ", "Rua "),
     "de": "straße |strasse |weg |gasse |platz |allee |ufer |ring |damm ".split("|"),
     "de2": "Straße |Strasse |Weg |Gasse |Platz |Allee |Ufer |Ring |Damm ".split("|"),
     "fr": " rue | avenue | boulevard | place | impasse | allée | chemin | quai ".split("|"),
     "es": "Calle |Avenida |Plaza |Paseo |Camino ".split("|"),
 }
 _HINTS_FOLDED = {k: [h.lower() for h in hs] for k, hs in _HINTS.items()}
+_STREET_WORD = re.compile(r"(?:Street|Lane|Road|Avenue|Drive|Square|Court|Close|Terrace|Way|Place|Hill|Mews|Crescent|Gardens|Grove|Row|Boulevard|Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Straße|Strasse|Weg|Gasse|Platz|Allee|Ring)\b")
+_STREET_LINK = (" du ", " la ", "del ", "las ", "los ", "des ")
 TITLES = frozenset("dr prof mr mrs sra sr dra srta m hr fr st ms miss mx mme mlle madame monsieur herr herrn frau señor señora doña don sir lady".split())
-NOT_NAMES = frozenset("the a an after in if with every user call ring do my no not since for from compared according nobody note see and or but when while until before we he she it they this that these those what why how who which der die das den dem ein eine für laut nach bitte im am niemand warum siehe und oder aber wenn weil seit mit von zu zum zur bei auf wir ich sie er es le la les un une des du au aux pour selon après ne personne voir pourquoi et ou mais si quand avec sur dans el los las una para según tras nadie véase por en y o pero cuando con sobre del al recall preference decision fact ticket vorliebe termin rückruf antwort réunion adresse wohnhaft mail tel contact build version hash remote street".split())
+NOT_NAMES = frozenset(
+    # function words and words that open sentences and lines, in the four languages
+    "the a an and or but if when while until before after since as at by for from in into of on to with without not no nobody everyone "
+    "he she it they we you i this that these those my our your his her their what why how who which where here there please dear hi hello "
+    "is are was were do does did ask tell call ring see meet note send write speak talk forward contact compared according every user all "
+    "der die das den dem des ein eine einen einem und oder aber wenn weil seit mit von zu zum zur bei auf an für laut nach bitte im am "
+    "wir ich sie er es ihr niemand warum siehe wer was wie wo hallo liebe lieber sehr mein unser "
+    "le la les un une des du de au aux et ou mais si quand avec sans sur dans pour par selon après avant je tu il elle nous vous on ne "
+    "voir pourquoi qui que personne cher chère bonjour merci mon notre "
+    "el los las una del al y o pero cuando con sin sobre para por según tras desde en yo tú nosotros nadie véase quién qué hola gracias mi "
+    "mail e-mail email tel tél telefon phone mobile fax address adresse anschrift dirección street".split()
+)
 _AFTER_TITLE = re.compile(r"\.?[ \t]+(?=[^\W\d_])")
 _CAPITAL = re.compile(_CAP)
+_PLAIN = "[^\\W\\d_a-zß-öø-ÿ][^\\W\\d_A-ZÀ-ÖØ-Þ]{2,}(?![\\w’-])"
+_CAPITALS = re.compile(rf"(?<![\w’'.-]){_PLAIN}(?= (?:[^\W\d_a-zß-öø-ÿ]\. )?{_PLAIN})")
+_IS_PLAIN = re.compile(rf"(?:{_PLAIN}|.\.)\.?")
 _ANY = re.compile(r"[^\W\d_][\w’-]*")
 _TOKEN = re.compile(r"[^\W\d_][\w’-]*\.?|,")
 _LAST_WORDS = re.compile(r"(\w+)?\W*?(\w+|[—–])?[^\w—–]*$")
@@ -117,6 +137,11 @@ def _names(text: str, lexicon: Lexicon, folded: bool, out: list) -> None:
         elif word.lower() in TITLES and not (len(word) == 1 and m.start() in titled) and (n := _AFTER_TITLE.match(text, m.end())) and (folded or text[n.end()].isupper()):
             anchors[n.end()] = None
             titled.add(n.end())
+    if not folded:
+        # two or more capitalised words in a row may be a person that the lexicon does not know
+        for m in _CAPITALS.finditer(text):
+            if m.start() not in anchors:
+                anchors[m.start()] = None
     if not anchors:
         return
     seen = set()
@@ -157,7 +182,7 @@ def _names(text: str, lexicon: Lexicon, folded: bool, out: list) -> None:
                 kinds = ["," if w == "," else lexicon.of(w, folded) for w in words]
                 if "W" in kinds:
                     break
-                if all(k in "UE,I" for k in kinds) and start not in titled:
+                if all(k in "UE,I" for k in kinds) and start not in titled and (folded or at != start or not 2 <= sum(k in "UE" for k in kinds) <= 3 or not all(map(_IS_PLAIN.fullmatch, words))):
                     continue
                 out.append((start, end, "name", _name_features(text, start, end, words, kinds, start in titled, lexicon, folded, tokens, i, j)))
                 if text[span[-1][1] - 1] == "." and len(words[-1]) != 2:
@@ -185,6 +210,11 @@ def _name_features(text, start, end, words, kinds, title, lexicon, folded, token
     t = "T" if title else "n"
     lone = len(kinds) == 1
     out = [f"s={shape}", f"s={shape}{t}", f"b={before_kind}{shape[0]}", f"a={after_kind}{shape[-1]}", f"n={len(kinds)}{t}", f"f={folded}{shape}"]
+    if all(k in "UEI" for k in kinds) and not title:
+        line = text[text.rfind("\n", 0, start) + 1 : start].lstrip()
+        digits = (text[max(0, start - 2) : start].rstrip()[-1:].isdigit(), text[end : end + 3].lstrip(", ")[:1].isdigit())
+        out += [f"ud={digits}", f"uh={line[:1] == '#'}", f"ul={_STREET_WORD.search(text, start, end) is not None}{text[max(0, start - 4) : start] in _STREET_LINK}"]
+        out += [f"up={one}", f"ux={after}", f"ub={first}{one in NOT_NAMES}{after in NOT_NAMES}", f"uu={first}{shape}"]
     if lone:
         out += [f"c={common}{first}{t}", f"p={one}", f"x={after}", f"cx={common}{after}", f"cp={common}{one}", f"la={common}{after_kind}{t}"]
     return out
@@ -317,20 +347,33 @@ def _invented(rng: random.Random, lexicon: Lexicon) -> str:
     return "".join(rng.choice(["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "dr", "fl", "gr", "pl", "tr"]) + rng.choice("aeiouy") for _ in range(rng.randint(2, 3))).capitalize() + rng.choice(["quist", "owski", "bane", "yard", "grove", "eard", "son", "sen", "mann", "ez", "wood", "ner"])
 
 
-# fixed values: phrases of the generated examples; {N} a name, {G} a given name alone, {P} a phone, {I} an identity
-# number, {A} an address, {E} an email address, {T} titled family name, {w} any word, {W} any capitalised word, {C} a name part that is a common word
-PHRASES = """Please ask {N} about the {w}.|Ask {G} about it.|We met {N} and {G} yesterday.|The talk with {N} was fine.|The call with {G} was {w}.|Talk to {G} first.|{N} prefers {w} answers.|{G} prefers {w} notes.|{N} wrote the {w}.|{G} said no.
-Gespräch mit {N} {w}.|Termin mit {G} bestätigt.|Rückfrage bei {N}.|Réunion avec {N} demain.|Appel avec {G} demain.|La nota es de {N}.|Un mensaje de {G}.|cc: {N}|cc: {G}|— {N}|— {G}|user: {N} will call.|From: {N}|Signed, {N}|{N}|{G} and {G} agreed.|{N}, {w}
-The {w} of {T} is open.|Ask {T} about the {w}.|Talk with {T} was moved.|{T} prefers {w} answers.|{T} bestätigt den {W}.|Réunion avec {T} demain.|La nota es de {T}.|— {T}|cc: {T}
-Call {P} after lunch.|Ring {P} or leave a note.|My number is {P}, thanks.|Tel.: {P}|Phone {P}|mobile={P}|Rückruf unter {P} erbeten.|Telefon {P}|Llamar al {P} hoy.|Joindre le {P} ce soir.|The line is {P}.|fax: {P}
-The form shows ID {I} for the file.|passport {I} expires soon|Passport no. {I}|Social insurance no. {I} was dictated.|national number: {I}|Ausweisnummer {I} liegt vor.|Steuernummer {I}|Su documento es {I}.|DNI {I}|numéro de sécu {I}|tax number {I}|{I} was dictated.|ID: {I}|insurance number {I}
-Deliver parcels at {A}, second floor.|The {w} moved to {A} last week.|Ship it to {A}.|Wohnhaft {A}.|Vive en {A}.|Adresse : {A}|Adresse: {A}|Address: {A}|He lives at {A}.|Post an {A}
-Reach us under {E} before Friday.|cc {E}, then close.|Mail: <{E}>|Goes to ({E}) weekly.|Contact={E};team=memory|Antwort an {E} schicken.|Écrire à {E} pour la suite.|{E}
-{C} the {w} as {w}.|{C} the item and leave it.|{C} access to the {w}.|The {C} {w} uses {w}.|{C} feedback was welcome.|{C} and {C} reports are merged.|{C} reports came in.|{C} rollout is {w}.|{C} {w}: {w}.|In {C} the {w} changed.|{C} you {w}?|{C} be.|Since {C} the {w} {w}.
-Version 10.12.4.2 replaced 9.55.01.|Build 2025-03-14 took 555 seconds.|On 2024-11-02 12:30:15 the {w} ran.|Rows 120 340 560 were read.|Took 120 000 000 steps.|Ticket MX-4562 stays open.|Hash 5e0fc9b0d0e344653c4b ends.|Error 1234567 in {w}.|Release 2.14.3.1|Port 8080 80 443 22|set {w} = {w} 665217 665217|Street names on the map are empty.|Remote is deploy@buildbox and path /srv.|From 10.0.12.255 to 10.0.12.1|{W} {W} {w}.|The {W} {w} {W}.|Isbn 978 3 16 148410 0|id MX-99120|job JOB-2291845 {w}""".replace("\n", "|").split("|")
+# phrases of the generated examples, written for this purpose; {N} a name, {G} a given name alone, {P} a phone, {I} an
+# identity number, {A} an address, {E} an email address, {T} titled family name, {w} any word, {W} any capitalised
+# word, {C} a name part that is a common word
+PHRASES = (
+    # names
+    "Speak to {N} before the {w} ends.", "I had lunch with {G}.", "{N} presents the {w} on Monday.", "Contact person: {N}", "Regards, {N}", "{G} is on holiday.", "The contract was signed by {N}.",
+    "Forward it to {N}, who knows more.", "{G} and {N} shared a desk.", "Minutes taken by {N}.", "Hi {G}, is the {w} done?", "Dear {N}, thank you.", "{N} asked for the {w}.", "{N}: no objections", "{N}",
+    "She works for {N} now.", "my neighbour {G} has a {w}", "Author: {N}", "{G} likes the {w}.", "The {w} belongs to {G}.", "{N} and {N} disagree.", "cc {N}", "– {N}", "Owner {N}, deputy {N}.",
+    "Bitte mit {N} sprechen.", "{G} ist krank.", "Den Vertrag hat {N} unterschrieben.", "Mit freundlichen Grüßen {N}", "Frag doch {G}.", "Let {G} know about the {w}.", "{G}, could you look at it?", "I talked with {G} about the {w}.", "Question {G} about it.", "— {G}", "cc: {G}", "The visit of {G} was {w}.", "Besuch bei {G} {w}.", "Vertretung: {N}",
+    "Merci de prévenir {N}.", "{G} arrive mardi.", "Dossier suivi par {N}.", "Hay que avisar a {N}.", "{G} llega el martes.", "Firmado por {N}.",
+    # names after a title
+    "{T} approved the {w}.", "We owe {T} an answer.", "Good morning, {T}.", "The office of {T} is closed.", "Sehr geehrter {T}, danke.", "{T} kommt später.", "Chère {T}, merci.", "Estimado {T}, gracias.", "Hablé con {T} ayer.", "On attend {T}.",
+    # numbers to call
+    "You can reach me at {P}.", "Mobile {P}", "Phone: {P}", "Office line {P}, ask for me.", "Dial {P} for help.", "Meine Nummer lautet {P}.", "Handy: {P}", "Appelez le {P}.", "Tél. {P}", "Mi teléfono es {P}.", "Llame al {P} mañana.", "WhatsApp {P}", "Text {P} when you arrive.", "number={P}", "(home) {P}",
+    # numbers of identity
+    "Passport number {I}", "SSN {I} is on record.", "Insurance number: {I}", "National ID {I}", "His tax id is {I}.", "Personalausweis Nr. {I}", "Steuer-ID {I}", "Sozialversicherungsnummer {I} fehlt.", "Numéro de passeport {I}", "NIF {I}", "Numéro fiscal : {I}", "Pasaporte {I}", "El DNI es {I}.", "The card shows {I} on its back.", "{I} was read out.", "id card {I}", "She spelled {I} for us.",
+    # addresses
+    "Send the invoice to {A}.", "My home is at {A}.", "Office: {A}", "Address: {A}", "She moved to {A} in spring.", "Lieferung an {A}", "Anschrift: {A}", "J'habite {A}.", "Livrer au {A}.", "Vivo en {A}.", "Dirección: {A}", "Visit {A} today.", "The shop at {A} is open.", "Ship to {A}, thanks.", "At {A}, ring twice.", "Pick it up at {A}, first door.",
+    # mail
+    "Write to {E} for the {w}.", "Mail {E}", "from {E} to {E}", "<{E}>", "Kontakt: {E}", "Envoyez à {E}.", "user={E};x=1", "({E})", "{E} bounced.",
+    # what only looks like it
+    "{C} the file as {w}.", "{C} the {w} please.", "In {C} we {w} again.", "{C} you check?", "{C} {w} is {w}.", "A {C} {w}.", "The {C} release.", "{C} was cold.", "Every {C} the {w} runs.", "{C} or {C}?", "{C} and {C} were {w}.", "Both {C} and {C} {w} went out.", "{C} and {C} {w} came late.", "Our {C} {w} has {w}.", "{C} be.", "Since {C} nothing {w}.", "{C} {w} and {C} {w}.",
+    "Release 4.11.7.2 replaces 4.9.03.", "Build 2024-06-30 took 340 ms.", "ISBN 978 0 306 40615 7", "commit 9f8e7d6c5b4a39281706", "from 192.168.10.254 to 10.1.0.7", "read 88 120 450 rows", "part no. AB-4471", "error 5023311 in {w}", "at 09:15:30 on 2023-01-17", "ports 443 8080 22", "room B-204, ticket QX-2290", "{W} {W} is a {w}.", "The {W} {W} {w}.", "{W} and {W} {W}.", "see {W} {W} for the {w}", "## {W} {W}", "# {W} {W} {w}", "{W} {W}:", "{W} {W} {W}", "{W} {w} {W}.", "On {W} {W} the {w} failed.", "set a = b 112233 445566", "git@{w} in /opt/{w}", "order job-7781203", "a total of 1 250 300 500",
+)
 
 _WORDS = "note backup report slow quick list plan week cache index review old new summary window today later ready table draft meeting green silent brittle".split()
-_CAPS = "Preference Decision Fact Ticket Recall Plan Wortindex Sicherung Prüfrunde Zeitleiste Nachdem After Every Nobody According Compared Leitstelle Team".split()
+_CAPS = "Project Chapter Release Review Monday Market North Data Cloud Open Source Big River Blue Station Central Python Table Budget Lieferung Rechnung Montag Abteilung Bericht Haus Projet Réunion Chapitre Proyecto Reunión Informe Winter Annual Summary General Meeting Home Page Main Menu".split()
 
 
 def _filled(rng: random.Random, lexicon: Lexicon, given: list[str], family: list[str]) -> tuple[str, set]:
@@ -346,6 +389,9 @@ def _filled(rng: random.Random, lexicon: Lexicon, given: list[str], family: list
         return rng.choice(given) if given else "Anna"
 
     def name() -> tuple[str, str]:
+        if rng.random() < 0.12:
+            # both parts unknown, no title
+            return "", f"{_invented(rng, lexicon)[: rng.randint(5, 7)].capitalize()} {_invented(rng, lexicon)}"
         title = rng.choice(["Dr. ", "Prof. ", "Mr. ", "Mrs. ", "Ms ", "Mme ", "Herr ", "Frau ", "Sra. ", "Sr. ", "M. "])
         form = rng.random()
         if form < 0.42:
@@ -370,11 +416,11 @@ def _filled(rng: random.Random, lexicon: Lexicon, given: list[str], family: list
         return rng.choice([f"+{digits(2)} {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{digits(2)}/{digits(2)}/{digits(8)}", f"+{digits(2)} {digits(4)} {digits(6)}", f"0{digits(2)} {digits(5)} {digits(3)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"00{digits(1)}.{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(4)} {digits(3)} {digits(3)}", f"+{digits(2)} (0){digits(2)} {digits(5)}-{digits(3)}", f"+{digits(11)}", f"0{digits(2)}/{digits(7)}", f"+34 6{digits(2)} {digits(3)} {digits(3)}"])
 
     def identity() -> str:
-        return rng.choice([f"9{digits(2)}-{digits(2)}-{digits(4)}", f"9{digits(2)} {digits(2)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"QQ{digits(6)}{rng.choice('ABCD')}", f"QQ {digits(2)} {digits(2)} {digits(2)} {rng.choice('ABCD')}", f"{upper(2)}{digits(7)}", f"X{digits(7)}{upper(1)}", f"{digits(8)}{upper(1)}", f"{digits(2)} {digits(6)} {upper(1)} {digits(3)}", f"{upper(1)}{digits(8)}", f"{digits(8)}-{upper(1)}"])
+        return rng.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}", f"{upper(2)}{digits(6)}{rng.choice('ABCD')}", f"{upper(2)} {digits(2)} {digits(2)} {digits(2)} {rng.choice('ABCD')}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"QQ{digits(6)}{rng.choice('ABCD')}", f"QQ {digits(2)} {digits(2)} {digits(2)} {rng.choice('ABCD')}", f"{upper(2)}{digits(7)}", f"X{digits(7)}{upper(1)}", f"{digits(8)}{upper(1)}", f"{digits(2)} {digits(6)} {upper(1)} {digits(3)}", f"{upper(1)}{digits(8)}", f"{digits(8)}-{upper(1)}"])
 
     def address() -> str:
         w = _invented(rng, lexicon).capitalize()
-        street = rng.choice([f"{rng.randint(1, 200)} {w} {rng.choice(['Street', 'Lane', 'Road', 'Avenue'])}", f"{w}{rng.choice(['straße', 'weg', 'gasse'])} {rng.randint(1, 200)}{rng.choice(['', '', 'a'])}", f"{rng.randint(1, 200)}{rng.choice(['', ' bis'])} rue {rng.choice(['de la', 'du', 'des'])} {w}", f"Calle {rng.choice(['de la', 'del', 'de los'])} {w}, {rng.randint(1, 200)}"])
+        street = rng.choice([f"{rng.randint(1, 200)} {w} {rng.choice(['Street', 'Lane', 'Road', 'Avenue', 'Drive', 'Square', 'Court', 'Close', 'Terrace', 'Way', 'Place', 'Hill'])}", f"{w}{rng.choice(['straße', 'weg', 'gasse'])} {rng.randint(1, 200)}{rng.choice(['', '', 'a'])}", f"{rng.randint(1, 200)}{rng.choice(['', ' bis'])} rue {rng.choice(['de la', 'du', 'des'])} {w}", f"Calle {rng.choice(['de la', 'del', 'de los'])} {w}, {rng.randint(1, 200)}", f"{rng.randint(1, 200)}{rng.choice(['', ' bis', ' ter'])} {rng.choice(['avenue', 'chemin', 'rue', 'place'])} du {_invented(rng, lexicon)[:5].capitalize()} {w}", f"{rng.choice(['Via', 'Piazza', 'Corso'])} {w}{rng.choice([',', ''])} {rng.randint(1, 90)}", f"{w} {rng.choice(['Mews', 'Gardens', 'Crescent'])} {rng.randint(1, 90)}"])
         town = _invented(rng, lexicon).capitalize()
         return street + (f", {digits(5)} {town}" if rng.random() < 0.55 else "")
 
@@ -408,10 +454,10 @@ def _filled(rng: random.Random, lexicon: Lexicon, given: list[str], family: list
         if kind:
             gold.add((at, len(text), kind))
     if rng.random() < 0.4:
-        tail = rng.choice([" ", "\n", "  "]) + rng.choice(["The note on it stays open.", "Preference: short reports.", "Nobody noticed it.", "Laut Protokoll sind es 12.", "Nach dem Gespräch stand fest, dass es geht."])
+        tail = rng.choice([" ", "\n", "  "]) + rng.choice(["The rest can wait.", "Next week: shorter lists.", "Nobody minded.", "Danach sind es 14.", "Après cela, tout va bien.", "Luego se cierra.", "Then the door closed."])
         text += tail if text[-1] in ".\n?" or tail[0] == "\n" or rng.random() < 0.4 else "." + tail
     if rng.random() < 0.3:
-        head = rng.choice(["User asked for it. ", "[voice] ", "user: ", "The Zeitleiste ran. ", "Nobody knew. "])
+        head = rng.choice(["It was asked for. ", "[draft] ", "me: ", "The door was open. ", "Heute. ", "Voilà. "])
         text, gold = head + text, {(s + len(head), e + len(head), k) for s, e, k in gold}
     case = rng.random()
     if case < 0.1:
