@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -58,7 +60,6 @@ FUNCTION_WORDS = {
     "es": frozenset("el los las una es en por para con que del al se lo su fue más".split()),
 }
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-_LETTERS = regex.compile(r"\p{L}+")
 
 
 def _of(*properties: str) -> str:
@@ -83,6 +84,8 @@ _S, _C, _T = _class(_STOPS), _class(_CLOSERS), _class(_SA)
 _CLOSE = rf"[{_C}]*"
 _MARK = re.compile(rf"(?P<quote>{_QUOTE})|(?P<stop>(?:[{_S}…]|\.(?:\.+|(?=[{_S}])))[.{_S}…]*{_CLOSE})|(?P<dot>\.{_CLOSE})")
 _MARK_SPACE = re.compile(_MARK.pattern + rf"|(?P<space>(?<=[{_T}\d)”\"])[ \t\n]+(?=[\"“(]?[{_T}]))")
+#: What a mark can begin with; the lookbehinds of _MARK are tested from there.
+_BEGIN = re.compile(rf"[.…“„«「『\"'‘{_S}]")
 _SPACED = re.compile(f"[{_class(_SA_LETTERS)}]")
 _LIST = re.compile(r"[ \t]*(?:[-*+•‣◦]|(\d{1,9})[.)])[ \t]+(?=\S)")
 _HEADING = re.compile(r" {0,3}#{1,6}[ \t]+")
@@ -106,18 +109,18 @@ class Rules:
 
     def languages(self) -> tuple[str, ...]:
         if self.found is None:
-            counts = dict.fromkeys(FUNCTION_WORDS, 0)
-            for m in _LETTERS.finditer(self.text):
-                word = m.group().lower()
-                for lang, known in FUNCTION_WORDS.items():
-                    counts[lang] += word in known
+            words = Counter(self.text.lower().split())
+            counts = {lang: sum(map(words.__getitem__, known)) for lang, known in FUNCTION_WORDS.items()}
             most = max(counts.values())
             # a text may mix languages: all that have at least a quarter of the most frequent one's words
             self.found = tuple(k for k, n in counts.items() if most >= 2 and 4 * n >= most) or tuple(FUNCTION_WORDS)
         return (*self.found, "hi", "th")
 
     def has(self, table: dict[str, tuple[str, ...]], word: str) -> bool:
-        return any(word in v for v in table.values()) and any(word in table.get(lang, ()) for lang in self.languages())
+        return any(word in table.get(lang, ()) for lang in self.languages())
+
+
+_ABBREVIATIONS = frozenset(w for table in (TITLES, ALWAYS, CAPITAL, NUMBER) for words in table.values() for w in words)
 
 
 def _dot_ends(text: str, start: int, dot: int, end: int, stop: int, rules: Rules) -> bool:
@@ -142,14 +145,15 @@ def _dot_ends(text: str, start: int, dot: int, end: int, stop: int, rules: Rules
         # an initial or a part of an abbreviation, unless it is the unit of a number
         unit = dot - 3 >= start and text[dot - 1].islower() and text[dot - 2].isspace() and text[dot - 3].isdigit()
         return unit and (after.isupper() or here > end + 1)
-    if rules.has(TITLES, word) and not (found.group()[0].islower() and after.isupper()):
-        return False
-    if rules.has(ALWAYS, word):
-        return False
-    if rules.has(NUMBER, word):
-        return not after.isdigit()
-    if rules.has(CAPITAL, word):
-        return after.isupper() or not after.islower() and not after.isdigit()
+    if word in _ABBREVIATIONS:
+        if rules.has(TITLES, word) and not (found.group()[0].islower() and after.isupper()):
+            return False
+        if rules.has(ALWAYS, word):
+            return False
+        if rules.has(NUMBER, word):
+            return not after.isdigit()
+        if rules.has(CAPITAL, word):
+            return after.isupper() or not after.islower() and not after.isdigit()
     if len(word) > 2 and word[1::2] == "." * (len(word) // 2) and word.replace(".", "").isalpha():
         return after.isupper()
     if word.isdigit() and len(word) <= 2:
@@ -179,6 +183,19 @@ def _quote_ends(text: str, sentence: int, quote: int, end: int, stop: int) -> bo
     return not after.islower() and (after.isupper() or quote == sentence or not after.isalpha())
 
 
+def _marks(text: str, start: int, stop: int) -> Iterator[re.Match]:
+    """The marks of a block: as finditer, but only where a mark can begin, and with the text before start in sight."""
+    if _SPACED.search(text, start, stop):
+        yield from _MARK_SPACE.finditer(text, start, stop)
+        return
+    at = start
+    while first := _BEGIN.search(text, at, stop):
+        m = _MARK.match(text, first.start(), stop)
+        if m:
+            yield m
+        at = m.end() if m else first.end()
+
+
 def _block(text: str, start: int, stop: int, out: list[int], single: bool, rules: Rules) -> None:
     """Appends the sentence starts of one block."""
     while start < stop and text[start].isspace():
@@ -188,9 +205,8 @@ def _block(text: str, start: int, stop: int, out: list[int], single: bool, rules
     out.append(start)
     if single:
         return
-    marks = _MARK_SPACE if _SPACED.search(text, start, stop) else _MARK
     sentence = start
-    for m in marks.finditer(text, start, stop):
+    for m in _marks(text, start, stop):
         kind, end = m.lastgroup, m.end()
         if kind == "quote":
             ends = _quote_ends(text, sentence, m.start(), end, stop)

@@ -18,6 +18,8 @@ RUN = 8192
 #: The second nearest axis is looked at where its value is at least this part of the largest one's.
 PROBE = 0.9
 _BLOCK = 1024
+#: Vectors that are rotated at once.
+_COLUMNS = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -114,25 +116,27 @@ def grouped_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Tab
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two; keeps lengths."""
-    n, h = x.shape[1], 1
+    """Fast Walsh-Hadamard transform of the columns, whose length is a power of two; keeps lengths."""
+    n, h = x.shape[0], 1
     while h < n:
-        y = x.reshape(len(x), -1, 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+        pairs = x.reshape(n // (2 * h), 2, h, -1)
+        x = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=x[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=x[:, 1])
         h *= 2
-    return x / np.sqrt(n)
+    return x.reshape(n, -1) / np.sqrt(n, dtype=x.dtype)
 
 
 @lru_cache
 def signs(tables: int, digits: int) -> np.ndarray:
     """(tables, digits, 3, DIM): the random signs of three rounds per digit."""
-    return np.random.Generator(np.random.PCG64(7)).choice([-1.0, 1.0], (tables, digits, 3, DIM))
+    return np.random.Generator(np.random.PCG64(7)).choice(np.array([-1.0, 1.0], np.float32), (tables, digits, 3, DIM))
 
 
 def rotated(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-    """A pseudo-rotation of the rows: three rounds of signs and a Hadamard transform."""
+    """A pseudo-rotation of the columns: three rounds of signs and a Hadamard transform."""
     for s in rounds:
-        x = hadamard(x * s)
+        x = hadamard(x * s[:, None])
     return x
 
 
@@ -149,35 +153,37 @@ def cells(x: np.ndarray, tables: int, digits: int, last: int) -> tuple[np.ndarra
 
     A digit is the signed axis that is nearest after a pseudo-rotation, one of 2 * DIM, the last one of 2 * last.
     """
-    keys, nearby = [], []
-    turns, rows = signs(tables, digits), np.arange(len(x))
-    for t in range(tables):
-        own, second, ratio = [], [], []
-        for d in range(digits):
-            y = rotated(x, turns[t, d])
-            y = y[:, : DIM if d < digits - 1 else last]
-            size = np.abs(y)
-            a = size.argmax(axis=1)
-            top = size[rows, a]
-            own.append(2 * a + (y[rows, a] < 0))
-            if y.shape[1] > 1:
-                size[rows, a] = -1
-                b = size.argmax(axis=1)
-                ratio.append(size[rows, b] / np.maximum(top, 1e-30))
-                second.append(2 * b + (y[rows, b] < 0))
-            else:
-                # one axis: the wall is where its sign changes
-                ratio.append(np.where(top < 0.02, 1.0, 0.0))
-                second.append(2 * a + (y[rows, a] >= 0))
-        key = np.full(len(x), t, np.int64)
-        other = key.copy()
-        weak = np.argmax(ratio, axis=0)
-        for d in range(digits):
-            key = key * (2 * DIM) + own[d]
-            other = other * (2 * DIM) + np.where(weak == d, second[d], own[d])
-        keys.append(key)
-        nearby.append(np.where(np.max(ratio, axis=0) >= PROBE, other, -1))
-    return np.array(keys).T.reshape(len(x), tables), np.array(nearby).T.reshape(len(x), tables)
+    keys, nearby = np.empty((len(x), tables), np.int64), np.empty((len(x), tables), np.int64)
+    turns = signs(tables, digits)
+    for start in range(0, len(x), _COLUMNS):
+        part = np.ascontiguousarray(x[start : start + _COLUMNS].T, np.float32)
+        rows = np.arange(part.shape[1])
+        for t in range(tables):
+            own, second, ratio = [], [], []
+            for d in range(digits):
+                y = rotated(part, turns[t, d])[: DIM if d < digits - 1 else last]
+                size = np.abs(y)
+                a = size.argmax(axis=0)
+                top = size[a, rows]
+                own.append(2 * a + (y[a, rows] < 0))
+                if len(y) > 1:
+                    size[a, rows] = -1
+                    b = size.argmax(axis=0)
+                    ratio.append(size[b, rows] / np.maximum(top, 1e-30))
+                    second.append(2 * b + (y[b, rows] < 0))
+                else:
+                    # one axis: the wall is where its sign changes
+                    ratio.append(np.where(top < 0.02, 1.0, 0.0))
+                    second.append(2 * a + (y[a, rows] >= 0))
+            key = np.full(len(rows), t, np.int64)
+            other = key.copy()
+            weak = np.argmax(ratio, axis=0)
+            for d in range(digits):
+                key = key * (2 * DIM) + own[d]
+                other = other * (2 * DIM) + np.where(weak == d, second[d], own[d])
+            keys[start : start + _COLUMNS, t] = key
+            nearby[start : start + _COLUMNS, t] = np.where(np.max(ratio, axis=0) >= PROBE, other, -1)
+    return keys, nearby
 
 
 @lru_cache
