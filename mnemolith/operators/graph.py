@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolith import blocks as B
 from mnemolith import tables as T
+from mnemolith.operators.retrieval import K1, SIZE, TOKENS, TOKENS_SQL
 from mnemolith.session import materialize, table
 
 C = T.Catalogue()
@@ -151,7 +152,7 @@ live AS (SELECT cluster_id, label, mid, v FROM member JOIN vec ON vec.id = mid W
 c AS (SELECT cluster_id, coalesce(label, '') AS label, count(DISTINCT mid) AS members FROM live GROUP BY ALL)
 SELECT cluster_id, label, members, (SELECT count(*) FROM (SELECT DISTINCT cluster_id, mid FROM member) m WHERE m.cluster_id = c.cluster_id) - members AS gone FROM c"""
 )
-def infer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each topic of an earlier run: live members, and those that are gone or lost their vector."""
     member = table(spark, sf_dir, "topic_clusters").select(F.col("id").alias("cluster_id"), F.coalesce("label", F.lit("")).alias("label"), F.explode("memory_ids").alias("id")).distinct()
     there = T.memories(spark, sf_dir).select("id").join(T.vectors(spark, sf_dir).select("id"), "id").withColumn("ok", F.lit(1))
@@ -159,20 +160,49 @@ def infer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("members > 0").selectExpr("cluster_id", "label", "members", "gone + nulls AS gone")
 
 
+# ---------------------------------------------------------------- evaluation of retrieval
+
+#: Ranks at which a retrieval is judged.
+CUTS = (15, 50)
+_TERMS_SQL = TOKENS_SQL.format(t="question")
+
+
 @C.add(
-    """WITH q AS (SELECT DISTINCT winner_id, loser_id FROM duplicate_candidates), got AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM (SELECT from_id, lower(trim(to_id)) AS to_id FROM relationships) GROUP BY ALL),
-pair AS (SELECT winner_id, loser_id, reason FROM duplicate_candidates GROUP BY ALL),
-hit AS (SELECT pair.*, got.a IS NOT NULL AS found FROM pair LEFT JOIN got ON got.a = least(winner_id, loser_id) AND got.b = greatest(winner_id, loser_id)),
-per AS (SELECT winner_id, coalesce(reason, 'unknown') AS family, avg(CASE WHEN found THEN 1.0 ELSE 0.0 END) AS support, bool_and(found) AS witness FROM hit GROUP BY ALL)
-SELECT family, count(*) AS queries, round(100 * avg(support), 4) AS support, round(100 * avg(CASE WHEN witness THEN 1.0 ELSE 0.0 END), 4) AS full_witness FROM per GROUP BY GROUPING SETS ((), (family))"""
+    f"""WITH docs AS (SELECT doc_id, {TOKENS_SQL.format(t="coalesce(text, '')")} AS w, text FROM documents), corpus AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM docs),
+asked AS (SELECT item_id, coalesce(family, '') AS family, lower(passage) AS passage, list_distinct({_TERMS_SQL}) AS terms FROM eval_items WHERE question IS NOT NULL AND length(passage) >= 40),
+term AS (SELECT item_id, unnest(terms) AS term FROM asked), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+score AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * (1 - {SIZE}::DOUBLE + {SIZE}::DOUBLE * len / mean))), 6) AS s FROM tf JOIN df USING (term) JOIN term USING (term), corpus GROUP BY ALL),
+got AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS r FROM score) WHERE r <= {CUTS[-1]}),
+gold AS (SELECT item_id, family, doc_id FROM asked JOIN documents ON contains(lower(text), substring(passage, 1, 40))),
+per AS (SELECT gold.item_id, family, k, avg(CASE WHEN got.r <= k THEN 1.0 ELSE 0.0 END) AS support, max(CASE WHEN got.r <= k THEN 1.0 ELSE 0.0 END) AS witness, min(CASE WHEN got.r <= k THEN 1.0 ELSE 0.0 END) AS full_witness FROM gold LEFT JOIN got ON got.item_id = gold.item_id AND got.doc_id = gold.doc_id, (SELECT unnest([{", ".join(map(str, CUTS))}]) AS k) GROUP BY ALL)
+SELECT family, k, count(*) AS queries, round(100 * avg(support), 3) AS support, round(100 * avg(witness), 3) AS witness, round(100 * avg(full_witness), 3) AS full_witness FROM per GROUP BY GROUPING SETS ((k), (family, k))"""
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support and full-witness recall, overall and per family: stored links judged against the duplicates of a run."""
-    got = table(spark, sf_dir, "relationships").selectExpr("from_id", "lower(trim(to_id)) AS to_id").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct().withColumn("found", F.lit(1.0))
-    pair = table(spark, sf_dir, "duplicate_candidates").select("winner_id", "loser_id", "reason").distinct().withColumn("a", F.least("winner_id", "loser_id")).withColumn("b", F.greatest("winner_id", "loser_id"))
-    per = pair.join(got, ["a", "b"], "left").groupBy("winner_id", F.coalesce("reason", F.lit("unknown")).alias("family")).agg(F.avg(F.coalesce("found", F.lit(0.0))).alias("support"), F.min(F.coalesce("found", F.lit(0.0))).alias("witness"))
-    per.createOrReplaceTempView("_metrics_per_query")
-    return spark.sql("SELECT family, count(*) AS queries, round(100 * avg(support), 4) AS support, round(100 * avg(witness), 4) AS full_witness FROM _metrics_per_query GROUP BY GROUPING SETS ((), (family))")
+    """How many of the documents that hold an item's passage a keyword search for its question finds, per family.
+
+    Support is their share among the best 15 and 50, witness whether any is there, full witness whether all are. The
+    questions are a fixed set; a document counts the terms of all of them in one pass.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(TOKENS.format(t="coalesce(text, '')")).alias("w"))
+    asked = table(spark, sf_dir, "eval_items").where("question IS NOT NULL AND char_length(passage) >= 40").select("item_id", F.coalesce("family", F.lit("")).alias("family"), F.lower("passage").alias("passage"), F.array_distinct(F.expr(TOKENS.format(t="question"))).alias("terms"))
+    # the items are a fixed set
+    term = F.broadcast(asked.select("item_id", F.explode("terms").alias("term")))
+    sized = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(term.select("term").distinct()), "term", "left_semi")
+    tf = materialize(sized.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = f"ln(1 + (n - df + 0.5D) / (df + 0.5D)) * tf * {K1 + 1}D / (tf + {K1}D * (1 - {SIZE}D + {SIZE}D * len / mean))"
+    score = tf.join(F.broadcast(df), "term").join(term, "term").crossJoin(F.broadcast(corpus)).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.expr(part)), 6).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("s"), "doc_id"))
+    got = score.withColumn("r", rank).where(F.col("r") <= CUTS[-1]).select("item_id", "doc_id", "r")
+    gold = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(asked.select("item_id", "family", F.expr("substring(passage, 1, 40)").alias("start"))), F.expr("contains(text, start)")).select("item_id", "family", "doc_id")
+    cuts = F.explode(F.array(*(F.lit(k) for k in CUTS))).alias("k")
+    hit = gold.join(got, ["item_id", "doc_id"], "left").select("item_id", "family", "r", cuts).withColumn("hit", F.when(F.col("r") <= F.col("k"), 1.0).otherwise(0.0))
+    per = hit.groupBy("item_id", "family", "k").agg(F.avg("hit").alias("support"), F.max("hit").alias("witness"), F.min("hit").alias("full_witness"))
+    family, k = F.col("family"), F.col("k")
+    mean = lambda c: F.round(100 * F.avg(c), 3).alias(c)
+    return per.groupingSets([[k], [family, k]], family, k).agg(F.count(F.lit(1)).alias("queries"), mean("support"), mean("witness"), mean("full_witness"))
 
 
 QUERIES, SQL = C.queries, C.sql

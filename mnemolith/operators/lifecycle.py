@@ -61,15 +61,30 @@ def restore_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("winner_id").agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("there").isNull()).alias("restored"), F.count_if(F.col("verification_status") == "certified").alias("retained"))
 
 
-_BLOCK = "FROM (SELECT realm_name, id, length(content) AS size, row_number() OVER (PARTITION BY realm_name ORDER BY importance DESC, id) AS r, sum(length(content)) OVER (PARTITION BY realm_name ORDER BY importance DESC, id) AS total FROM mem)"
+#: Characters of a context block, and of the body of one of its lines.
+BUDGET, BODY = 4000, 200
+_LINE = "concat('- [', realm_name, '] ', CASE WHEN {len}(trim(content)) > 200 THEN concat(substring(trim(content), 1, 197), '...') ELSE trim(content) END)"
 
 
-@C.add(f"WITH {T.MEM} SELECT realm_name, r AS pos, id, CAST(total AS BIGINT) AS chars {_BLOCK} WHERE total <= 4000 AND r <= 64")
+@C.add(
+    f"""WITH {T.MEM}, {T.ERASED}, l AS (SELECT realm_name, id, importance, length({_LINE.format(len="length")}) + 1 AS cost FROM mem WHERE id NOT IN (SELECT id FROM gone)),
+g AS (SELECT realm_name, list({{'used': cost, 'kept': 1::BIGINT, 'ids': id}} ORDER BY importance DESC, id) AS items FROM l GROUP BY ALL),
+r AS (SELECT realm_name, list_reduce(list_prepend({{'used': 0::BIGINT, 'kept': 0::BIGINT, 'ids': ''}}, items), lambda m, x: CASE WHEN m.used + x.used + 1 <= {BUDGET} THEN {{'used': m.used + x.used, 'kept': m.kept + 1, 'ids': concat(m.ids, x.ids, ',')}} ELSE m END) AS m FROM g)
+SELECT realm_name, m.kept AS memories, m.used AS chars, md5(m.ids) AS ids_md5 FROM r"""
+)
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most important memories of a realm that fit a budget of characters; ranks are cut before sums are taken."""
-    order = Window.partitionBy("realm_name").orderBy(F.desc("importance"), "id")
-    top = T.memories(spark, sf_dir).select("realm_name", "id", "importance", F.char_length("content").alias("size")).withColumn("pos", F.row_number().over(order)).where("pos <= 64")
-    return top.withColumn("chars", F.sum("size").over(order)).where("chars <= 4000").select("realm_name", "pos", "id", "chars")
+    """The most important live memories of each realm that fit its budget; one that does not fit is passed over.
+
+    Of lines of one length no more can be taken than the budget holds, so all others are left out before a realm is
+    gathered, which leaves at most BUDGET * (1 + 1/2 + ... + 1/cost) lines of it, whatever its size.
+    """
+    rows = T.live_memories(spark, sf_dir).select("realm_name", "id", "importance", F.expr(f"CAST(char_length({_LINE.format(len='char_length')}) + 1 AS BIGINT)").alias("cost"))
+    order = [F.desc("importance"), F.col("id")]
+    fitting = rows.withColumn("r", F.row_number().over(Window.partitionBy("realm_name", "cost").orderBy(*order))).where(F.col("r") * F.col("cost") < BUDGET)
+    items = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("o"), "id", "cost")))
+    step = f"(m, x) -> IF(m.used + x.cost + 1 <= {BUDGET}, named_struct('used', m.used + x.cost, 'kept', m.kept + 1L, 'ids', concat(m.ids, x.id, ',')), m)"
+    found = fitting.groupBy("realm_name").agg(items.alias("items")).withColumn("m", F.expr(f"aggregate(items, named_struct('used', 0L, 'kept', 0L, 'ids', ''), {step})"))
+    return found.select("realm_name", F.col("m.kept").alias("memories"), F.col("m.used").alias("chars"), F.md5("m.ids").alias("ids_md5"))
 
 
 @C.add("WITH p AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1500.0) AS BIGINT))) AS part FROM documents WHERE length(text) > 1500) SELECT doc_id, part, md5(substring(text, CAST(part * 1500 + 1 AS BIGINT), 1500)) AS piece_md5 FROM p")
@@ -79,11 +94,19 @@ def transcript_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "CAST(part AS BIGINT) AS part", "md5(substring(text, part * 1500 + 1, 1500)) AS piece_md5")
 
 
-@C.add(f"WITH {T.MEM}, h AS (SELECT md5(concat(id, '|', content)) AS h FROM mem) SELECT count(*) AS memories, min(h) AS low, max(h) AS high, count(DISTINCT substring(h, 1, 3)) AS spread FROM h")
+_PARTS = range(1, 61, 15)
+
+
+@C.add(f"WITH {T.MEM}, h AS (SELECT length(id) + length(content) AS size, sha256(concat(id, chr(0), content)) AS h FROM mem) SELECT count(*) AS memories, sum(size)::BIGINT AS chars, " + ", ".join(f"CAST(sum(CAST(('0x' || substring(h, {k}, 15)) AS BIGINT)) AS VARCHAR) AS s{k}, bit_xor(CAST(('0x' || substring(h, {k}, 15)) AS BIGINT)) AS x{k}" for k in _PARTS) + " FROM h")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free figures of all ids and contents; any change shows. Partial aggregates only, nothing is collected."""
-    h = T.memories(spark, sf_dir).select(F.md5(F.concat_ws("|", "id", "content")).alias("h"))
-    return h.agg(F.count(F.lit(1)).alias("memories"), F.min("h").alias("low"), F.max("h").alias("high"), F.countDistinct(F.substring("h", 1, 3)).alias("spread"))
+    """Figures of all ids and contents that do not depend on their order: any change shows, with a chance of 2^-240.
+
+    Sums and exclusive ors of the parts of each row's digest; partial aggregates only, nothing is gathered.
+    """
+    h = T.memories(spark, sf_dir).select((F.char_length("id") + F.char_length("content")).alias("size"), F.sha2(F.concat("id", F.lit("\0"), "content"), 256).alias("h"))
+    parts = h.select("size", *(F.conv(F.substring("h", k, 15), 16, 10).cast("long").alias(f"p{k}") for k in _PARTS))
+    figures = [f for k in _PARTS for f in (F.sum(F.col(f"p{k}").cast("decimal(20,0)")).cast("string").alias(f"s{k}"), F.bit_xor(f"p{k}").alias(f"x{k}"))]
+    return parts.agg(F.count(F.lit(1)).alias("memories"), F.sum("size").alias("chars"), *figures)
 
 
 @C.add(f"WITH {T.MEM}, v AS (SELECT DISTINCT memory_id AS id FROM memory_vectors WHERE memory_id IS NOT NULL) SELECT 'without_vector' AS side, count(*) AS n FROM (SELECT id FROM mem EXCEPT SELECT id FROM v) UNION ALL SELECT 'without_memory', count(*) FROM (SELECT id FROM v EXCEPT SELECT id FROM mem)")
@@ -113,11 +136,12 @@ def inherited_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.memories(spark, sf_dir).groupBy("realm_name").agg(F.max(F.struct(F.expr(P.PRIORITY).alias("p"), "memory_type")).alias("m")).select("realm_name", F.col("m.memory_type").alias("inherited"))
 
 
-@C.add("SELECT lower(trim(memory_id)) AS memory_id, count(DISTINCT source_id) AS sources, count(DISTINCT lower(content_hash)) AS contents, count(DISTINCT lower(content_hash)) > count(DISTINCT source_id) AS conflicting FROM source_records WHERE trim(memory_id) <> '' AND source_id IS NOT NULL GROUP BY ALL")
+@C.add("WITH r AS (SELECT lower(trim(memory_id)) AS memory_id, source_id, count(DISTINCT lower(content_hash)) AS contents FROM source_records WHERE trim(memory_id) <> '' AND source_id IS NOT NULL GROUP BY ALL) SELECT memory_id, count(*) AS sources, sum(contents)::BIGINT AS contents, count(*) FILTER (WHERE contents > 1) AS conflicting FROM r GROUP BY ALL")
 def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of each memory, and whether one source sent more than one content."""
+    """The sources of each memory, and how many of them sent more than one content."""
     rows = table(spark, sf_dir, "source_records").where("trim(memory_id) <> '' AND source_id IS NOT NULL").selectExpr("lower(trim(memory_id)) AS memory_id", "source_id", "lower(content_hash) AS h")
-    return rows.groupBy("memory_id").agg(F.countDistinct("source_id").alias("sources"), F.countDistinct("h").alias("contents")).withColumn("conflicting", F.col("contents") > F.col("sources"))
+    each = rows.groupBy("memory_id", "source_id").agg(F.countDistinct("h").alias("contents"))
+    return each.groupBy("memory_id").agg(F.count(F.lit(1)).alias("sources"), F.sum("contents").alias("contents"), F.count_if(F.col("contents") > 1).alias("conflicting"))
 
 
 QUERIES, SQL = C.queries, C.sql

@@ -28,8 +28,9 @@ def tag_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.add(f"WITH {T.MEM} SELECT realm_name, visibility, count(*) AS memories FROM mem GROUP BY GROUPING SETS ((realm_name, visibility), (realm_name), ())")
 def realm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    T.memories(spark, sf_dir).createOrReplaceTempView("_mem_realms")
-    return spark.sql("SELECT realm_name, visibility, count(*) AS memories FROM _mem_realms GROUP BY GROUPING SETS ((realm_name, visibility), (realm_name), ())")
+    rows = T.memories(spark, sf_dir)
+    realm, seen = F.col("realm_name"), F.col("visibility")
+    return rows.groupingSets([[realm, seen], [realm], []], realm, seen).agg(F.count(F.lit(1)).alias("memories"))
 
 
 @C.add(f"WITH {T.MEM}, known AS (SELECT DISTINCT lower(trim(realm_name)) AS realm_name FROM duplicate_candidates WHERE trim(realm_name) <> '' UNION SELECT unnest(['attic', 'cellar'])) SELECT realm_name FROM known WHERE realm_name NOT IN (SELECT realm_name FROM mem)")
@@ -135,6 +136,58 @@ def dedup_near_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("w.id").alias("winner_id"), F.col("l.id").alias("loser_id"), "realm_name", "cosine", (~F.col("l.a")).alias("protected"))
 
 
+#: Types that live long; they only merge with their own type.
+LONG_LIVED = "('profile', 'preference', 'entity', 'relationship')"
+_COOLING = "run_at > TIMESTAMP{ntz} '2025-05-02 00:00:00'"
+
+
+@C.add(
+    f"""WITH {T.MEM}, {T.VEC}, cool AS (SELECT DISTINCT winner_id AS id FROM duplicate_candidates WHERE {_COOLING.format(ntz="")}),
+r AS (SELECT id, realm_name, visibility, memory_type, list_sort(list_distinct(list_filter(coalesce(tags, []), lambda t: t LIKE 'project:%'))) AS projects, verification_status = 'certified' AS certified, v, row_number() OVER (ORDER BY {_ORDER}) AS r FROM mem JOIN vec USING (id) WHERE id NOT IN (SELECT id FROM cool)),
+p AS (SELECT a.id AS winner_id, b.id AS loser_id, b.certified FROM r a JOIN r b ON a.realm_name = b.realm_name AND a.visibility = b.visibility AND a.projects = b.projects AND a.r < b.r AND (a.memory_type = b.memory_type OR (a.memory_type NOT IN {LONG_LIVED} AND b.memory_type NOT IN {LONG_LIVED}))
+WHERE round(array_cosine_similarity(a.v, b.v), 4) >= 0.95)
+SELECT loser_id, count(*) AS winners, min(winner_id) AS first_winner FROM p WHERE NOT certified GROUP BY ALL"""
+)
+def dedup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(loser_id, winners, first_winner): memories that a better one of their realm repeats, a row per loser.
+
+    Compatible are the same visibility and project tags, and the same type unless both types are short-lived. Winners of
+    a merge of the last thirty days are left alone, certified memories are never losers.
+    """
+    cool = table(spark, sf_dir, "duplicate_candidates").where(_COOLING.format(ntz="_NTZ")).select(F.col("winner_id").alias("id")).distinct()
+    rank = F.struct((F.col("verification_status") != "certified").alias("a"), (-F.col("upvotes")).alias("b"), (-F.col("importance")).alias("c"), F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**62)).alias("d"), "id")
+    projects = "array_join(array_sort(array_distinct(filter(coalesce(tags, array()), t -> t LIKE 'project:%'))), ',')"
+    kind = f"IF(memory_type IN {LONG_LIVED}, memory_type, '')"
+    live = T.memories(spark, sf_dir).join(cool, "id", "left_anti")
+    side = live.select("id", "realm_name", "visibility", F.expr(projects).alias("projects"), F.expr(kind).alias("kind"), rank.alias("rank")).join(T.vectors(spark, sf_dir), "id")
+    rows = B.numbered(side.drop("id"))
+    keys = ["realm_name", "visibility", "projects", "kind"]
+    both = rows.select(*keys, "n", "q", F.lit(True).alias("asks"), F.lit(True).alias("home"))
+    found = B.compared(both, keys, B.pairs(0.9499), "a long, b long, c double").where(F.round("c", 4) >= 0.95)
+    ranks = rows.select("n", "rank")
+    named = found.join(ranks.toDF("a", "ra"), "a").join(ranks.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("w"), F.greatest("ra", "rb").alias("l"))
+    return named.where("l.a").groupBy(F.col("l.id").alias("loser_id")).agg(F.count(F.lit(1)).alias("winners"), F.min("w.id").alias("first_winner"))
+
+
+@C.add(f"WITH {T.MEM}, {T.VEC} SELECT (SELECT count(*) FROM mem) AS scanned, (SELECT count(*) FROM mem JOIN vec USING (id)) AS with_vector, (SELECT count(DISTINCT memory_id) FROM memory_vectors WHERE memory_id IN (SELECT id FROM mem) AND memory_id NOT IN (SELECT id FROM vec)) AS invalid_vectors, (SELECT count(*) FROM mem WHERE verification_status = 'certified') AS protected")
+def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a duplicate pass looks at: memories, those with a usable vector, unusable vectors, protected ones."""
+    mem, v = T.memories(spark, sf_dir).select("id", "verification_status"), T.vectors(spark, sf_dir).select("id", F.lit(1).alias("fine"))
+    any_vector = table(spark, sf_dir, "memory_vectors").select(F.col("memory_id").alias("id"), F.lit(1).alias("there")).where("id IS NOT NULL").distinct()
+    rows = mem.join(v, "id", "left").join(any_vector, "id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("scanned"), F.count("fine").alias("with_vector"), F.count_if(F.col("there").isNotNull() & F.col("fine").isNull()).alias("invalid_vectors"), F.count_if(F.col("verification_status") == "certified").alias("protected"))
+
+
+@C.add(f"WITH {T.MEM}, {T.VEC}, c AS (SELECT id, list_sort(list_distinct(list_filter(list_transform(consolidated_from, lambda x: lower(trim(x))), lambda x: x <> ''))) AS sources FROM mem WHERE consolidated_from IS NOT NULL), e AS (SELECT id, unnest(sources) AS s FROM c) SELECT c.id, len(c.sources) AS sources, coalesce(sum(CASE WHEN m.id IS NOT NULL THEN 1 ELSE 0 END), 0)::BIGINT AS live, coalesce(bool_and(m.id IS NOT NULL), true) AS covered FROM c LEFT JOIN e USING (id) LEFT JOIN mem m ON m.id = e.s WHERE len(c.sources) > 0 GROUP BY ALL")
+def covered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all sources of a merged memory are still there, so that merging them again would add nothing."""
+    mem = T.memories(spark, sf_dir)
+    sources = mem.where("consolidated_from IS NOT NULL").select("id", F.expr("array_distinct(filter(transform(consolidated_from, x -> lower(trim(x))), x -> x <> ''))").alias("l"))
+    rows = sources.select("id", F.expr("CAST(size(l) AS BIGINT)").alias("sources"), F.explode("l").alias("s"))
+    there = mem.select(F.col("id").alias("s"), F.lit(1).alias("there"))
+    return rows.join(there, "s", "left").groupBy("id", "sources").agg(F.count("there").alias("live")).withColumn("covered", F.col("live") == F.col("sources"))
+
+
 @C.add(f"WITH {T.MEM}, g AS (SELECT realm_name, source_hash, content, count(*) AS n, sum(access_count)::BIGINT AS access_count, max(importance) AS importance FROM mem WHERE {_EXACT} GROUP BY ALL HAVING count(*) > 1), t AS (SELECT realm_name, source_hash, content, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT realm_name, source_hash, content, unnest(tags) AS tag FROM mem WHERE {_EXACT}) WHERE tag IS NOT NULL GROUP BY ALL) SELECT g.realm_name, md5(g.content) AS content_md5, n AS members, access_count, importance, coalesce(t.tags, '') AS tags FROM g LEFT JOIN t USING (realm_name, source_hash, content)")
 def dedup_merge_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a merged memory carries: summed accesses, the largest importance, the union of tags."""
@@ -324,20 +377,43 @@ def digest_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x.id), ",").alias("top"))
 
 
+_DREAMABLE = "trim(content) <> '' AND chunk_type <> 'consolidated' AND memory_type <> 'dream' AND NOT coalesce({has}(tags, 'cron-finding'), false) AND NOT contains(content, '[private]')"
+#: Seeds of a dream, and the days that make a memory forgotten or recent.
+SEEDS, FORGOTTEN, RECENT = 12, 30, 7
+_SEED_NOW = "TIMESTAMP{ntz} '2025-02-10 00:00:00'"
+
+
 @C.add(
-    f"""WITH {T.MEM}, e AS (SELECT id, last_accessed, arrived_at, len(related_memory_ids) AS links FROM mem WHERE trim(content) <> '' AND chunk_type <> 'session_summary' AND memory_type <> 'dream' AND visibility = 'public'),
-a AS (SELECT id, 'forgotten' AS stratum FROM e ORDER BY last_accessed NULLS FIRST, id LIMIT 6),
-b AS (SELECT id, 'recent' AS stratum FROM e WHERE id NOT IN (SELECT id FROM a) ORDER BY arrived_at DESC, id LIMIT 3),
-c AS (SELECT id, 'linked' AS stratum FROM e WHERE id NOT IN (SELECT id FROM a UNION ALL SELECT id FROM b) ORDER BY links DESC NULLS LAST, id LIMIT 3)
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""
+    f"""WITH {T.MEM}, e AS (SELECT id, coalesce(last_accessed, ingested_at) AS touched, ingested_at, related_memory_ids, md5(id) AS o FROM mem WHERE {_DREAMABLE.format(has="list_contains")}),
+a AS (SELECT id, 'forgotten' AS stratum FROM e WHERE date_sub('day', touched, {_SEED_NOW.format(ntz="")}) >= {FORGOTTEN} ORDER BY o LIMIT {-(-SEEDS // 2)}),
+b AS (SELECT id, 'recent' AS stratum FROM e WHERE date_sub('day', ingested_at, {_SEED_NOW.format(ntz="")}) < {RECENT} AND id NOT IN (SELECT id FROM a) ORDER BY o LIMIT {SEEDS // 4}),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+c AS (SELECT id, 'linked' AS stratum FROM e WHERE id IN (SELECT unnest(related_memory_ids) FROM e WHERE id IN (SELECT id FROM ab)) AND id NOT IN (SELECT id FROM ab) ORDER BY o LIMIT {SEEDS // 4}),
+abc AS (SELECT * FROM ab UNION ALL SELECT * FROM c),
+d AS (SELECT id, stratum FROM (SELECT id, 'fill' AS stratum, row_number() OVER (ORDER BY o) AS r FROM e WHERE id NOT IN (SELECT id FROM abc)) WHERE r <= {SEEDS} - (SELECT count(*) FROM abc))
+SELECT * FROM abc UNION ALL SELECT * FROM d"""
 )
 def dream_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve seeds: half forgotten, a quarter recent, a quarter much linked."""
-    e = T.memories(spark, sf_dir).where("trim(content) <> '' AND chunk_type <> 'session_summary' AND memory_type <> 'dream' AND visibility = 'public'").selectExpr("id", "last_accessed", "arrived_at", "CASE WHEN related_memory_ids IS NOT NULL THEN size(related_memory_ids) END AS links")
-    a = e.orderBy(F.asc_nulls_first("last_accessed"), "id").limit(6).select("id", F.lit("forgotten").alias("stratum"))
-    b = e.join(F.broadcast(a), "id", "left_anti").orderBy(F.desc("arrived_at"), "id").limit(3).select("id", F.lit("recent").alias("stratum"))
-    c = e.join(F.broadcast(a.unionByName(b)), "id", "left_anti").orderBy(F.desc_nulls_last("links"), "id").limit(3).select("id", F.lit("linked").alias("stratum"))
-    return a.unionByName(b).unionByName(c)
+    """Seeds of a dream, in hash order: half forgotten, a quarter recent, a quarter linked from those, the rest filled."""
+    e = T.memories(spark, sf_dir).where(_DREAMABLE.format(has="array_contains")).select("id", F.coalesce("last_accessed", "ingested_at").alias("touched"), "ingested_at", "related_memory_ids", F.md5("id").alias("o"))
+    now = _SEED_NOW.format(ntz="_NTZ")
+    chosen = materialize(e.where(f"timestampdiff(DAY, touched, {now}) >= {FORGOTTEN}").orderBy("o").limit(-(-SEEDS // 2)).select("id", F.lit("forgotten").alias("stratum")))
+    for stratum, most, rows in (("recent", SEEDS // 4, e.where(f"timestampdiff(DAY, ingested_at, {now}) < {RECENT}")), ("linked", SEEDS // 4, None), ("fill", SEEDS, e)):
+        # at most SEEDS rows are chosen
+        if rows is None:
+            wanted = e.join(F.broadcast(chosen), "id", "left_semi").select(F.explode("related_memory_ids").alias("id"))
+            rows = e.join(wanted.distinct(), "id", "left_semi")
+        more = rows.join(F.broadcast(chosen), "id", "left_anti").orderBy("o").limit(min(most, SEEDS - chosen.count())).select("id", F.lit(stratum).alias("stratum"))
+        chosen = materialize(chosen.unionByName(more))
+    return chosen
+
+
+@C.add("WITH cfg AS (SELECT * FROM (VALUES (1, true, 'daily', 3, NULL::DATE), (2, true, 'daily', 3, DATE '2025-05-31'), (3, true, 'daily', 3, DATE '2025-06-01'), (4, true, 'weekly', 3, DATE '2025-05-26'), (5, true, 'weekly', 3, DATE '2025-05-25'), (6, false, 'daily', 3, NULL), (7, true, 'daily', 4, NULL)) t(id, enabled, frequency, hour, last)) SELECT id, enabled AND hour = 3 AND (last IS NULL OR CASE WHEN frequency = 'weekly' THEN date_diff('day', last, DATE '2025-06-01') >= 7 ELSE last < DATE '2025-06-01' END) AS due FROM cfg")
+def dream_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a dream is due at three o'clock of a day: enabled, its hour, and none since the day or the week began."""
+    rows = [(1, True, "daily", 3, None), (2, True, "daily", 3, "2025-05-31"), (3, True, "daily", 3, "2025-06-01"), (4, True, "weekly", 3, "2025-05-26"), (5, True, "weekly", 3, "2025-05-25"), (6, False, "daily", 3, None), (7, True, "daily", 4, None)]
+    cfg = spark.createDataFrame(rows, "id int, enabled boolean, frequency string, hour int, last string")
+    return cfg.selectExpr("id", "enabled AND hour = 3 AND (last IS NULL OR CASE WHEN frequency = 'weekly' THEN datediff(DATE '2025-06-01', CAST(last AS DATE)) >= 7 ELSE CAST(last AS DATE) < DATE '2025-06-01' END) AS due")
 
 
 @C.add(

@@ -7,13 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemolith import blocks as B
 from mnemolith import params as P
 from mnemolith import tables as T
-from mnemolith.session import arrow_map, table
+from mnemolith.session import arrow_map, materialize, table
 
 C = T.Catalogue()
 
-#: Realms that are compared with every memory.
+#: Neighbours kept beyond those asked for, so that equal rounded cosines at the last rank are settled by id.
+SPARE = 3
+#: Realms that are compared with every memory at once.
 REALMS = 4096
 
 HOURS = f"CAST(greatest(timestampdiff(HOUR, last_accessed, {P.NOW_NTZ}), 0) AS DOUBLE)"
@@ -39,11 +42,12 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(T.memories(spark, sf_dir))
 
 
-@C.add(f"WITH {T.MEM} SELECT memory_type, realm_name, count(*) AS memories, round(avg({SCORE.format(recency=recency(HOURS_SQL))}), 5) AS mean_score, round(max({SCORE.format(recency=recency(HOURS_SQL))}), 5) AS best FROM mem GROUP BY ALL")
+@C.add(f"WITH {T.MEM}, s AS (SELECT memory_type, realm_name, CAST(round({SCORE.format(recency=recency(HOURS_SQL))}, 9) AS DECIMAL(20, 9)) AS s FROM mem) SELECT memory_type, realm_name, count(*) AS memories, round(CAST(sum(s) AS DOUBLE) / count(*), 5) AS mean_score, round(CAST(max(s) AS DOUBLE), 5) AS best FROM s GROUP BY ALL")
 def recall_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.expr(SCORE.format(recency=recency(HOURS)))
-    rows = T.memories(spark, sf_dir).select("memory_type", "realm_name", score.alias("s"))
-    return rows.groupBy("memory_type", "realm_name").agg(F.count(F.lit(1)).alias("memories"), F.round(F.avg("s"), 5).alias("mean_score"), F.round(F.max("s"), 5).alias("best"))
+    """Scores per type and realm; they are summed as decimals, so that the order of rows does not matter."""
+    rows = T.memories(spark, sf_dir).select("memory_type", "realm_name", F.expr(f"CAST(round({SCORE.format(recency=recency(HOURS))}, 9) AS DECIMAL(20, 9))").alias("s"))
+    total = rows.groupBy("memory_type", "realm_name").agg(F.count(F.lit(1)).alias("memories"), F.sum("s").alias("total"), F.max("s").alias("top"))
+    return total.selectExpr("memory_type", "realm_name", "memories", "round(CAST(total AS DOUBLE) / memories, 5) AS mean_score", "round(CAST(top AS DOUBLE), 5) AS best")
 
 
 @C.add(
@@ -63,7 +67,7 @@ TOKENS = "filter(split(lower({t}), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '' AND
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND (length(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND NOT list_contains([" + ", ".join(f"'{w}'" for w in P.STOPWORDS) + "], w))"
 TEXT = "concat_ws(' ', heading, content, array_join(tags, ' '))"
 TEXT_SQL = "concat_ws(' ', heading, content, array_to_string(tags, ' '))"
-K1, B = 1.2, 0.75
+K1, SIZE = 1.2, 0.75
 
 
 def bm25(memories: DataFrame, terms: list[str]) -> DataFrame:
@@ -78,7 +82,7 @@ def bm25(memories: DataFrame, terms: list[str]) -> DataFrame:
     tf = rows.where("size(hit) > 0").select("id", "len", F.explode("hit").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # a row per asked term, and one row
-    part = f"ln(1 + (n - df + 0.5D) / (df + 0.5D)) * tf * {K1 + 1}D / (tf + {K1}D * (1 - {B}D + {B}D * len / mean))"
+    part = f"ln(1 + (n - df + 0.5D) / (df + 0.5D)) * tf * {K1 + 1}D / (tf + {K1}D * (1 - {SIZE}D + {SIZE}D * len / mean))"
     return joined.groupBy("id").agg(F.sum(F.expr(part)).alias("bm25"))
 
 
@@ -89,7 +93,7 @@ sized AS (SELECT id, len(w) AS len, unnest(list_filter(w, lambda x: x IN ({wante
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
 tf AS (SELECT id, len, term, count(*) AS tf FROM sized GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * len / mean))) AS bm25
+bm25 AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * (1 - {SIZE}::DOUBLE + {SIZE}::DOUBLE * len / mean))) AS bm25
   FROM tf JOIN df USING (term), corpus GROUP BY id)"""
 
 
@@ -113,8 +117,18 @@ def query_vector(vectors: DataFrame) -> DataFrame:
 
 
 def similar(vectors: DataFrame, query: DataFrame) -> DataFrame:
-    """(id, cosine) of every vector to the one row of query."""
-    return vectors.crossJoin(F.broadcast(query)).select("id", F.expr(f"greatest(-1D, least(1D, {T.dot('v', 'qv')}))").alias("cosine"))
+    """(id, cosine) of every vector to the one row of query; that one vector travels, a batch is one product."""
+    row = query.first()
+    q = np.asarray(row["qv"], np.float64) if row else np.zeros(64)
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = batch.column("v")
+        x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+        # summed component by component, so that the last bits do not depend on the size of a batch
+        c = (x * q).cumsum(axis=1)[:, -1] if x.shape[1] else np.zeros(len(v))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.clip(c, -1.0, 1.0))], names=["id", "cosine"])
+
+    return arrow_map(vectors.select("id", "v"), score, "id string, cosine double")
 
 
 @C.add(f"WITH {T.VEC}, {_QUERY} SELECT id, round(array_cosine_similarity(v, qv), 5) AS cosine FROM vec, q ORDER BY cosine DESC, id LIMIT 25")
@@ -145,7 +159,7 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, terms: list[str], int
     """(id, score): dense and keyword candidates blended, then weighted by trust, intent, importance, recency, votes.
 
     The CANDIDATES nearest by cosine from LEAST on, and the CANDIDATES best by keywords, which need LEAST after their
-    bonus. Erased and dream memories are the caller's to leave out. Ties go to the smaller id.
+    bonus. Erased and dream memories are left out by search.search, which also takes filters. Ties go to the smaller id.
     """
     wv, wi, wr = P.INTENTS[intent]
     cos = similar(vectors, query_vector(vectors))
@@ -202,10 +216,10 @@ def centroids(memories: DataFrame, vectors: DataFrame) -> DataFrame:
 _MEANS = "pos AS (SELECT realm_name, i, avg(v[i]) AS x FROM vec JOIN mem USING (id), range(1, 65) r(i) WHERE realm_name <> '' GROUP BY ALL), cen AS (SELECT realm_name, list(x ORDER BY i)::DOUBLE[64] AS cv FROM pos GROUP BY ALL)"
 
 
-@C.add(f"WITH {T.VEC}, {T.MEM}, {_MEANS} SELECT realm_name, (SELECT count(*) FROM vec JOIN mem USING (id) WHERE mem.realm_name = cen.realm_name) AS members, round(list_sum(cv) / sqrt(list_sum(list_transform(cv::DOUBLE[], lambda x: x * x))), 4) AS total FROM cen")
+@C.add(f"WITH {T.VEC}, {T.MEM}, {_MEANS} SELECT realm_name, (SELECT count(*) FROM vec JOIN mem USING (id) WHERE mem.realm_name = cen.realm_name) AS members, array_to_string(list_transform(cv::DOUBLE[], lambda x: CAST(CAST(round(x * 1000 / sqrt(list_sum(list_transform(cv::DOUBLE[], lambda y: y * y)))) AS BIGINT) AS VARCHAR)), ',') AS permille FROM cen")
 def realm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids(T.memories(spark, sf_dir), T.vectors(spark, sf_dir))
-    return found.select("realm_name", "members", F.expr("round(aggregate(cv, 0D, (m, x) -> m + x), 4)").alias("total"))
+    return found.select("realm_name", "members", F.expr("array_join(transform(cv, x -> CAST(CAST(round(x * 1000) AS BIGINT) AS STRING)), ',')").alias("permille"))
 
 
 @C.add(f"WITH {T.VEC}, {_QUERY}, {T.MEM}, {_MEANS} SELECT realm_name, round(array_cosine_similarity(cv, qv), 5) AS cosine FROM cen, q WHERE realm_name IN (SELECT realm_name FROM mem WHERE visibility = 'public') ORDER BY cosine DESC, realm_name LIMIT 3")
@@ -225,10 +239,23 @@ SELECT near.realm_name AS nearest, count(*) AS memories, count(*) FILTER (WHERE
 def realm_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each memory goes to the realm of the nearest centroid (at 0.2 or more).
 
-    The centroids of at most REALMS realms travel with the function; a batch is one matrix product.
+    Centroids, written once, travel with the function in blocks of REALMS; a batch is one matrix product, and of the
+    blocks each memory keeps its best realm.
     """
     mem, v = T.memories(spark, sf_dir), T.vectors(spark, sf_dir)
-    cen = centroids(mem, v).orderBy("realm_name").limit(REALMS).collect()
+    cen = materialize(centroids(mem, v).withColumn("block", F.floor((F.row_number().over(Window.orderBy("realm_name")) - 1) / REALMS)))  # a row per realm
+    best = None
+    for block in range(1 + (cen.agg(F.max("block")).first()[0] or 0)):
+        rows = arrow_map(v, _nearest(cen.where(F.col("block") == block).orderBy("realm_name").select("realm_name", "cv").collect()), "id string, nearest string, s double")
+        best = rows if best is None else best.unionByName(rows)
+    if cen.where("block > 0").limit(1).count():
+        best = best.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("d"), "nearest")).alias("m")).select("id", F.col("m.nearest").alias("nearest"))
+    joined = best.select("id", "nearest").join(mem.select("id", "realm_name"), "id")
+    return joined.groupBy("nearest").agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("nearest") != F.col("realm_name")).alias("moved"))
+
+
+def _nearest(cen: list):
+    """A function of a batch of vectors: the realm of the nearest of these centroids, where it reaches 0.2."""
     names, c = np.array([r["realm_name"] for r in cen]), np.array([r["cv"] for r in cen]).reshape(len(cen), -1)
 
     def nearest(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -237,12 +264,10 @@ def realm_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
         s = np.round(x @ c.T, 6)
         best = s.argmax(axis=1)  # names are in order, so ties go to the smaller one
-        keep = s.max(axis=1) >= 0.2
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[best])], names=["id", "nearest"]).filter(pa.array(keep))
+        top = s.max(axis=1)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[best]), pa.array(top)], names=["id", "nearest", "s"]).filter(pa.array(top >= 0.2))
 
-    rows = arrow_map(v, nearest, "id string, nearest string")
-    joined = rows.join(mem.select("id", "realm_name"), "id")
-    return joined.groupBy("nearest").agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.col("nearest") != F.col("realm_name")).alias("moved"))
+    return nearest
 
 
 @C.add(f"WITH {T.VEC}, {T.MEM}, {_MEANS} SELECT a.realm_name AS realm_a, b.realm_name AS realm_b, round(array_cosine_similarity(a.cv, b.cv), 5) AS cosine FROM cen a JOIN cen b ON a.realm_name < b.realm_name AND round(array_cosine_similarity(a.cv, b.cv), 5) > 0.3")
@@ -268,13 +293,47 @@ SELECT query_id, rank, neighbour_id, cosine FROM r WHERE rank <= 5"""
 )
 def knn_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50, against all; a row keeps its best five by window."""
-    v = _embeddings(spark, sf_dir)
-    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = v.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("neighbour_id"), F.expr(f"round({T.dot('v', 'qv')}, 5)").alias("cosine"))
+    rows = B.numbered(_embeddings(spark, sf_dir).select("vec_id", "v"))
+    asks = rows.select(F.lit(0).alias("g"), "n", "q", (F.col("vec_id") % 50 == 0).alias("asks"), F.lit(True).alias("home"))
+    # one more than asked for, so that ties of the rounded cosine are settled by id
+    found = B.compared(asks, ["g"], B.best(B.unpacked, 5 + SPARE, None), "a long, b long, c double", 2 * B.BLOCK)
+    ids = rows.select("n", "vec_id")
+    pairs = found.join(ids.toDF("a", "query_id"), "a").join(ids.toDF("b", "neighbour_id"), "b").select("query_id", "neighbour_id", F.round("c", 5).alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return pairs.withColumn("rank", rank).where("rank <= 5").select("query_id", "rank", "neighbour_id", "cosine")
 
 
+def best_bridges(rows: DataFrame, cen: DataFrame) -> DataFrame:
+    """(a, b, s): the largest cosine that a row of label a has with the centroid of b, for a <> b.
+
+    The centroids travel with the function, in blocks of REALMS; a batch gives one row per pair of labels.
+    """
+    cen = materialize(cen.withColumn("block", F.floor((F.row_number().over(Window.orderBy("b")) - 1) / REALMS)))  # a row per label
+    out = None
+    for block in range(1 + (cen.agg(F.max("block")).first()[0] or 0)):
+        part = arrow_map(rows, _bridges(cen.where(F.col("block") == block).orderBy("b").collect()), "a long, b long, s double")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("a", "b").agg(F.round(F.max("s"), 5).alias("s"))
+
+
+def _bridges(cen: list):
+    names, c = np.array([r["b"] for r in cen], np.int64), np.array([r["cv"] for r in cen]).reshape(len(cen), -1)
+
+    def bridge(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if not len(names):
+            return None
+        x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+        label = np.asarray(batch.column("label"), np.int64)
+        order = np.argsort(label, kind="stable")
+        own, at = np.unique(label[order], return_index=True)
+        s = np.maximum.reduceat((x @ c.T)[order], at, axis=0)
+        a, b = np.repeat(own, len(names)), np.tile(names, len(own))
+        keep = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s.ravel()[keep])], names=["a", "b", "s"])
+
+    return bridge
+
+
 @C.add(
     f"""WITH {_EMB}, pos AS (SELECT label, i, avg(v[i]) AS x FROM emb, range(1, 65) r(i) GROUP BY ALL), cen AS (SELECT label, list(x ORDER BY i)::DOUBLE[64] AS cv FROM pos GROUP BY ALL),
 best AS (SELECT emb.label AS a, cen.label AS b, max(array_cosine_similarity(v, cv)) AS s FROM emb JOIN cen ON emb.label <> cen.label GROUP BY ALL)
@@ -285,7 +344,7 @@ def cluster_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _embeddings(spark, sf_dir)
     means = v.groupBy("label").agg(*(F.avg(F.col("v")[i]).alias(f"_{i}") for i in range(64)))
     cen = T.unit(means.select("label", F.array(*(f"_{i}" for i in range(64))).alias("m")), "m", "cv").select(F.col("label").alias("b"), "cv")
-    best = v.join(cen, F.col("label") != F.col("b")).groupBy(F.col("label").alias("a"), "b").agg(F.round(F.max(F.expr(T.dot("v", "cv"))), 5).alias("s"))
+    best = best_bridges(v.select("label", "v"), cen)
     back = best.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("s").alias("t"))
     return best.join(back, ["a", "b"]).where("a < b AND s < 0.4 AND t < 0.4").selectExpr("a AS cluster_a", "b AS cluster_b", "s AS a_to_b", "t AS b_to_a")
 
@@ -295,9 +354,9 @@ def cluster_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNIPPET = "substring(CASE WHEN trim(coalesce(summary, '')) <> '' THEN summary ELSE content END, 1, 160)"
 
 
-@C.add(f"WITH {T.MEM} SELECT id, realm_name, memory_type, importance, {SNIPPET} AS snippet FROM mem WHERE verification_status = 'certified'")
+@C.add(f"WITH {T.MEM} SELECT id, realm_name, memory_type, importance, heading, ingested_at, {SNIPPET} AS snippet FROM mem WHERE verification_status = 'certified'")
 def search_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.memories(spark, sf_dir).where("verification_status = 'certified'").selectExpr("id", "realm_name", "memory_type", "importance", f"{SNIPPET} AS snippet")
+    return T.memories(spark, sf_dir).where("verification_status = 'certified'").selectExpr("id", "realm_name", "memory_type", "importance", "heading", "ingested_at", f"{SNIPPET} AS snippet")
 
 
 @C.add(f"WITH {T.MEM} SELECT id, substring(content, 1, 280) AS preview, ingested_at FROM mem WHERE visibility = 'public' ORDER BY ingested_at DESC NULLS LAST, id LIMIT 50")
@@ -373,28 +432,7 @@ def spreading_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mem.join(F.broadcast(ids), "id").selectExpr("id", "round(least(1D, importance + 0.005D), 6) AS importance", "access_count + 1 AS access_count")
 
 
-# ---------------------------------------------------------------- intent and persons
-
-# fixed values: the first rule that matches a question gives its intent
-INTENT_RULES = (
-    ("preference", r"(like|likes|liked|prefer|prefers|preferred|favorite|favourite|love|loves|hate|hates|enjoy|enjoys)"),
-    ("temporal", r"(when|last|yesterday|today|tomorrow|ago|before|after|since|until|during|recently|lately|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|september|october|november|december|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|(this|next|last)\s+(week|month|year)|[0-9]+\s+(day|week|month|year|hour|minute)s?\s+(ago|from now|later|earlier))"),
-    ("factual", r"(what\s+is|who\s+is|where\s+is|definition|define|explain|meaning|how\s+(many|much|long|far))"),
-    ("entity", r"((who|what)\s+(is|was|are|were)\s+[0-9a-z_]+|about\s+[0-9a-z_]+)"),
-    ("procedural", r"(how\s+(do|does|did|can|could|would|should|to)|setup|install|configure|deploy|build|run|start|stop|restart|fix|debug|troubleshoot|step|steps|guide|tutorial|instructions?)"),
-)
-
-
-def _intent(matches: str, escape: bool) -> str:
-    rules = ((n, r"(^|[^0-9a-z_])" + p + r"([^0-9a-z_]|$)") for n, p in INTENT_RULES)
-    rules = [(n, p.replace("\\", "\\\\") if escape else p) for n, p in rules]
-    return "CASE " + " ".join(f"WHEN {matches.format(p=p)} THEN '{n}'" for n, p in rules) + " ELSE 'general' END"
-
-
-@C.add(f"SELECT item_id, {_intent("regexp_matches(lower(question), '{p}')", False)} AS intent FROM eval_items WHERE question IS NOT NULL")
-def intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").where("question IS NOT NULL").selectExpr("item_id", f"{_intent("lower(question) RLIKE '{p}'", True)} AS intent")
-
+# ---------------------------------------------------------------- persons and files
 
 @C.add(f"WITH {T.MEM} SELECT id, round(importance, 6) AS importance FROM mem WHERE list_contains(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), 'selma')")
 def person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
 
 
+def file_state(spark: SparkSession, path: str) -> int:
+    """A number that changes when a file under the path does."""
+    where, files = _folder(spark, path)
+    found = files.listFiles(where, True)
+    state = 0
+    while found.hasNext():
+        f = found.next()
+        state ^= hash((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return state
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """Makes an empty file."""
     where, files = _folder(spark, path)

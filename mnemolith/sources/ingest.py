@@ -157,13 +157,20 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "explode(filter(split(text, '\\\\n\\\\n+'), p -> trim(p) <> '')) AS paragraph")
 
 
-_LAST50 = "r AS (SELECT session, source_id, content, captured_at, row_number() OVER (PARTITION BY session ORDER BY captured_at DESC, source_id DESC) AS back FROM (SELECT session, source_id, any_value(content) AS content, min(captured_at) AS captured_at FROM source_records WHERE session IS NOT NULL GROUP BY ALL))"
+_FIRST = "first AS (SELECT session, source_id, content, speaker, origin, captured_at FROM (SELECT *, row_number() OVER (PARTITION BY session, source_id ORDER BY captured_at, arrived_at, content) AS n FROM source_records WHERE session IS NOT NULL) WHERE n = 1)"
+_LAST50 = f"{_FIRST}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY captured_at DESC, source_id DESC) AS back FROM first)"
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record of a session: the first that was captured."""
+    rows = table(spark, sf_dir, "source_records").where("session IS NOT NULL")
+    first = F.min(F.struct(F.col("captured_at").isNull().alias("z"), "captured_at", F.col("arrived_at").isNull().alias("y"), "arrived_at", F.col("content").isNull().alias("x"), "content", "speaker", "origin")).alias("m")
+    return rows.groupBy("session", "source_id").agg(first).select("session", "source_id", "m.content", "m.speaker", "m.origin", "m.captured_at")
 
 
 def _last50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "source_records").where("session IS NOT NULL").groupBy("session", "source_id").agg(F.any_value("content").alias("content"), F.min("captured_at").alias("captured_at"))
     back = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("captured_at"), F.desc("source_id")))
-    return rows.withColumn("back", back).where("back <= 50")
+    return _sent(spark, sf_dir).withColumn("back", back).where("back <= 50")
 
 
 @C.add(f"WITH {_LAST50} SELECT session, source_id, row_number() OVER (PARTITION BY session ORDER BY back DESC) - 1 AS pos FROM r WHERE back <= 50")
@@ -172,18 +179,26 @@ def session_last50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "source_id", (F.row_number().over(Window.partitionBy("session").orderBy(F.desc("back"))) - 1).alias("pos"))
 
 
-@C.add(f"WITH {_LAST50} SELECT session, count(*) AS messages, md5(string_agg(source_id, '|' ORDER BY back DESC)) AS digest FROM r WHERE back <= 50 GROUP BY ALL")
+@C.add(f"WITH {_LAST50} SELECT session, count(*) AS messages, md5(string_agg(concat(coalesce(lower(speaker), 'unknown'), ': ', coalesce(content, '')), chr(10) ORDER BY back DESC)) AS text_md5 FROM r WHERE back <= 50 GROUP BY ALL")
 def session_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of a session in order, joined to one text, of which the digest is shown."""
-    rows = _last50(spark, sf_dir).groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "source_id"))).alias("l"))
-    return rows.select("session", "messages", F.md5(F.array_join(F.transform("l", lambda x: x.source_id), "|")).alias("digest"))
+    """The last fifty messages of a session in order, joined to one text, of which the digest is shown."""
+    line = F.concat(F.coalesce(F.lower("speaker"), F.lit("unknown")), F.lit(": "), F.coalesce("content", F.lit("")))
+    rows = _last50(spark, sf_dir).groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), line.alias("line")))).alias("l"))
+    return rows.select("session", "messages", F.md5(F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text_md5"))
+
+
+#: Turns of a conversation that make one memory.
+TURNS = 100
 
 
-@C.add("SELECT session, md5(string_agg(coalesce(lower(speaker), 'unknown') || ': ' || source_id, chr(10) ORDER BY captured_at, source_id)) AS digest, count(*) AS turns FROM (SELECT session, source_id, min(speaker) AS speaker, min(captured_at) AS captured_at FROM source_records WHERE session IS NOT NULL AND origin = 'chat' GROUP BY ALL) GROUP BY session")
+@C.add(f"WITH {_FIRST}, n AS (SELECT *, (row_number() OVER (PARTITION BY session ORDER BY captured_at NULLS FIRST, source_id) - 1) // {TURNS} AS part FROM first WHERE origin = 'chat') SELECT session, part, count(*) AS turns, md5(string_agg(concat(coalesce(lower(speaker), 'unknown'), ': ', coalesce(content, '')), chr(10) ORDER BY captured_at NULLS FIRST, source_id)) AS text_md5 FROM n GROUP BY ALL")
 def conversation_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "source_records").where("session IS NOT NULL AND origin = 'chat'").groupBy("session", "source_id").agg(F.min("speaker").alias("speaker"), F.min("captured_at").alias("captured_at"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("captured_at", "source_id", "speaker"))), lambda x: F.concat(F.coalesce(F.lower(x.speaker), F.lit("unknown")), F.lit(": "), x.source_id))
-    return rows.groupBy("session").agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count(F.lit(1)).alias("turns"))
+    """Conversations as memories of at most TURNS turns, so that a session of any length is never one array."""
+    order = [F.asc_nulls_first("captured_at"), F.col("source_id")]
+    rows = _sent(spark, sf_dir).where("origin = 'chat'").withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(*order)) - 1)
+    line = F.concat(F.coalesce(F.lower("speaker"), F.lit("unknown")), F.lit(": "), F.coalesce("content", F.lit("")))
+    parts = rows.groupBy("session", F.expr(f"CAST(n div {TURNS} AS BIGINT)").alias("part")).agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    return parts.select("session", "part", "turns", F.md5(F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text_md5"))
 
 
 _KEY = "content_hash, coalesce(origin, '') AS origin, coalesce(visibility, '') AS visibility"

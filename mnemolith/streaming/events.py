@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +65,94 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def matches_field(field: str, value: str) -> str:
-    """A field of a five-field schedule (star, step, list, range, number) as a predicate over a value expression."""
-    if field == "*":
-        return "true"
-    if field.startswith("*/") and field[2:].isdigit() and int(field[2:]) > 0:
-        return f"{value} % {int(field[2:])} = 0"
-    if field.isdigit():
-        return f"{value} = {int(field)}"
-    if "," in field:
-        return "(" + " OR ".join(matches_field(f.strip(), value) for f in field.split(",")) + ")"
-    low, dash, high = field.partition("-")
-    return f"{value} BETWEEN {int(low)} AND {int(high)}" if dash and low.isdigit() and high.isdigit() else "false"
-
-
-SCHEDULES = ("*/15 * * * *", "0-10 3 * * *", "5,35 8-18 * * 1-5", "30 0 1 * *")
+#: The fields of a schedule: name, smallest and largest value, and names of values in their order.
+FIELDS = (
+    ("minute", 0, 59, ()),
+    ("hour", 0, 23, ()),
+    ("day", 1, 31, ()),
+    ("month", 1, 12, ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")),
+    ("weekday", 0, 7, ("sun", "mon", "tue", "wed", "thu", "fri", "sat")),
+)
+
+
+class Schedule:
+    """A five-field schedule as the set of values of each field; a part that says nothing valid allows nothing.
+
+    Lists of numbers, names, ranges and stars, each with an optional step. Sunday is 0 or 7. All fields must agree.
+    """
+
+    def __init__(self, text: str):
+        parts = text.split()
+        if len(parts) != len(FIELDS):
+            raise ValueError(f"a schedule has {len(FIELDS)} fields: {text!r}")
+        self.allowed = {name: self._values(part.lower(), low, high, names) for part, (name, low, high, names) in zip(parts, FIELDS)}
+        if 7 in self.allowed["weekday"]:
+            self.allowed["weekday"] = self.allowed["weekday"] - {7} | {0}
+
+    @staticmethod
+    def _values(part: str, low: int, high: int, names: tuple[str, ...]) -> frozenset[int]:
+        def number(x: str) -> int | None:
+            return low + names.index(x) if x in names else int(x) if x.isdigit() else None
+
+        out: set[int] = set()
+        for item in part.split(","):
+            span, _, step = item.partition("/")
+            first, dash, last = span.partition("-")
+            ends = (low, high) if span == "*" else (number(first), number(last) if dash else high if step else number(first))
+            width = int(step) if step.isdigit() else 1 if not step else 0
+            if None not in ends and width > 0:
+                out.update(v for v in range(ends[0], ends[1] + 1, width) if low <= v <= high)
+        return frozenset(out)
+
+    def predicate(self, ts: str, weekday: str) -> str:
+        """The schedule as a predicate over a timestamp expression; weekday is the expression of 0 (Sunday) to 6."""
+        values = {"minute": f"minute({ts})", "hour": f"hour({ts})", "day": f"day({ts})", "month": f"month({ts})", "weekday": weekday}
+        tests = []
+        for name, low, high, _ in FIELDS:
+            allowed = sorted(self.allowed[name])
+            if len(allowed) < high - low + (name != "weekday"):
+                tests.append(f"{values[name]} IN ({', '.join(map(str, allowed))})" if allowed else "false")
+        return " AND ".join(tests) or "true"
+
+    def next_after(self, at: dt.datetime, days: int = 366 * 5) -> dt.datetime | None:
+        """The first minute after at that the schedule allows, or None within so many days."""
+        at = at.replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
+        for day in range(days + 1):
+            date = at.date() + dt.timedelta(days=day)
+            if date.month not in self.allowed["month"] or date.day not in self.allowed["day"] or date.isoweekday() % 7 not in self.allowed["weekday"]:
+                continue
+            for hour in sorted(self.allowed["hour"]):
+                for minute in sorted(self.allowed["minute"]):
+                    found = dt.datetime(date.year, date.month, date.day, hour, minute)
+                    if found >= at:
+                        return found
+        return None
+
+    def due(self, now: dt.datetime, last: dt.datetime | None, tolerance: dt.timedelta = dt.timedelta(minutes=5)) -> bool:
+        """Whether a run is due: one was scheduled since the last run and lies no further back than the tolerance."""
+        since = now - tolerance - dt.timedelta(minutes=1)
+        following = self.next_after(max(since, last) if last else since)
+        return following is not None and following <= now
+
+
+SCHEDULES = ("*/15 * * * *", "0-10 3 * * *", "5,35 8-18 * * 1-5", "30 0 1 * *", "0-30/10,45 */6 * jan,mar sun,2-4")
+
+
+@C.add(" UNION ALL ".join(f"SELECT '{s}' AS schedule, count(*) AS events, min(ts) AS first_at FROM events WHERE {Schedule(s).predicate('ts', 'dayofweek(ts)')} HAVING count(*) > 0" for s in SCHEDULES))
+def cron_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    hit = F.array_compact(F.array(*(F.when(F.expr(Schedule(s).predicate("ts", "(dayofweek(ts) - 1)")), F.lit(s)) for s in SCHEDULES)))
+    return rows.select("ts", F.explode(hit).alias("schedule")).groupBy("schedule").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_at"))
 
 
-def cron(schedule: str, weekday: str) -> str:
-    parts = zip(schedule.split(), ("minute(ts)", "hour(ts)", "day(ts)", "month(ts)", weekday))
-    return " AND ".join(matches_field(f, v) for f, v in parts)
+_MINUTES = "range(TIMESTAMP '2025-06-01 00:00:00', TIMESTAMP '2025-08-01 00:00:00', INTERVAL 1 MINUTE)"
 
 
-@C.add(" UNION ALL ".join(f"SELECT '{s}' AS schedule, count(*) AS events, min(ts) AS first_at FROM events WHERE {cron(s, 'dayofweek(ts)')} HAVING count(*) > 0" for s in SCHEDULES))
-def cron_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    hit = F.array_compact(F.array(*(F.when(F.expr(cron(s, "(dayofweek(ts) - 1)")), F.lit(s)) for s in SCHEDULES)))
-    return rows.select("ts", F.explode(hit).alias("schedule")).groupBy("schedule").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_at"))
+@C.add(" UNION ALL ".join(f"SELECT '{s}' AS schedule, min(ts) AS next_at FROM (SELECT unnest({_MINUTES}) AS ts) WHERE ts > TIMESTAMP '2025-06-01 00:10:30' AND {Schedule(s).predicate('ts', 'dayofweek(ts)')}" for s in SCHEDULES[:4]))
+def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each schedule runs next after a moment."""
+    rows = [(s, Schedule(s).next_after(dt.datetime(2025, 6, 1, 0, 10, 30))) for s in SCHEDULES[:4]]
+    return spark.createDataFrame(rows, "schedule string, next_at timestamp_ntz")
 
 
 _CHANGES = "SELECT source_id, content_hash, arrived_at, lag(content_hash) OVER (PARTITION BY source_id ORDER BY arrived_at) AS old FROM (SELECT DISTINCT source_id, lower(content_hash) AS content_hash, arrived_at FROM source_records WHERE source_id IS NOT NULL)"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemolith.session import table
+from mnemolith.session import children, file_state, new_path, table
 
 #: Columns with their defaults, as expressions that Spark and DuckDB both read.
 COLUMNS = {
@@ -34,18 +37,52 @@ COLUMNS = {
 }
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per id, that of its first arrival; Catalyst prunes the columns a query does not use."""
+#: Folder and schema of the snapshots that this process wrote.
+_snapshots: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], by: list[str] | None = None) -> DataFrame:
+    """A normalised table in the shared folder, written once per application and state of its source files.
+
+    Queries read it with their filters and columns pushed to the scan, in place of a window over the whole store each.
+    """
+    key = (spark.sparkContext.applicationId, name, f"{sf_dir}:{file_state(spark, f'{sf_dir}/{name}.parquet')}")
+    path, schema = _snapshots.get(key, (None, None))
+    if path is None or "_SUCCESS" not in children(spark, path):
+        path, rows = new_path(spark), build(table(spark, sf_dir, name))
+        rows.write.option("compression", "zstd").parquet(path, partitionBy=by)
+        schema = rows.schema
+        _snapshots[key] = path, schema
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """One row per id, that of its first arrival, with defaults in place; rows without an id are left out."""
     first = Window.partitionBy("id").orderBy(F.col("arrived_at").asc_nulls_last(), F.col("access_count").asc_nulls_last(), "batch_id")
-    rows = table(spark, sf_dir, "memories").where("id IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return rows.selectExpr(*(f"{e} AS {c}" for c, e in COLUMNS.items()))
+    once = rows.where("id IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return once.selectExpr(*(f"{e} AS {c}" for c, e in COLUMNS.items()))
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised store: partitioned by visibility, sorted by realm and type within its files."""
+    return _snapshot(spark, sf_dir, "memories", lambda rows: normalised(rows).sortWithinPartitions("visibility", "realm_name", "memory_type"), ["visibility"])
+
+
+def live_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised store without the memories that a completed erasure names."""
+    gone = table(spark, sf_dir, "erasure_intents").where("complete = 1").selectExpr("lower(trim(memory_id)) AS id").where("id <> ''").distinct()
+    return memories(spark, sf_dir).join(gone, "id", "left_anti")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, v): the unit vector, as doubles, of every memory that has a usable one."""
-    rows = table(spark, sf_dir, "memory_vectors").where("memory_id IS NOT NULL AND size(vector) = 64 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 3.4e38) AND exists(vector, x -> x <> 0)")
-    one = rows.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("vector", F.struct(F.coalesce("embedded_at", F.lit("9999-12-31").cast("timestamp_ntz")))).alias("vector"))
-    return unit(one, "vector", "v").select("id", "v")
+
+    def build(rows: DataFrame) -> DataFrame:
+        fine = rows.where("memory_id IS NOT NULL AND size(vector) = 64 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 3.4e38) AND exists(vector, x -> x <> 0)")
+        one = fine.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("vector", F.struct(F.coalesce("embedded_at", F.lit("9999-12-31").cast("timestamp_ntz")))).alias("vector"))
+        return unit(one, "vector", "v").select("id", "v")
+
+    return _snapshot(spark, sf_dir, "memory_vectors", build)
 
 
 def unit(df: DataFrame, vector: str, out: str) -> DataFrame:
@@ -61,6 +98,7 @@ MEM = (
     "mem AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS.items()) + " FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrived_at NULLS LAST, access_count NULLS LAST, batch_id) AS _n"
     " FROM memories WHERE id IS NOT NULL) WHERE _n = 1)"
 )
+ERASED = "gone AS (SELECT DISTINCT lower(trim(memory_id)) AS id FROM erasure_intents WHERE complete = 1 AND trim(memory_id) <> '')"
 VEC = """vec AS (SELECT memory_id AS id, list_transform(vector::DOUBLE[], lambda x: x / len)::DOUBLE[64] AS v FROM (SELECT *, sqrt(list_sum(list_transform(vector::DOUBLE[], lambda x: x * x))) AS len FROM (
   SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY embedded_at NULLS LAST) AS _n FROM memory_vectors
   WHERE memory_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
