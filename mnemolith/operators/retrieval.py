@@ -42,12 +42,12 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(T.memories(spark, sf_dir))
 
 
-@C.add(f"WITH {T.MEM}, s AS (SELECT memory_type, realm_name, CAST(round({SCORE.format(recency=recency(HOURS_SQL))}, 9) AS DECIMAL(20, 9)) AS s FROM mem) SELECT memory_type, realm_name, count(*) AS memories, round(CAST(sum(s) AS DOUBLE) / count(*), 5) AS mean_score, round(CAST(max(s) AS DOUBLE), 5) AS best FROM s GROUP BY ALL")
+@C.add(f"WITH {T.MEM}, s AS (SELECT memory_type, realm_name, CAST(round({SCORE.format(recency=recency(HOURS_SQL))} * 1000000000) AS BIGINT) AS s FROM mem) SELECT memory_type, realm_name, count(*) AS memories, CAST(sum(s)::BIGINT // count(*) // 10000 AS DOUBLE) / 100000 AS mean_score, CAST(max(s) // 10000 AS DOUBLE) / 100000 AS best FROM s GROUP BY ALL")
 def recall_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores per type and realm; they are summed as decimals, so that the order of rows does not matter."""
-    rows = T.memories(spark, sf_dir).select("memory_type", "realm_name", F.expr(f"CAST(round({SCORE.format(recency=recency(HOURS))}, 9) AS DECIMAL(20, 9))").alias("s"))
+    """Scores per type and realm, to five places; they are summed as whole billionths, so the order of rows is no matter."""
+    rows = T.memories(spark, sf_dir).select("memory_type", "realm_name", F.expr(f"CAST(round({SCORE.format(recency=recency(HOURS))} * 1000000000) AS BIGINT)").alias("s"))
     total = rows.groupBy("memory_type", "realm_name").agg(F.count(F.lit(1)).alias("memories"), F.sum("s").alias("total"), F.max("s").alias("top"))
-    return total.selectExpr("memory_type", "realm_name", "memories", "round(CAST(total AS DOUBLE) / memories, 5) AS mean_score", "round(CAST(top AS DOUBLE), 5) AS best")
+    return total.selectExpr("memory_type", "realm_name", "memories", "CAST(total div memories div 10000 AS DOUBLE) / 100000 AS mean_score", "CAST(top div 10000 AS DOUBLE) / 100000 AS best")
 
 
 @C.add(
