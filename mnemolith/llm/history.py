@@ -94,9 +94,12 @@ def segments(strings: DataFrame) -> DataFrame:
     return _keyed(strings, "own", "c")
 
 
+_SHORTER = f"n < 12 * power({W.RATIO!r}D, c + 0.5D)"
+
+
 def others(strings: DataFrame) -> DataFrame:
     """(key, h): what strings (h, n, c, other) look up besides their own segments."""
-    return _keyed(strings, "other", f"IF(n < 12 * power({W.RATIO!r}D, c + 0.5D), c - 1, c + 1)")
+    return _keyed(strings, "other", f"IF({_SHORTER}, c - 1, c + 1)")
 
 
 def probe(index: DataFrame, looked_up: DataFrame, within: bool = False) -> DataFrame:
@@ -111,7 +114,8 @@ def probe(index: DataFrame, looked_up: DataFrame, within: bool = False) -> DataF
 
 def probed(old: DataFrame | None, strings: DataFrame) -> DataFrame:
     """(ha, hb): candidates of strings among themselves and among the index old."""
-    own, other = segments(strings), others(strings)
+    # of two strings of one batch in different classes each could look up the other; the longer one does
+    own, other = segments(strings), others(strings if old is not None else strings.where(_SHORTER))
     found = probe(own, own, within=True).unionByName(probe(own, other, within=True))
     if old is not None:
         found = found.unionByName(probe(old, own)).unionByName(probe(old, other))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from mnemolith.session import materialize, table
 CAPACITY, OPEN = 2048, 64
 #: Open windows per task when they are merged.
 MERGED = 4096
+#: The folder of the vocabulary is read by the driver, which sends the file to the workers.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 # fixed value: the pattern that splits a text before the merges of the rank files
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,9 +60,15 @@ class Windows:
         return window, self.capacity - room
 
 
-def _packer(path: str, capacity: int, limit: int):
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which the workers find a file of the driver."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _packer(name: str, capacity: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoding(path).encode_ordinary
+        count = encoding(SparkFiles.get(name)).encode_ordinary
         windows = Windows(TaskContext.get().partitionId() << 40, capacity, limit)
         for batch in batches:
             docs, parts, sizes, starts, seqs, places = [], [], [], [], [], []
@@ -100,7 +108,7 @@ def packed_texts(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str
     its tokens. place is the position of the first token in the sequence seq_id.
     """
     rows = documents.select(documents.doc_id.cast("long").alias("doc_id"), "text")
-    placed = materialize(rows.mapInArrow(_packer(f"{tokenizers}/{vocabulary}", capacity, OPEN), "doc_id long, part int, first_token long, n_tokens int, window long, place int"), narrow=True)
+    placed = materialize(rows.mapInArrow(_packer(shipped(documents.sparkSession, f"{tokenizers}/{vocabulary}"), capacity, OPEN), "doc_id long, part int, first_token long, n_tokens int, window long, place int"), narrow=True)
     filled = placed.groupBy("window").agg(F.sum("n_tokens").cast("int").alias("filled"))
     # windows that were emitted are nearly full; all the others, the open ones among them, are merged
     loose = materialize(filled.where(F.col("filled") < capacity - capacity // 32), narrow=True)
