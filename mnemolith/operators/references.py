@@ -18,7 +18,8 @@ BITS_PER_KEY = 16
 #: The filter is broadcast up to this size, and joined by block beyond it.
 BROADCAST_BYTES = 32 * 2**20
 
-BLOCK_BYTES = 32
+#: A block is a row of five numbers in a hashed relation.
+BLOCK_BYTES = 128
 
 
 
