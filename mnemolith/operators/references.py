@@ -18,8 +18,8 @@ BITS_PER_KEY = 16
 #: The filter is broadcast up to this size, and joined by block beyond it.
 BROADCAST_BYTES = 32 * 2**20
 
-#: A block is a row of five numbers in a hashed relation.
-BLOCK_BYTES = 128
+#: Bytes of bits in a block, and what it takes as a row of five numbers in a hashed relation.
+BLOCK_BYTES, HELD_BYTES = 32, 128
 
 
 
@@ -35,7 +35,7 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 def maybe_present(refs: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """refs with a column maybe: false where the filter proves that no parent has the key."""
-    side = F.broadcast(bloom) if blocks * BLOCK_BYTES <= BROADCAST_BYTES else bloom
+    side = F.broadcast(bloom) if blocks * HELD_BYTES <= BROADCAST_BYTES else bloom
     tagged = refs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_h", F.xxhash64(F.col(key), F.lit(1)))
     joined = tagged.join(side, "block", "left")
     passes = F.lit(True)

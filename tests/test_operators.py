@@ -138,3 +138,67 @@ def test_orphans(spark):
     empty = references.orphan_references(memories.limit(0), records, links.limit(0), intents.limit(0))
     assert {r["reason"] for r in empty.collect()} == {"missing"}
     assert references.orphan_references(memories.limit(0), records.limit(0), links.limit(0), intents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, at, expected", [
+    ("*/15 * * * *", dt.datetime(2025, 1, 1, 0, 0), dt.datetime(2025, 1, 1, 0, 15)),
+    ("0 3 * * *", dt.datetime(2025, 1, 1, 3, 0, 30), dt.datetime(2025, 1, 2, 3, 0)),
+    ("30 8 * * mon-fri", dt.datetime(2025, 1, 3, 9, 0), dt.datetime(2025, 1, 6, 8, 30)),
+    ("0 0 29 feb *", dt.datetime(2025, 1, 1), dt.datetime(2028, 2, 29)),
+    ("10-20/5,40 1 1 1 7", dt.datetime(2025, 1, 1), dt.datetime(2034, 1, 1, 1, 10)),
+    ("0 0 31 2 *", dt.datetime(2025, 1, 1), None),
+    ("99 * * * *", dt.datetime(2025, 1, 1), None),
+])
+def test_schedule_next(text, at, expected):
+    days = 366 * 10
+    assert events.Schedule(text).next_after(at, days) == expected
+
+
+def test_schedule_due():
+    s, day = events.Schedule("0 3 * * *"), dt.datetime(2025, 1, 1)
+    at = lambda h, m: day.replace(hour=h, minute=m)
+    assert s.due(at(3, 0), None) and s.due(at(3, 4), None) and not s.due(at(3, 9), None) and not s.due(at(2, 59), None)
+    assert not s.due(at(3, 2), at(3, 0)) and s.due(at(3, 2), day)
+    with pytest.raises(ValueError):
+        events.Schedule("* * *")
+
+
+def test_stream_of_changes_and_repeats(spark, tmp_path):
+    schema = "source_id string, content_hash string, captured_at timestamp"
+    rows = [("a", "1", DAY), ("a", "1", DAY + dt.timedelta(hours=1)), ("b", "2", DAY)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / "one"))
+    seen = []
+    read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = events.stream_once(read()).writeStream.foreachBatch(lambda df, n: seen.extend(tuple(r)[:2] for r in df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(seen) == [("a", "1"), ("b", "2")]
+    batches = []
+    for _ in range(2):
+        events.stream_changes(spark, str(tmp_path / "in" / "one"), schema, lambda df, n: batches.append((n, df.count())), str(tmp_path / "c2")).awaitTermination(120)
+    assert sum(n for _, n in batches) == 3
+
+
+def test_snapshot_pushes_filters(spark):
+    from conftest import DATA
+
+    from mnemolith import tables
+
+    mem = tables.memories(spark, DATA)
+    plan = mem.where("visibility = 'public' AND realm_name = 'inbox' AND importance <= 0.3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(realm_name,inbox)" in plan and "LessThanOrEqual(importance,0.3)" in plan and "visibility" in plan.split("PartitionFilters: ")[1].split("]")[0] and "Window" not in plan
+    assert mem.count() == mem.select("id").distinct().count()
+
+
+def test_search_of_an_empty_store_and_page_over_the_end(spark):
+    from conftest import DATA
+
+    from mnemolith import tables
+    from mnemolith.operators import search
+
+    mem, v = tables.live_memories(spark, DATA), tables.vectors(spark, DATA)
+    q = retrieval.query_vector(v)
+    assert search.search(mem.limit(0), v, q, search.ASKED).count() == 0
+    assert search.search(mem, v.limit(0), retrieval.query_vector(v.limit(0)), search.Search()).count() == 0
+    assert search.search(mem, v, q, search.Search(offset=10_000)).count() == 0
+    dreams = search.search(mem, v, q, search.Search(dreams=True, limit=500)).count()
+    assert dreams >= search.search(mem, v, q, search.Search(limit=500)).count()
