@@ -140,15 +140,15 @@ def rotated(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
     return x
 
 
-def shape(rows: int, cell: int) -> tuple[int, int]:
-    """(digits, axes of the last digit) that leave about so many unrelated rows in a cell."""
-    cells, digits = max(2.0, rows / cell), 1
-    while cells > (2 * DIM) ** digits:
+def shape(rows: int, cell: int, least: float = 2.0) -> tuple[int, int]:
+    """(digits, axes of the last digit) that leave about so many unrelated rows in a cell, of at least so many cells."""
+    cells, digits = max(least, rows / cell), 1
+    while cells > 1.5 * (2 * DIM) ** digits:
         digits += 1
     return digits, min(DIM, max(1, round(cells / (2 * DIM) ** (digits - 1) / 2)))
 
 
-def cells(x: np.ndarray, tables: int, digits: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+def cells(x: np.ndarray, tables: int, digits: int, last: int, probe: float = PROBE) -> tuple[np.ndarray, np.ndarray]:
     """(rows, tables) cells of unit vectors, and the cell across the nearest wall, -1 where none is near.
 
     A digit is the signed axis that is nearest after a pseudo-rotation, one of 2 * DIM, the last one of 2 * last.
@@ -182,12 +182,12 @@ def cells(x: np.ndarray, tables: int, digits: int, last: int) -> tuple[np.ndarra
                 key = key * (2 * DIM) + own[d]
                 other = other * (2 * DIM) + np.where(weak == d, second[d], own[d])
             keys[start : start + _COLUMNS, t] = key
-            nearby[start : start + _COLUMNS, t] = np.where(np.max(ratio, axis=0) >= PROBE, other, -1)
+            nearby[start : start + _COLUMNS, t] = np.where(np.max(ratio, axis=0) >= probe, other, -1)
     return keys, nearby
 
 
 @lru_cache
-def meeting_rate(digits: int, last: int, cosine: float, visitors: bool) -> float:
+def meeting_rate(digits: int, last: int, cosine: float, visitors: bool, probe: float = PROBE) -> float:
     """How often two vectors of that cosine meet in one table, by 4,000 random pairs.
 
     They meet where one of them, in its own cell or the one across, finds the other in its own; with visitors also
@@ -198,7 +198,7 @@ def meeting_rate(digits: int, last: int, cosine: float, visitors: bool) -> float
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    (a, pa), (b, pb) = cells(x, 1, digits, last), cells(cosine * x + np.sqrt(1 - cosine**2) * z, 1, digits, last)
+    (a, pa), (b, pb) = cells(x, 1, digits, last, probe), cells(cosine * x + np.sqrt(1 - cosine**2) * z, 1, digits, last, probe)
     met = (a == b) | (pa == b) | (a == pb)
     if visitors:
         met |= (pa == pb) & (pa >= 0)
