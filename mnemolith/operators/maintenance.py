@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -248,15 +253,42 @@ def inferred_associations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     inferred_associations only classifies the pairs that relationships already links.
     """
-    side = T.memories(spark, sf_dir).select("id", "realm_name", "source_file", "ingested_at").join(T.vectors(spark, sf_dir), "id")
-    rows = B.numbered(side)
-    every = rows.select(F.lit(0).alias("g"), "n", "q", F.lit(True).alias("asks"), F.lit(True).alias("home"))
-    found = B.compared(every, ["g"], B.pairs(0.2999), "a long, b long, c double", 2 * B.BLOCK).withColumn("s", F.round("c", 4)).where("s >= 0.3")
-    meta = rows.select("n", "id", "realm_name", "source_file", "ingested_at")
-    both = found.join(meta.toDF("a", "ia", "ra", "fa", "ta"), "a").join(meta.toDF("b", "ib", "rb", "fb", "tb"), "b")
-    both = both.withColumn("gap", F.expr("abs(timestampdiff(MICROSECOND, ta, tb)) div 1000000"))
-    kind = F.expr(_LINK.format(same_realm="ra = rb", same_file="fa = fb"))
-    return both.select(F.least("ia", "ib").alias("from_id"), F.greatest("ia", "ib").alias("to_id"), F.col("s").alias("similarity"), kind.alias("link_type")).where("link_type IS NOT NULL")
+    side = T.memories(spark, sf_dir).select("id", "realm_name", "source_file", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ingested_at)").alias("at"))
+    rows = B.numbered(side.join(T.usable_vectors(table(spark, sf_dir, "memory_vectors")), "id"), "vector", "<f4")
+    return B.paired(rows, _links, "from_id string, to_id string, similarity double, link_type string", 2 * B.BLOCK)
+
+
+_KINDS = ["companion", "temporal_next", "fill_gap", "prerequisite"]
+
+
+def _links(rows: pa.Table) -> Iterator[pa.Table]:
+    """Within a block, the pairs of a row that asks and a home row with a kind of link (_LINK), by their vectors q."""
+    asks, home = (rows.column(k).to_numpy() for k in ("asks", "home"))
+    x = B.unpacked(rows.column("q").to_pylist(), "<f4").astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    # equal strings have equal codes; null is like nothing
+    realm, file = (pc.fill_null(pc.dictionary_encode(rows.column(k).combine_chunks()).indices, -1).to_numpy() for k in ("realm_name", "source_file"))
+    at, dated = pc.fill_null(rows.column("at"), 0).to_numpy(), pc.is_valid(rows.column("at")).to_numpy()
+    ids, names = rows.column("id").combine_chunks(), pa.array(_KINDS)
+    a, h = np.flatnonzero(asks), np.flatnonzero(home)
+    hx, once = np.ascontiguousarray(x[h].T), bool(asks.all() and home.all())
+    for s in range(0, len(a), B.STEP):
+        # of a part with itself, each pair once
+        from_ = s + 1 if once else 0
+        c = x[a[s : s + B.STEP]] @ hx[:, from_:]
+        i, j = np.nonzero(c >= 0.2999)
+        if once:
+            later = j >= i
+            i, j = i[later], j[later]
+        # as SQL rounds; all are positive
+        sim = np.floor(c[i, j] * 1e4 + 0.5) / 1e4
+        i, j = a[s + i], h[from_ + j]
+        gap = np.where(dated[i] & dated[j], np.abs(at[i] - at[j]) // 1_000_000, -1)
+        cases = [(realm[i] == realm[j]) & (realm[i] >= 0) & (sim > 0.7) | (gap >= 0) & (gap < 300), (gap > 0) & (gap < 3600), sim > 0.75, sim > 0.5, (file[i] == file[j]) & (file[i] >= 0)]
+        kind = np.select(cases, [0, 1, 0, 2, 3], -1)
+        fits = (sim >= 0.3) & (kind >= 0)
+        one, two = ids.take(pa.array(i[fits])), ids.take(pa.array(j[fits]))
+        yield pa.table({"from_id": pc.min_element_wise(one, two), "to_id": pc.max_element_wise(one, two), "similarity": sim[fits], "link_type": names.take(pa.array(kind[fits]))})
 
 
 @C.add(

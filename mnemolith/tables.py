@@ -77,12 +77,13 @@ def live_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, v): the unit vector, as doubles, of every memory that has a usable one."""
 
-    def build(rows: DataFrame) -> DataFrame:
-        fine = rows.where("memory_id IS NOT NULL AND size(vector) = 64 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 3.4e38) AND exists(vector, x -> x <> 0)")
-        one = fine.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("vector", F.struct(F.coalesce("embedded_at", F.lit("9999-12-31").cast("timestamp_ntz")))).alias("vector"))
-        return unit(one, "vector", "v").select("id", "v")
+    return _snapshot(spark, sf_dir, "memory_vectors", lambda rows: unit(usable_vectors(rows), "vector", "v").select("id", "v"))
 
-    return _snapshot(spark, sf_dir, "memory_vectors", build)
+
+def usable_vectors(rows: DataFrame) -> DataFrame:
+    """(id, vector), as stored, of every memory that has a usable vector."""
+    fine = rows.where("memory_id IS NOT NULL AND size(vector) = 64 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 3.4e38) AND exists(vector, x -> x <> 0)")
+    return fine.groupBy(F.col("memory_id").alias("id")).agg(F.min_by("vector", F.struct(F.coalesce("embedded_at", F.lit("9999-12-31").cast("timestamp_ntz")))).alias("vector"))
 
 
 def unit(df: DataFrame, vector: str, out: str) -> DataFrame:

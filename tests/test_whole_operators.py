@@ -43,3 +43,16 @@ def test_associations_beyond_the_relationships(spark):
     stored = {(r.from_id, r.to_id) for r in maintenance.inferred_associations(spark, DATA).where("link_type IS NOT NULL").collect()}
     got = {(r.from_id, r.to_id) for r in maintenance.inferred_associations_all(spark, DATA).collect()}
     assert stored < got
+
+
+def test_pairs_of_associations_are_not_shuffled(spark, oracle, monkeypatch):
+    columns = "from_id, to_id, similarity, link_type"
+    true = set(oracle.sql(f"SELECT {columns} FROM ({maintenance.C.sql['inferred_associations_all']})").fetchall())
+    for block in (blocks.BLOCK, 15):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        found = maintenance.inferred_associations_all(spark, DATA)
+        rows = [tuple(r) for r in found.select(*columns.split(", ")).collect()]
+        assert len(rows) == len(true) and set(rows) == true
+        # what is done with a pair is done in its block
+        after = found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[0]
+        assert "Join" not in after and "Exchange" not in after
