@@ -51,3 +51,27 @@ def test_chains_at_the_threshold_are_one_topic(spark, monkeypatch):
     for block in (blocks.BLOCK, 25):
         monkeypatch.setattr(blocks, "BLOCK", block)
         assert {tuple(r) for r in topics.topic_members(frame(spark, np.array(x))).select("memory_id", "cluster_id").collect()} == true
+
+
+def test_a_link_of_a_divided_cell_is_kept(spark, monkeypatch):
+    # a ball, whose label is the smallest, and memories that each meet the threshold with one or two of the ball
+    rng = np.random.default_rng(4)
+    ball = unit(unit(rng.normal(size=(1, 64))) + unit(rng.normal(size=(60, 64))) * 0.35)
+    away = rng.normal(size=(60, 64))
+    away = unit(away - (away * ball).sum(axis=1, keepdims=True) * ball)
+    x = np.concatenate([ball, 0.855 * ball + np.sqrt(1 - 0.855**2) * away])
+    c, label = x @ x.T, np.arange(len(x))
+    for _ in x:
+        label = np.array([label[c[i] >= 0.85].min() for i in range(len(x))])
+    true = {(f"m{i:04d}", f"m{g:04d}") for i, g in enumerate(label) if (label == g).sum() >= 5}
+    assert len(true) == len(x)
+    monkeypatch.setattr(V, "RUN", 4)
+    members = topics.topic_members(frame(spark, x))
+    assert {tuple(r) for r in members.select("memory_id", "cluster_id").collect()} == true
+
+
+def test_a_pair_at_the_threshold_is_missed_as_seldom_as_stated():
+    for rows in (1_000, 15_000, 1_500_000, 80_000_000):
+        grids, digits, last = topics._grids(rows)
+        first, further = (V.meeting_rate(digits, last, topics.LEAST, v) for v in (None, True))
+        assert (1 - first) * (1 - further) ** (grids - 1) <= topics.MISS
