@@ -41,13 +41,14 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
-def tokenised(texts: list[str | None]) -> tuple[list[int], list[bytes], list[int], list[np.ndarray]]:
-    """(number of words, digest of their sequence) of each text, and (place, token set) of those of MIN_WORDS or more."""
+def tokenised(texts: list[str | None]) -> tuple[list[int], list[bytes | None], list[int], list[np.ndarray]]:
+    """(number of words, digest of their sequence if fewer than MIN_WORDS) of each text, and (place, token set) of the others."""
     n, seq, at, found = [], [], [], []
     for k, text in enumerate(texts):
         words = W.words(text)
         n.append(len(words))
-        seq.append(xxhash.xxh3_128_digest("\0".join(words).encode("utf-8", "surrogatepass")))
+        # the sequence decides about short texts only
+        seq.append(xxhash.xxh3_128_digest("\0".join(words).encode("utf-8", "surrogatepass")) if len(words) < MIN_WORDS else None)
         if len(words) >= MIN_WORDS:
             at.append(k)
             found.append(W.tokens(words))

@@ -83,15 +83,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def tokens(found: list[str]) -> np.ndarray:
     """The 64-bit hashes of (word, occurrence), sorted."""
     counts = Counter(found)
-    out = np.array(list(map(HASHES.__getitem__, counts)), np.uint64)
+    out = np.fromiter(map(HASHES.__getitem__, counts), np.uint64, len(counts))
     if len(counts) < len(found):
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        out = np.repeat(out, n)
-        nth = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-        extra = nth > 0
-        mixed = out[extra] + nth[extra].astype(np.uint64) * _STEP
+        # the second and later occurrences
+        more = np.fromiter(counts.values(), np.int64, len(counts)) - 1
+        nth = np.arange(1, len(found) - len(counts) + 1) - np.repeat(np.cumsum(more) - more, more)
+        mixed = np.repeat(out, more) + nth.astype(np.uint64) * _STEP
         mixed ^= mixed >> np.uint64(31)
-        out[extra] = mixed * np.uint64(0xBF58476D1CE4E5B9)
+        out = np.concatenate([out, mixed * np.uint64(0xBF58476D1CE4E5B9)])
     out.sort()
     return out
 

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 
 from mnemolith import blocks
-from mnemolith.llm import neighbours, topics
+from mnemolith.llm import near_duplicates, neighbours, topics, words
 from mnemolith.llm import vectors as V
 
 DAY = dt.datetime(2025, 1, 1)
@@ -75,3 +75,10 @@ def test_a_pair_at_the_threshold_is_missed_as_seldom_as_stated():
         grids, digits, last = topics._grids(rows)
         first, further = (V.meeting_rate(digits, last, topics.LEAST, v) for v in (None, True))
         assert (1 - first) * (1 - further) ** (grids - 1) <= topics.MISS
+
+
+def test_only_short_texts_get_a_digest_of_their_sequence():
+    n, seq, at, found = near_duplicates.tokenised(["a b a", "a b " * 20, None])
+    assert n == [3, 40, 0] and at == [1] and [s is None for s in seq] == [False, True, False]
+    # the first occurrence of a word is its hash, each further one a token of its own
+    assert len(set(found[0].tolist())) == 40 and {words.HASHES["a"], words.HASHES["b"]} <= set(found[0].tolist())
