@@ -70,6 +70,58 @@ def test_a_link_of_a_divided_cell_is_kept(spark, monkeypatch):
     assert {tuple(r) for r in members.select("memory_id", "cluster_id").collect()} == true
 
 
+def test_links_by_a_hair_are_told_apart_without_densities(spark, monkeypatch):
+    # chains of ten whose links are over the threshold by a hair, the middle one of every other chain under it by a hair
+    rng, x, true = np.random.default_rng(6), [], set()
+    for g in range(40):
+        basis, at = np.linalg.qr(rng.normal(size=(64, 2)))[0].T, 0.0
+        for k in range(10):
+            at += np.arccos(0.8497 if k == 5 and g % 2 else 0.8503) if k else 0
+            x.append(np.cos(at) * basis[0] + np.sin(at) * basis[1])
+            true.add((f"m{len(x) - 1:04d}", f"m{10 * g + (5 if k >= 5 and g % 2 else 0):04d}"))
+    for run in (V.RUN, 40):
+        monkeypatch.setattr(V, "RUN", run)
+        for density in (False, True):
+            members = topics.topic_members(frame(spark, np.array(x)), density)
+            assert {tuple(r) for r in members.select("memory_id", "cluster_id").collect()} == true
+
+
+def test_upper_bytes_leave_no_link_out():
+    rng = np.random.default_rng(7)
+    x = unit(rng.normal(size=(4000, 64)) ** 3)
+    # two thirds of them with one component that is nearly all
+    x[::3, 0] = x[1::3, 0] = 3
+    x, across = unit(x), rng.normal(size=x.shape)
+    across = unit(across - (across * x).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(0.8, 0.9, (len(x), 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c**2) * across])
+    q = np.frombuffer(b"".join(topics._packed(both).to_pylist()), np.uint8).reshape(len(both), -1)
+    whole, (coarse, sure, maybe) = topics._whole(q), topics._coarse(q[:, :64])
+    assert np.abs(whole - both).max() < 1e-4
+    near, rough = ((a[: len(x)] * a[len(x) :]).sum(axis=1) for a in (whole, coarse))
+    assert (near[rough >= sure] >= topics.LEAST).all() and (rough[near >= topics.LEAST] >= maybe).all()
+    assert maybe > topics.LEAST - 0.04 and sure < topics.LEAST + 0.04 and ((rough >= maybe) & (rough < sure)).any()
+
+
+def test_grids_shuffle_half_of_a_vector(spark):
+    x = unit(np.random.default_rng(8).normal(size=(6000, 64)))
+    rows = frame(spark, x).repartition(4).cache()
+    rows.count()
+
+    def shuffled():
+        """Bytes that each stage shuffled, by its number."""
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+    before = max(shuffled())
+    assert topics.topic_members(rows, density=False).count() == 0
+    size = sum(v for k, v in shuffled().items() if k > before) / len(x)
+    # half of a vector's 128 bytes for each grid, and what else a memory needs
+    assert size < 100 * topics._grids(len(x))[0]
+    rows.unpersist()
+
+
 def test_a_pair_at_the_threshold_is_missed_as_seldom_as_stated():
     for rows in (1_000, 15_000, 1_500_000, 80_000_000):
         grids, digits, last = topics._grids(rows)
